@@ -701,7 +701,7 @@ def _shown(found: DataFrame) -> DataFrame:
 def thread_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(
         threads.thread_search(
-            b.messages(spark, d), **SEARCH, recency_days=80, as_of="2024-04-10"
+            b.messages(spark, d), **SEARCH, recency_days=26, as_of="2024-02-01"
         )
     )
 

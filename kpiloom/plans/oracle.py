@@ -829,7 +829,7 @@ _HIT = """(contains(lower(text), 'heon') OR contains(lower(text), 'queaux'))
     AND sender IN ('user', 'system')"""
 
 ORACLE_SQL["thread_search"] = f"""WITH {_MESSAGES},
-recent AS (SELECT * FROM messages WHERE CAST(ts AS DATE) >= DATE '2024-04-10' - 80)
+recent AS (SELECT * FROM messages WHERE CAST(ts AS DATE) >= DATE '2024-02-01' - 26)
 SELECT thread_id, seq, CAST(ts AS DATE) AS sent_date, sender, subject, text FROM recent
 WHERE thread_id IN (SELECT thread_id FROM recent WHERE {_HIT})"""
 
