@@ -132,3 +132,8 @@ def contains_any(column: str | Column, words: Iterable[str]) -> Column:
     """Case-insensitive substring search for any of the words."""
     text = F.lower(column)
     return any_of(text.contains(word.lower()) for word in words)
+
+
+def slug(column: str | Column) -> Column:
+    """Lower-case text with every run of other characters as one hyphen, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "-"), F.lit("-"))

@@ -1,9 +1,12 @@
-"""Windows that survive a key holding a large part of all rows.
+"""Windows and lookups that survive a key holding a large part of all rows.
 
 A window over one entity runs in one task. For an ordinary entity that is what we want: one
 shuffle, one sort. For an entity with a third of the table it is a task that never ends. Such
 hot keys are split by calendar day: the window runs inside each (key, day), and what has to
 cross from one day to the next is carried by a small table with one row per hot key and day.
+
+A lookup by key has the same problem when what follows groups by that key: adaptive execution
+splits a skewed join only where this adds no shuffle. There hot keys are salted.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ HOT_ROWS = 5_000_000
 BUCKET = "__bucket"
 NO_DAY = "0001-01-01"
 
+# Parts a hot key is salted into: a third of all rows becomes less than 0.1 percent per part.
+SALTS = 512
+
 
 def hot_keys(df: DataFrame, keys: Names, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Key values with at least ``hot_rows`` rows; at most ``rows / hot_rows`` of them."""
@@ -88,3 +94,28 @@ def split_by_day(df: DataFrame, keys: Names, date: str, hot_rows: int = HOT_ROWS
     day = F.coalesce(day_of(date), F.lit(NO_DAY).cast("date"))
     bucket = F.when(F.col("__hot"), day).otherwise(F.lit(NO_DAY).cast("date"))
     return DaySplit(tagged.withColumn(BUCKET, bucket), [*parts, BUCKET])
+
+
+def lookup(
+    rows: DataFrame,
+    unique: DataFrame,
+    key: str,
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join rows, of which one key may hold many, to a table with one row per key.
+
+    Hot keys are spread over ``SALTS`` parts by a hash of the whole row, and only their lookup
+    rows are repeated for each part. Every row still meets exactly one lookup row.
+    """
+    hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("__hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    salted = rows.join(hot, key, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), spread).otherwise(0)
+    )
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    repeated = unique.join(hot, key, "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    joined = salted.drop("__hot").join(repeated.drop("__hot"), [key, "__salt"], how)
+    return joined.drop("__salt")

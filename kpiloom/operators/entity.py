@@ -17,7 +17,7 @@ from kpiloom.functions.exprs import (
     require_columns,
 )
 from kpiloom.functions.tiers import at_least, first_match
-from kpiloom.sources.stage import reliable_checkpoint
+from kpiloom.sources.stage import reliable_copy
 
 # fixed values: stage names and distinct-day thresholds of the ever-flag classification
 EVER_STAGES = (("Adopter", 4), ("User", 2), ("Trialist", 1))
@@ -93,7 +93,7 @@ def rank_all(
 ) -> DataFrame:
     """The three ranks of :func:`top_n` for every row, without a single-task window.
 
-    The rows are range-sorted once and checkpointed, which fixes the content of every
+    The rows are range-partitioned once and stored, which fixes the content of every
     partition. Ranks are then local ranks plus the totals of the partitions before.
     """
     order_names = [value, *names(tiebreak or id)]
@@ -103,7 +103,7 @@ def rank_all(
     by_range = df.select(*columns).repartitionByRange(*order).withColumn(
         "__part", F.spark_partition_id()
     )
-    ranged = reliable_checkpoint(by_range)
+    ranged = reliable_copy(by_range)
 
     in_part = Window.partitionBy("__part").orderBy(*order)
     in_part_by_value = Window.partitionBy("__part").orderBy(F.col(value).desc())

@@ -32,45 +32,41 @@ def fixed_average(
 
     ``view`` is the filter of the report and ``view_by`` its further dimensions. The fixed
     average is over all rows of the group; filter ``df`` beforehand for conditions it should
-    respect. Everything comes from one pass: sums per group, view dimension and entity, which
-    are then added up, so neither a second scan nor a join of rows to groups is needed.
+    respect. One scan computes both levels as grouping sets, and the group's own line is then
+    handed to its view lines: a window over aggregated lines, not over rows.
     """
     fixed_on, dims = names(group), names(view_by)
     require_columns(df, fixed_on, dims, value, entity)
     inside = F.lit(True) if view is None else view
-    per_entity = df.groupBy(*fixed_on, *dims, entity).agg(
+    in_view = F.when(inside, F.col(value))
+    measures = [
         F.sum(value).alias("__sum"),
         F.count(value).alias("__rows"),
-        F.sum(F.when(inside, F.col(value))).alias("__view_sum"),
-        F.count(F.when(inside, F.col(value))).alias("__view_rows"),
-        F.count_if(inside).alias("__in_view"),
-    )
-    group_totals = per_entity.groupBy(*fixed_on).agg(
-        F.sum("__sum").alias("__total"),
-        F.sum("__rows").alias("__total_rows"),
         F.count_distinct(entity).alias("__entities"),
+        F.count_if(inside).alias("view_rows"),
+        ratio(F.sum(in_view), F.count(in_view)).alias("view_avg"),
+    ]
+    keys = [*fixed_on, *dims]
+    if dims:
+        levels = [[F.col(c) for c in keys], [F.col(c) for c in fixed_on]]
+        lines = df.groupingSets(levels, *keys).agg(F.grouping_id().alias("__level"), *measures)
+    else:
+        lines = df.groupBy(*keys).agg(F.lit(0).alias("__level"), *measures)
+    # the group's own line has its dimensions grouped away; without dimensions it is the only one
+    own = F.lit(True) if not dims else F.col("__level") > 0
+    of_group = Window.partitionBy(*fixed_on)
+
+    def fixed(average: Column) -> Column:
+        return F.max(F.when(own, average)).over(of_group)
+
+    handed = lines.withColumns(
+        {
+            "fixed_avg": fixed(ratio(F.col("__sum"), F.col("__rows"))),
+            "fixed_avg_per_entity": fixed(ratio(F.col("__sum"), F.col("__entities"))),
+        }
     )
-    fixed = group_totals.select(
-        *fixed_on,
-        ratio(F.col("__total"), F.col("__total_rows")).alias("fixed_avg"),
-        ratio(F.col("__total"), F.col("__entities")).alias("fixed_avg_per_entity"),
-    )
-    shown = (
-        per_entity.groupBy(*fixed_on, *dims)
-        .agg(
-            F.sum("__view_sum").alias("__sum"),
-            F.sum("__view_rows").alias("__rows"),
-            F.sum("__in_view").alias("view_rows"),
-        )
-        .filter("view_rows > 0")
-    )
-    return shown.join(fixed, fixed_on).select(
-        *fixed_on,
-        *dims,
-        "view_rows",
-        ratio(F.col("__sum"), F.col("__rows")).alias("view_avg"),
-        "fixed_avg",
-        "fixed_avg_per_entity",
+    return handed.filter("__level = 0 AND view_rows > 0").select(
+        *keys, "view_rows", "view_avg", "fixed_avg", "fixed_avg_per_entity"
     )
 
 

@@ -63,33 +63,45 @@ def join_fanout(before: DataFrame, after: DataFrame, id: Names) -> DataFrame:
 def profile_table(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: type, rows, NULLs, distinct values, smallest and largest as text.
 
-    All columns are measured in one pass and the single result row is unpivoted. Exact
-    distinct counts shuffle each column's values; ``approx`` needs no shuffle beyond one
-    sketch per task.
+    Two aggregations over all columns at once, each unpivoted from its single result row.
+    Exact distinct counts shuffle each column's distinct values; ``approx`` replaces them by
+    one sketch per task.
     """
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    measures, lines = [_count_rows().alias("__rows")], []
-    for i, field in enumerate(df.schema.fields):
-        column = F.col(f"`{field.name}`")
-        measures += [
-            F.count(column).alias(f"__known{i}"),
-            distinct(column).alias(f"__distinct{i}"),
-            F.min(column).cast("string").alias(f"__min{i}"),
-            F.max(column).cast("string").alias(f"__max{i}"),
-        ]
-        lines.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.col("__rows").alias("row_count"),
-                (F.col("__rows") - F.col(f"__known{i}")).alias("null_count"),
-                F.col(f"__distinct{i}").alias("distinct_count"),
-                F.col(f"__min{i}").alias("min_value"),
-                F.col(f"__max{i}").alias("max_value"),
-            )
+    columns = [(i, f.name, f.dataType.simpleString(), F.col(f"`{f.name}`"))
+               for i, f in enumerate(df.schema.fields)]
+
+    ranges = df.agg(
+        _count_rows().alias("__rows"),
+        *[F.count(c).alias(f"__known{i}") for i, _, _, c in columns],
+        *[F.min(c).cast("string").alias(f"__min{i}") for i, _, _, c in columns],
+        *[F.max(c).cast("string").alias(f"__max{i}") for i, _, _, c in columns],
+    )
+    range_lines = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(name).alias("column_name"),
+            F.lit(kind).alias("data_type"),
+            F.col("__rows").alias("row_count"),
+            (F.col("__rows") - F.col(f"__known{i}")).alias("null_count"),
+            F.col(f"__min{i}").alias("min_value"),
+            F.col(f"__max{i}").alias("max_value"),
+        )
+        for i, name, kind, _ in columns
+    ]
+    counts = df.agg(*[distinct(c).alias(f"__distinct{i}") for i, _, _, c in columns])
+    count_lines = [
+        F.struct(F.lit(i).alias("position"), F.col(f"__distinct{i}").alias("distinct_count"))
+        for i, _, _, _ in columns
+    ]
+    return (
+        ranges.select(F.inline(F.array(*range_lines)))
+        .join(counts.select(F.inline(F.array(*count_lines))), "position")
+        .select(
+            *["position", "column_name", "data_type", "row_count", "null_count"],
+            *["distinct_count", "min_value", "max_value"],
         )
-    return df.agg(*measures).select(F.inline(F.array(*lines)))
+    )
 
 
 def grain_check(df: DataFrame, candidates: Sequence[Names]) -> DataFrame:

@@ -37,28 +37,56 @@ def month_spine(spark: SparkSession, first: DateLike, last: DateLike | None = No
     return spark.range(1).select(_months(start, end).alias("month"))
 
 
-def key_spine(metric: DataFrame, keys: Names, first: DateLike, last: DateLike) -> DataFrame:
-    """One row per key seen in the metric and month of the range."""
-    start, end = F.lit(month_start(first)), F.lit(month_start(last))
-    return metric.select(*names(keys)).distinct().select("*", _months(start, end).alias("month"))
-
+def fill_on_spine(metric: DataFrame, spine: DataFrame, value: Names) -> DataFrame:
+    """The metric on every month of the spine, 0 where it has no row."""
+    require_columns(metric, "month", value)
+    filled = spine.select("month").join(metric.select("month", *names(value)), "month", "left")
+    return filled.select("month", *[or_zero(v).alias(v) for v in names(value)])
+
+
+def fill_months(
+    metric: DataFrame,
+    keys: Names,
+    value: Names,
+    first: DateLike | None = None,
+    last: DateLike | None = None,
+) -> DataFrame:
+    """The metric on every month of each key, 0 where it has no row.
 
-def active_span_spine(metric: DataFrame, keys: Names) -> DataFrame:
-    """One row per key and month from the key's first month to its last."""
-    span = metric.groupBy(*names(keys)).agg(
-        F.min("month").alias("__first"), F.max("month").alias("__last")
+    From the key's first month to its last, or over the range given. Every row brings the
+    missing months up to the key's next row with it, so the metric is read once and the keys
+    are not collected separately. Rows without a month are left out.
+    """
+    require_columns(metric, "month", keys, value)
+    by, values = names(keys), names(value)
+    in_order = Window.partitionBy(*by).orderBy("month")
+    following = F.lead("month").over(in_order)
+    preceding = F.lag("month").over(in_order)
+    start, end = F.col("month"), F.col("month")
+    if first is not None:
+        start = F.when(preceding.isNull(), F.least(F.lit(month_start(first)), start)).otherwise(start)
+    if last is not None:
+        end = F.greatest(F.lit(month_start(last)), end)
+    end = F.coalesce(F.add_months(following, -1), end)
+    spread = (
+        metric.filter(F.col("month").isNotNull())
+        .withColumns({"__start": start, "__end": end})
+        .select(
+            *by,
+            *values,
+            F.col("month").alias("__own"),
+            _months(F.col("__start"), F.col("__end")).alias("month"),
+        )
     )
-    return span.select(*names(keys), _months(F.col("__first"), F.col("__last")).alias("month"))
-
-
-def fill_on_spine(
-    metric: DataFrame, spine: DataFrame, value: Names, keys: Names = ()
-) -> DataFrame:
-    """The metric on every row of the spine, 0 where it has no row."""
-    require_columns(metric, "month", value, keys)
-    on = ["month", *names(keys)]
-    filled = spine.select(*on).join(metric.select(*on, *names(value)), on, "left")
-    return filled.select(*on, *[or_zero(v).alias(v) for v in names(value)])
+    own = F.col("month") == F.col("__own")
+    filled = spread.select(
+        "month", *by, *[F.when(own, or_zero(v)).otherwise(0).alias(v) for v in values]
+    )
+    if first is not None:
+        filled = filled.filter(F.col("month") >= F.lit(month_start(first)))
+    if last is not None:
+        filled = filled.filter(F.col("month") <= F.lit(month_start(last)))
+    return filled
 
 
 def monthly_entities(
@@ -93,8 +121,7 @@ def rolling(
         F.sum(value).alias("monthly_value")
     )
     if gap_fill:
-        dated = monthly.filter(F.col("month").isNotNull())
-        monthly = fill_on_spine(dated, active_span_spine(dated, keys), "monthly_value", keys)
+        monthly = fill_months(monthly, keys, "monthly_value")
     window = _last_rows(keys, months)
     total = F.sum("monthly_value").over(window)
     return monthly.select(
@@ -180,13 +207,12 @@ def monthly_trend(
             F.count_distinct("entity_id").alias("unique_entities"),
         )
     )
-    if gap_fill:
-        spine = (
-            key_spine(monthly, keys, first, as_of)
-            if keys
-            else month_spine(claims.sparkSession, first, as_of)
-        )
-        monthly = fill_on_spine(monthly, spine, ["total_paid", "unique_entities"], keys)
+    measures = ["total_paid", "unique_entities"]
+    if gap_fill and keys:
+        monthly = fill_months(monthly, keys, measures, first, as_of)
+    elif gap_fill:
+        spine = month_spine(claims.sparkSession, first, as_of)
+        monthly = fill_on_spine(monthly, spine, measures)
     # without groups this is a window over the months of the trend only
     in_order = Window.partitionBy(*keys).orderBy("month")
     prior = F.lag("total_paid").over(in_order)

@@ -15,6 +15,7 @@ from kpiloom.functions.exprs import (
     require_columns,
     today_or,
 )
+from kpiloom.functions.hotkeys import lookup
 from kpiloom.operators.entity import latest_per_key
 
 FULL_CHAIN, MOST_RECENT = "full_chain", "most_recent"
@@ -57,4 +58,4 @@ def thread_search(
     if scope == MOST_RECENT:
         latest = latest_per_key(recent, "thread_id", "ts", "seq")
         return latest.join(threads, "thread_id", "left_semi")
-    return recent.join(threads, "thread_id", "left_semi")
+    return lookup(recent, threads, "thread_id", "inner")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiloom.functions.exprs import between_days
+from kpiloom.functions.hotkeys import lookup
 from kpiloom.functions.tiers import AccountRule, DosingRule, RouteRule
 from kpiloom.operators import entity, journey, overlap, quality, segment, series, threads
 from kpiloom.plans import kpi
@@ -80,7 +82,7 @@ ACADEMIC_WORDS = ("university", "research")
 
 SPECS = [
     kpi.KpiSpec(
-        "monthly_paid",
+        "Monthly paid",
         mode=kpi.PATTERN,
         pattern="monthly_trend",
         tables={"claims": "claims"},
@@ -88,7 +90,7 @@ SPECS = [
         value="total_paid",
     ),
     kpi.KpiSpec(
-        "active_entities",
+        "Active entities (region)",
         mode=kpi.SQL,
         grain=("region",),
         window=("2000-01-01", "2001-06-30"),
@@ -98,7 +100,7 @@ SPECS = [
         ),
     ),
     kpi.KpiSpec(
-        "large_claims",
+        "Large claims",
         mode=kpi.RULES,
         grain=("region",),
         window=18,
@@ -131,8 +133,9 @@ def date_spine_fill(spark: SparkSession, d: str) -> DataFrame:
 def date_spine_fill_by_key(spark: SparkSession, d: str) -> DataFrame:
     rows = b.fills(spark, d, "provider_id", "service_date", "l_orderkey")
     metric = series.monthly_entities(rows, "l_orderkey", "service_date", "provider_id")
-    spine = series.key_spine(metric, "provider_id", "2000-01-01", b.SHIPPED_AS_OF)
-    return series.fill_on_spine(metric, spine, "metric_value", "provider_id")
+    return series.fill_months(
+        metric, "provider_id", "metric_value", "2000-01-01", b.SHIPPED_AS_OF
+    )
 
 
 @query
@@ -176,8 +179,9 @@ def cohort_exact_months(spark: SparkSession, d: str) -> DataFrame:
 
 def _steps(spark: SparkSession, d: str) -> tuple:
     claims = b.claims(spark, d)
-    y1999 = claims.filter(F.year("service_date") == 1999)
-    y2000 = claims.filter((F.year("service_date") == 2000) & (F.col("paid_amount") > 200000))
+    y1999 = claims.filter(between_days("service_date", "1999-01-01", "1999-12-31"))
+    y2000 = claims.filter(between_days("service_date", "2000-01-01", "2000-12-31"))
+    y2000 = y2000.filter(F.col("paid_amount") > 200000)
     return b.customer(spark, d), [("step_2_seen", y1999), ("step_3_large", y2000)]
 
 
@@ -496,11 +500,8 @@ def dosing_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dosing_consolidated(spark: SparkSession, d: str) -> DataFrame:
-    schedules = [
-        segment.dosing_schedule(_episodes(spark, d, [p]), [r for r in DOSING if r.product == p], 12)
-        for p in ("Brand#7", "Brand#12")
-    ]
-    return segment.dosing_consolidated(schedules, b.providers(spark, d))
+    # the rules of all products in one pass; separate schedules would each read the fills
+    return segment.dosing_consolidated([dosing_schedule(spark, d)], b.providers(spark, d))
 
 
 def _route_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -633,8 +634,8 @@ def fanout_offenders(spark: SparkSession, d: str) -> DataFrame:
 @query
 def join_fanout(spark: SparkSession, d: str) -> DataFrame:
     claims = b.claims(spark, d)
-    roster = b.roster(spark, d, CLASSES_A, "2001-01-01", "2001-06-30")
-    return quality.join_fanout(claims, claims.join(roster, "entity_id"), "claim_id")
+    lines = b.fills(spark, d, "l_orderkey").withColumnRenamed("l_orderkey", "claim_id")
+    return quality.join_fanout(claims, lookup(lines, claims, "claim_id", "inner"), "claim_id")
 
 
 @query

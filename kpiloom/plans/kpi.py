@@ -17,6 +17,7 @@ from kpiloom.functions.exprs import (
     month_start,
     require_columns,
     shift_months,
+    slug,
     today_or,
 )
 from kpiloom.plans.registry import PATTERNS
@@ -116,7 +117,7 @@ def kpi_frame(
     tables: Mapping[str, DataFrame],
     as_of: DateLike | None = None,
 ) -> DataFrame:
-    """One KPI as ``kpi, grain, grain_key, period, value``.
+    """One KPI as ``kpi, kpi_id, grain, grain_key, period, value``.
 
     The grain key is the text of the key columns joined by ``|``; an unknown part is empty.
     """
@@ -137,6 +138,7 @@ def kpi_frame(
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spec.grain]
     return result.select(
         F.lit(spec.name).alias("kpi"),
+        slug(F.lit(spec.name)).alias("kpi_id"),
         F.lit(spec.grain_text).alias("grain"),
         (F.concat_ws("|", *parts) if parts else F.lit("")).alias("grain_key"),
         day_of(spec.period).alias("period"),

@@ -705,9 +705,8 @@ SELECT count(*) AS total_rows, count(DISTINCT entity_id) AS distinct_entities,
 ORACLE_SQL["fanout_offenders"] = f"""WITH {CLAIMS}
 SELECT entity_id, service_date, count(*) AS rows FROM claims GROUP BY 1, 2 HAVING count(*) > 1"""
 
-ORACLE_SQL["join_fanout"] = f"""WITH {FILLS}, {CLAIMS},
-{_roster("roster", A, "2001-01-01", "2001-06-30")},
-joined AS (SELECT c.claim_id FROM claims c JOIN roster r ON c.entity_id = r.entity_id),
+ORACLE_SQL["join_fanout"] = f"""WITH {CLAIMS},
+joined AS (SELECT c.claim_id FROM claims c JOIN lineitem l ON c.claim_id = l.l_orderkey),
 sizes AS (
   SELECT (SELECT count(*) FROM claims) AS total_rows_before,
          (SELECT count(*) FROM joined) AS total_rows_after,
@@ -783,24 +782,25 @@ FROM (SELECT entity_id, count(DISTINCT segment) AS k FROM segmented GROUP BY 1)
 _KPIS = f"""{CLAIMS}, {CUSTOMERS},
 placed AS (SELECT c.*, k.region FROM claims c LEFT JOIN customers k ON c.entity_id = k.entity_id),
 results AS (
-  SELECT 'monthly_paid' AS kpi, '' AS grain, '' AS grain_key,
+  SELECT 'Monthly paid' AS kpi, '' AS grain, '' AS grain_key,
          CAST(date_trunc('month', service_date) AS DATE) AS period,
          CAST(sum(paid_amount) AS DOUBLE) AS value
   FROM placed WHERE service_date >= DATE '2000-08-01' GROUP BY 4
   UNION ALL
-  SELECT 'active_entities', 'region', coalesce(region, ''),
+  SELECT 'Active entities (region)', 'region', coalesce(region, ''),
          CAST(date_trunc('month', service_date) AS DATE), CAST(count(DISTINCT entity_id) AS DOUBLE)
   FROM placed WHERE date_trunc('month', service_date) BETWEEN DATE '2000-01-01' AND DATE '2001-06-30'
   GROUP BY 3, 4
   UNION ALL
-  SELECT 'large_claims', 'region', coalesce(region, ''),
+  SELECT 'Large claims', 'region', coalesce(region, ''),
          CAST(date_trunc('month', service_date) AS DATE), CAST(sum(paid_amount) AS DOUBLE)
   FROM placed
   WHERE paid_amount >= 100000 AND region IS DISTINCT FROM 'ASIA' AND order_status IS DISTINCT FROM 'P'
     AND date_trunc('month', service_date) BETWEEN DATE '2000-02-01' AND DATE '2001-08-01'
   GROUP BY 3, 4)"""
 
-ORACLE_SQL["kpi_run"] = f"WITH {_KPIS} SELECT * FROM results"
+ORACLE_SQL["kpi_run"] = f"""WITH {_KPIS}
+SELECT *, trim(regexp_replace(lower(kpi), '[^a-z0-9]+', '-', 'g'), '-') AS kpi_id FROM results"""
 ORACLE_SQL["kpi_consistency"] = f"""WITH {_KPIS}, per_kpi AS (
   SELECT kpi, grain, min(period) AS first_period, max(period) AS last_period,
          count(DISTINCT period) AS periods, count(DISTINCT grain_key) AS grain_keys,
@@ -811,8 +811,8 @@ SELECT *, CASE WHEN (SELECT count(DISTINCT grain) FROM per_kpi) = 1 THEN 1 ELSE
             THEN 1 ELSE 0 END AS same_window
 FROM per_kpi"""
 ORACLE_SQL["kpi_missing"] = f"""WITH {_KPIS},
-kpis AS (SELECT * FROM (VALUES ('monthly_paid', ''), ('active_entities', 'region'),
-                               ('large_claims', 'region')) AS k(kpi, grain)),
+kpis AS (SELECT * FROM (VALUES ('Monthly paid', ''), ('Active entities (region)', 'region'),
+                               ('Large claims', 'region')) AS k(kpi, grain)),
 cells AS (SELECT DISTINCT grain, period, grain_key FROM results)
 SELECT k.kpi, c.grain, c.period, c.grain_key FROM cells c JOIN kpis k ON k.grain = c.grain
 WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.kpi = k.kpi AND r.grain = c.grain

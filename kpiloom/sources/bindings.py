@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import between_days, day_of, flag, month_of
+from kpiloom.functions.hotkeys import lookup
 
 AS_OF = dt.date(2001, 8, 1)  # last order date of the test tables
 SHIPPED_AS_OF = dt.date(2001, 11, 4)  # last ship date
@@ -60,7 +61,7 @@ def claims(spark: SparkSession, folder: str, with_region: bool = False) -> DataF
     )
     if with_region:
         places = customer(spark, folder).select("entity_id", "region")
-        rows = rows.join(places, "entity_id", "left")
+        rows = lookup(rows, places, "entity_id")
     return rows
 
 
@@ -275,7 +276,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         "timestamp_ntz'2024-01-01 00:00:00'"
         " + make_dt_interval(cast(conv_id % 3650 as int), 0, cast(turn as int), 0)"
     )
-    return turns.join(subjects, "conv_id", "left").select(
+    return lookup(turns, subjects, "conv_id").select(
         F.col("conv_id").alias("thread_id"),
         F.col("turn").alias("seq"),
         sent.alias("ts"),

@@ -1,12 +1,18 @@
-"""Staging of intermediate results."""
+"""Reading tables and staging intermediate results."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    """A catalog table (``catalog.schema.table``) or, given a path, a Parquet folder."""
+    return spark.read.parquet(name) if "/" in name else spark.table(name)
+
+
 def stage_view(df: DataFrame, name: str) -> DataFrame:
     """Name a result for SQL. Session-scoped and lazy: nothing is computed or stored."""
     df.createOrReplaceTempView(name)
@@ -40,7 +46,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder, so that a lost executor cannot change them."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def reliable_copy(df: DataFrame) -> DataFrame:
+    """Write the rows below the checkpoint folder and read them back.
+
+    Cuts the lineage: a lost executor cannot make the rows, or the partition they were in,
+    come out differently a second time.
+    """
+    folder = checkpoint_folder(df.sparkSession).rstrip("/")
+    return stage_table(df, f"{folder}/kpiloom-{uuid.uuid4()}")

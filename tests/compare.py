@@ -9,8 +9,6 @@ import os
 import duckdb
 import pyarrow as pa
 
-ZERO_ROWS_ALLOWED: set[str] = set()
-
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -21,7 +19,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def _arrow(connection: duckdb.DuckDBPyConnection, sql: str) -> pa.Table:
+def oracle_table(connection: duckdb.DuckDBPyConnection, sql: str) -> pa.Table:
     result = connection.execute(sql)
     table = result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.arrow()
     return table if isinstance(table, pa.Table) else table.read_all()
