@@ -106,12 +106,13 @@ def lookup(
     """Join rows, of which one key may hold many, to a table with one row per key.
 
     Hot keys are spread over ``SALTS`` parts by a hash of the whole row, and only their lookup
-    rows are repeated for each part. Every row still meets exactly one lookup row.
+    rows are repeated for each part. Every row still meets exactly one lookup row. Rows with an
+    unknown key, which meet none, are spread as well.
     """
     hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("__hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
     salted = rows.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(0)
+        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(0)
     )
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     repeated = unique.join(hot, key, "left").withColumn(

@@ -359,7 +359,8 @@ def concordance_provider(prioritised: DataFrame, focal_class: str) -> DataFrame:
 
 # -- dosing ------------------------------------------------------------------------------
 
-# fixed value: label of fills that no dosing rule covers
+# fixed values: wording of the schedules, and the label of fills that no dosing rule covers
+EXPECTED, SHORTER, LONGER = "1 injection in {}", "1 injection in <{}", "1 injection in >{}"
 NOT_CATEGORISED = "Non-Categorized"
 
 
@@ -371,9 +372,9 @@ def _schedule(rules: Sequence[DosingRule], days: Column) -> Column:
         weeks = rule.interval_days / 7
         every = f"{weeks:g} week{'' if weeks == 1 else 's'}"
         tiers += [
-            (f"1 injection in {every}", applies & (days >= low) & (days <= high)),
-            (f"1 injection in <{every}", applies & (days < low)),
-            (f"1 injection in >{every}", applies & (days > high)),
+            (EXPECTED.format(every), applies & (days >= low) & (days <= high)),
+            (SHORTER.format(every), applies & (days < low)),
+            (LONGER.format(every), applies & (days > high)),
         ]
     return first_match(tiers, NOT_CATEGORISED)
 

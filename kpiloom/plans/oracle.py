@@ -6,6 +6,30 @@ distinct counts where the operators aggregate first.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from kpiloom.operators.entity import EVER_STAGES, NO_STAGE
+from kpiloom.operators.journey import (
+    CONTINUOUS,
+    INDEX_FILL,
+    LAPSE,
+    LAPSE_DAYS,
+    SHORT_DAYS,
+    SHORT_GAP,
+    THREE_STAGES,
+    TWO_STAGES,
+)
+
+
+def _case(branches: Iterable[tuple[str, str]], otherwise: str | None = None) -> str:
+    """A CASE from (condition, label) pairs; NULL without a default."""
+    whens = " ".join(f"WHEN {condition} THEN '{label}'" for condition, label in branches)
+    return f"CASE {whens}" + (f" ELSE '{otherwise}'" if otherwise else "") + " END"
+
+
+def _flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
+
 
 def _pct(part: str, whole: str, digits: int = 1) -> str:
     """Percentage rounded half up on the decimal digits of the double, as Spark rounds."""
@@ -179,33 +203,38 @@ ORACLE_SQL["funnel_steps"] = f"""WITH {_FUNNEL}, counts AS (
 SELECT *, {_pct("step_2_seen", "universe")} AS universe_to_step_2_seen_pct,
        {_pct("step_3_large", "step_2_seen")} AS step_2_seen_to_step_3_large_pct FROM counts"""
 
+_TIERS = [
+    ("paid_amount > 300000 AND order_status = 'F'", "Segment A"),
+    ("paid_amount > 200000", "Segment B"),
+    ("order_status = 'P'", "Segment C"),
+]
+_TIER_FLAGS = ", ".join(f"{_flag(cond)} AS flag_tier_{i}" for i, (cond, _) in enumerate(_TIERS, 1))
+
 _SEGMENTED = f"""{CLAIMS},
 segmented AS (
   SELECT claim_id, entity_id, service_date, CAST(paid_amount AS DOUBLE) AS paid_amount, order_status,
-         priority,
-         CASE WHEN paid_amount > 300000 AND order_status = 'F' THEN 'Segment A'
-              WHEN paid_amount > 200000 THEN 'Segment B'
-              WHEN order_status = 'P' THEN 'Segment C' ELSE 'Other' END AS segment,
-         CASE WHEN paid_amount > 300000 AND order_status = 'F' THEN 1 ELSE 0 END AS flag_tier_1,
-         CASE WHEN paid_amount > 200000 THEN 1 ELSE 0 END AS flag_tier_2,
-         CASE WHEN order_status = 'P' THEN 1 ELSE 0 END AS flag_tier_3
+         priority, {_case(_TIERS, "Other")} AS segment, {_TIER_FLAGS}
   FROM claims)"""
 
 ORACLE_SQL["waterfall_segment"] = f"WITH {_SEGMENTED} SELECT * FROM segmented"
 
+_STAGES = [(f"distinct_event_days >= {n}", label) for label, n in EVER_STAGES]
+_STAGE_FLAGS = ", ".join(f"{_flag(cond)} AS is_{label.lower()}" for cond, label in _STAGES)
+
 ORACLE_SQL["ever_flag"] = f"""WITH {CLAIMS}, counts AS (
   SELECT entity_id, priority, min(service_date) AS first_event_date,
          count(DISTINCT service_date) AS distinct_event_days, count(*) AS total_events
   FROM claims GROUP BY 1, 2)
-SELECT *, CASE WHEN distinct_event_days >= 4 THEN 'Adopter' WHEN distinct_event_days >= 2 THEN 'User'
-               WHEN distinct_event_days >= 1 THEN 'Trialist' ELSE 'None' END AS classification,
-       CASE WHEN distinct_event_days >= 4 THEN 1 ELSE 0 END AS is_adopter,
-       CASE WHEN distinct_event_days >= 2 THEN 1 ELSE 0 END AS is_user,
-       CASE WHEN distinct_event_days >= 1 THEN 1 ELSE 0 END AS is_trialist
-FROM counts"""
+SELECT *, {_case(_STAGES, NO_STAGE)} AS classification, {_STAGE_FLAGS} FROM counts"""
 
-_STATUS = """CASE WHEN fill_number = 1 THEN 'Index Fill' WHEN days_since_prior_fill <= 45 THEN 'Continuous'
-            WHEN days_since_prior_fill <= 90 THEN 'Short Gap' ELSE 'Lapse / Restart' END"""
+_STATUS = _case(
+    [
+        ("fill_number = 1", INDEX_FILL),
+        (f"days_since_prior_fill <= {SHORT_DAYS}", CONTINUOUS),
+        (f"days_since_prior_fill <= {LAPSE_DAYS}", SHORT_GAP),
+    ],
+    LAPSE,
+)
 
 ORACLE_SQL["fill_gap"] = f"""WITH {FILLS}, gaps AS (
   SELECT entity_id, {TIES}, service_date AS fill_date,
@@ -291,11 +320,11 @@ ORACLE_SQL["comorbidity"] = f"""WITH {FILLS}, {CUSTOMERS},
 {_roster("roster_b", B, "2001-02-01", "2001-04-30")},
 flags AS (
   SELECT entity_id, name, region,
-         CASE WHEN entity_id IN (SELECT entity_id FROM roster_a) THEN 1 ELSE 0 END AS has_a,
-         CASE WHEN entity_id IN (SELECT entity_id FROM roster_b) THEN 1 ELSE 0 END AS has_b
+         {_flag("entity_id IN (SELECT entity_id FROM roster_a)")} AS has_a,
+         {_flag("entity_id IN (SELECT entity_id FROM roster_b)")} AS has_b
   FROM customers WHERE status = 'active')
-SELECT *, CASE WHEN has_a = 1 AND has_b = 1 THEN 'Comorbid' WHEN has_a = 1 THEN 'A Only'
-               WHEN has_b = 1 THEN 'B Only' ELSE 'Neither' END AS condition_segment
+SELECT *, {_case([("has_a + has_b = 2", "Comorbid"), ("has_a = 1", "A Only"), ("has_b = 1", "B Only")],
+                 "Neither")} AS condition_segment
 FROM flags"""
 
 ORACLE_SQL["monthly_trend_mom"] = f"""WITH {CLAIMS}, monthly AS (
@@ -473,6 +502,26 @@ ORACLE_SQL["account_rollup"] = f"""WITH {_ACCOUNT_SEGMENT}
 SELECT *, CASE WHEN account_segment_granular = 'Community' THEN 'Community'
                ELSE 'Non-Community' END AS account_segment FROM segmented"""
 
+_IS_BASE = " OR ".join(f"contains(regimen, '{word}')" for word in ("PROMO", "ECONOMY", "STANDARD"))
+_REGIMEN = _case(
+    [
+        ("contains(regimen, 'LARGE')", "Focal"),
+        (f"contains(regimen, 'Brand#1') AND ({_IS_BASE})", "Base and partner"),
+        ("contains(regimen, 'Brand#1')", "Partner"),
+        (f"({_IS_BASE})", "Base"),
+    ],
+    "Other",
+)
+# coalesce(line_f, line) >= line: no focal line yet, or this one, or a later one
+_BUCKET = _case(
+    [
+        ("line > greatest(line_a, line_b) AND line_a + line_b > 0 AND coalesce(line_f, line) >= line", "After both"),
+        ("line > line_a AND coalesce(line_f, line) >= line", "After one"),
+        ("line = 1", "First line"),
+        ("line_a IS NULL OR (line BETWEEN 2 AND line_a - 1)", "Naive"),
+    ]
+)
+
 _LINES = f"""{FILLS},
 first_fills AS (
   SELECT entity_id AS patient_id, provider_id, product_class,
@@ -491,16 +540,8 @@ lines AS (
 tagged AS (
   SELECT DISTINCT patient_id, strftime(start_date, '%Y-%m') AS month, line, provider_id, regimen,
          CASE WHEN date_trunc('month', start_date) >= DATE '1996-12-01' THEN 1 ELSE 0 END AS eligible,
-         CASE WHEN regimen LIKE '%LARGE%' THEN 'Focal'
-              WHEN regimen LIKE '%Brand#1%' AND (regimen LIKE '%PROMO%' OR regimen LIKE '%ECONOMY%'
-                   OR regimen LIKE '%STANDARD%') THEN 'Base and partner'
-              WHEN regimen LIKE '%Brand#1%' THEN 'Partner'
-              WHEN regimen LIKE '%PROMO%' OR regimen LIKE '%ECONOMY%' OR regimen LIKE '%STANDARD%'
-              THEN 'Base' ELSE 'Other' END AS regimen_class,
-         CASE WHEN line > line_a AND line > line_b AND (line_f IS NULL OR line_f >= line) THEN 'After both'
-              WHEN line > line_a AND (line_f IS NULL OR line <= line_f) THEN 'After one'
-              WHEN line = 1 THEN 'First line'
-              WHEN line_a IS NULL OR (line < line_a AND line >= 2) THEN 'Naive' END AS bucket,
+         {_REGIMEN} AS regimen_class,
+         {_BUCKET} AS bucket,
          line_initiation, line_a, line_b, line_f
   FROM lines WHERE line_initiation = 1),
 classified AS (
@@ -551,14 +592,17 @@ cumulative AS (
 
 ORACLE_SQL["provider_monthly"] = f"WITH {_STARTS} SELECT * FROM monthly"
 ORACLE_SQL["provider_cumulative"] = f"WITH {_STARTS} SELECT * FROM cumulative"
-ORACLE_SQL["stage_3bucket"] = f"""WITH {_STARTS}
-SELECT *, CASE WHEN cumulative_new_starts = 1 THEN 'Trialist' WHEN cumulative_new_starts = 2 THEN 'User'
-               WHEN cumulative_new_starts >= 3 THEN 'Adopter' END AS stage
-FROM cumulative WHERE cumulative_new_starts > 0"""
-ORACLE_SQL["stage_2bucket"] = f"""WITH {_STARTS}
-SELECT *, CASE WHEN cumulative_new_starts = 1 THEN 'Trialist'
-               WHEN cumulative_new_starts >= 5 THEN 'Adopter' END AS stage
-FROM cumulative WHERE cumulative_new_starts > 0"""
+
+
+def _stages(exact: tuple, at_least: tuple[str, int]) -> str:
+    branches = [(f"cumulative_new_starts = {n}", label) for label, n in exact]
+    branches.append((f"cumulative_new_starts >= {at_least[1]}", at_least[0]))
+    return f"""WITH {_STARTS}
+SELECT *, {_case(branches)} AS stage FROM cumulative WHERE cumulative_new_starts > 0"""
+
+
+ORACLE_SQL["stage_3bucket"] = _stages(**THREE_STAGES)
+ORACLE_SQL["stage_2bucket"] = _stages(**TWO_STAGES)
 ORACLE_SQL["net_new_list"] = f"""WITH {_STARTS}
 SELECT provider_id, min(month) AS month, 1 AS is_net_new FROM monthly GROUP BY 1"""
 ORACLE_SQL["net_new_summary"] = f"""WITH {_STARTS},
