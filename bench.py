@@ -1,7 +1,8 @@
 """Time every query of the catalog and print one JSON line.
 
-Each query is run to the end (all rows written to the no-op sink) once to warm up and then
-``BENCH_RUNS`` times; the median counts. ``BENCH_QUERIES`` limits the run to some of them.
+Each query is run to the end (all rows written to the no-op sink), once to warm up and then
+``BENCH_RUNS`` times; the median counts. ``BENCH_QUERIES`` limits the run to some of them and
+``BENCH_PLANS`` names a file for the seconds and planned shuffles per query.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def shuffles(df: DataFrame) -> int:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     chosen = os.environ.get("BENCH_QUERIES", "").split() or list(QUERIES)
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     seconds, planned = {}, {}
