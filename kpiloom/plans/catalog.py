@@ -689,7 +689,7 @@ def kpi_missing(spark: SparkSession, d: str) -> DataFrame:
     return kpi.kpi_missing(kpi_run(spark, d), SPECS)
 
 
-SEARCH = {"keywords": ("heon", "queaux"), "participants": ("user", "system")}
+SEARCH = {"keywords": ("heon", "eaux"), "participants": ("user", "system")}
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -702,7 +702,7 @@ def _shown(found: DataFrame) -> DataFrame:
 def thread_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(
         threads.thread_search(
-            b.messages(spark, d), **SEARCH, recency_days=26, as_of="2024-02-01"
+            b.messages(spark, d), **SEARCH, recency_days=30, as_of="2024-02-01"
         )
     )
 

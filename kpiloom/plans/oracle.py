@@ -869,11 +869,11 @@ _MESSAGES = """messages AS (
          (SELECT max(substring(t.text, 1, 80)) FROM conversations t
           WHERE t.conv_id = c.conv_id AND t.turn = 0) AS subject
   FROM conversations c)"""
-_HIT = """(contains(lower(text), 'heon') OR contains(lower(text), 'queaux'))
+_HIT = """(contains(lower(text), 'heon') OR contains(lower(text), 'eaux'))
     AND sender IN ('user', 'system')"""
 
 ORACLE_SQL["thread_search"] = f"""WITH {_MESSAGES},
-recent AS (SELECT * FROM messages WHERE CAST(ts AS DATE) >= DATE '2024-02-01' - 26)
+recent AS (SELECT * FROM messages WHERE CAST(ts AS DATE) >= DATE '2024-02-01' - 30)
 SELECT thread_id, seq, CAST(ts AS DATE) AS sent_date, sender, subject, text FROM recent
 WHERE thread_id IN (SELECT thread_id FROM recent WHERE {_HIT})"""
 
