@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from kpiloom.functions.exprs import Names, day_of, names
 
-# Keys with at least this many rows are split. Below it a key's window is a few seconds of
+# Keys with at least this many rows are split, unless a call says otherwise. Below it a key's window is a few seconds of
 # work. It also bounds what is broadcast: there are at most (rows / HOT_ROWS) such keys, that
 # is 200,000 keys for a table of 10^12 rows.
 HOT_ROWS = 5_000_000
@@ -31,9 +31,10 @@ NO_DAY = "0001-01-01"
 SALTS = 512
 
 
-def hot_keys(df: DataFrame, keys: Names, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Names, hot_rows: int | None = None) -> DataFrame:
     """Key values with at least ``hot_rows`` rows; at most ``rows / hot_rows`` of them."""
     keys = names(keys)
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     return counted.filter(F.col("__rows") >= hot_rows).select(*keys)
 
@@ -77,7 +78,7 @@ class DaySplit:
         return rows.join(carried, self.parts, "left").drop(*self.parts, "__hot")
 
 
-def split_by_day(df: DataFrame, keys: Names, date: str, hot_rows: int = HOT_ROWS) -> DaySplit:
+def split_by_day(df: DataFrame, keys: Names, date: str, hot_rows: int | None = None) -> DaySplit:
     keys = names(keys)
     stand_ins = [f"__key{i}" for i in range(len(keys))]
     nulls = [f"__null{i}" for i in range(len(keys))]
@@ -100,19 +101,22 @@ def lookup(
     rows: DataFrame,
     unique: DataFrame,
     key: str,
+    spread: Names,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join rows, of which one key may hold many, to a table with one row per key.
 
-    Hot keys are spread over ``SALTS`` parts by a hash of the whole row, and only their lookup
-    rows are repeated for each part. Every row still meets exactly one lookup row. Rows with an
-    unknown key, which meet none, are spread as well.
+    Hot keys are spread over ``SALTS`` parts by a hash of the ``spread`` columns, which should
+    tell the rows of a key apart, and only their lookup rows are repeated for each part. Every
+    row still meets exactly one lookup row. Rows with an unknown key, which meet none, are
+    spread as well. A hash, unlike a random number, gives a row the same part when a lost task
+    is repeated.
     """
     hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("__hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.xxhash64(*names(spread)), F.lit(SALTS)).cast("int")
     salted = rows.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(0)
+        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), part).otherwise(0)
     )
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     repeated = unique.join(hot, key, "left").withColumn(

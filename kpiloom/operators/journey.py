@@ -22,7 +22,7 @@ from kpiloom.functions.exprs import (
     shift_months,
     today_or,
 )
-from kpiloom.functions.hotkeys import BUCKET, HOT_ROWS, split_by_day
+from kpiloom.functions.hotkeys import split_by_day
 from kpiloom.functions.tiers import first_match
 
 # fixed values: names and limits in days of the gap classes
@@ -230,7 +230,7 @@ def fill_gaps(
     short: int = SHORT_DAYS,
     lapse: int = LAPSE_DAYS,
     keep: Names = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every fill with the fill before, the days between, its number and its status.
 
@@ -362,14 +362,14 @@ def fill_episodes(
     tiebreak: Names,
     floor: DateLike | None = None,
     where: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every fill with the next fill, its episode and the episode's first date.
 
     A new start opens an episode, so the episode number is the running sum of new starts and
     the episode's first date is the date of the latest new start so far (the first fill of all
     before any). Both come from one sort of a patient's fills of a product; patients above
-    ``hot_rows`` rows are split by day. Fills without a date are left out.
+    ``hot_rows`` rows (:data:`kpiloom.functions.hotkeys.HOT_ROWS`) are split by day. Fills without a date are left out.
     """
     ties = names(tiebreak)
     keys = ["entity_id", "product"]

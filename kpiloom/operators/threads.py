@@ -58,4 +58,4 @@ def thread_search(
     if scope == MOST_RECENT:
         latest = latest_per_key(recent, "thread_id", "ts", "seq")
         return latest.join(threads, "thread_id", "left_semi")
-    return lookup(recent, threads, "thread_id", "inner")
+    return lookup(recent, threads, "thread_id", "seq", "inner")

@@ -634,8 +634,10 @@ def fanout_offenders(spark: SparkSession, d: str) -> DataFrame:
 @query
 def join_fanout(spark: SparkSession, d: str) -> DataFrame:
     claims = b.claims(spark, d)
-    lines = b.fills(spark, d, "l_orderkey").withColumnRenamed("l_orderkey", "claim_id")
-    return quality.join_fanout(claims, lookup(lines, claims, "claim_id", "inner"), "claim_id")
+    lines = b.fills(spark, d, "l_orderkey", "l_linenumber", "l_partkey")
+    lines = lines.withColumnRenamed("l_orderkey", "claim_id")
+    joined = lookup(lines, claims, "claim_id", ["l_linenumber", "l_partkey"], "inner")
+    return quality.join_fanout(claims, joined, "claim_id")
 
 
 @query

@@ -61,7 +61,7 @@ def claims(spark: SparkSession, folder: str, with_region: bool = False) -> DataF
     )
     if with_region:
         places = customer(spark, folder).select("entity_id", "region")
-        rows = lookup(rows, places, "entity_id")
+        rows = lookup(rows, places, "entity_id", "claim_id")
     return rows
 
 
@@ -276,7 +276,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         "timestamp_ntz'2024-01-01 00:00:00'"
         " + make_dt_interval(cast(conv_id % 3650 as int), 0, cast(turn as int), 0)"
     )
-    return lookup(turns, subjects, "conv_id").select(
+    return lookup(turns, subjects, "conv_id", "turn").select(
         F.col("conv_id").alias("thread_id"),
         F.col("turn").alias("seq"),
         sent.alias("ts"),

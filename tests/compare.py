@@ -20,9 +20,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def oracle_table(connection: duckdb.DuckDBPyConnection, sql: str) -> pa.Table:
-    result = connection.execute(sql)
-    table = result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.arrow()
-    return table if isinstance(table, pa.Table) else table.read_all()
+    return connection.sql(sql).to_arrow_table()
 
 
 def _kind(kind: pa.DataType) -> str:

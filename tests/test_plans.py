@@ -75,3 +75,8 @@ def test_concordance_reads_the_lines_once(spark):
     result = QUERIES["concordance_market"](spark, DATA)
     result.collect()
     assert "ReusedExchange" in plan_of(result)
+
+
+def test_salted_lookups_do_not_widen_the_scan(spark):
+    plan = plan_of(QUERIES["monthly_trend_by_region"](spark, DATA))
+    assert "o_orderpriority" not in plan and "o_orderstatus" not in plan
