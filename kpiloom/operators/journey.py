@@ -12,7 +12,6 @@ from kpiloom.functions.exprs import (
     Names,
     between_days,
     day_of,
-    flag,
     month_of,
     months_apart,
     names,
@@ -20,6 +19,7 @@ from kpiloom.functions.exprs import (
     pct,
     require_columns,
     shift_months,
+    to_day,
     today_or,
 )
 from kpiloom.functions.hotkeys import split_by_day
@@ -106,7 +106,7 @@ def call_funnel(
     require_columns(roster, "entity_id")
     require_columns(calls, "entity_id", "activity_type", "activity_date")
     require_columns(claims, "entity_id", "service_date")
-    from_day = F.lit(today_or(since))
+    from_day = F.lit(to_day(since))
     identified = roster.select("entity_id").distinct()
     called = (
         calls.filter(
@@ -311,7 +311,7 @@ def provider_monthly(
         & F.col("provider_id").isNotNull()
     )
     if floor is not None:
-        starts = starts.filter(day_of("service_date") >= F.lit(today_or(floor)))
+        starts = starts.filter(day_of("service_date") >= F.lit(to_day(floor)))
     return (
         starts.groupBy("provider_id", month_of("service_date").alias("month"))
         .agg(F.count_distinct("entity_id").alias("monthly_new_starts"))
@@ -377,7 +377,7 @@ def fill_episodes(
     require_columns(fills, keys, carried_along, "service_date", "new_start", "birth_year", ties)
     rows = fills.filter(F.col("service_date").isNotNull())
     if floor is not None:
-        rows = rows.filter(day_of("service_date") >= F.lit(today_or(floor)))
+        rows = rows.filter(day_of("service_date") >= F.lit(to_day(floor)))
     if where is not None:
         rows = rows.filter(where)
     rows = rows.select(

@@ -18,6 +18,7 @@ from kpiloom.functions.exprs import (
     require_columns,
     shift_months,
     slug,
+    to_day,
     today_or,
 )
 from kpiloom.plans.registry import PATTERNS
@@ -132,9 +133,9 @@ def kpi_frame(
     require_columns(result, spec.period, spec.value, list(spec.grain))
     first, last = spec.days(as_of)
     if first is not None:
-        result = result.filter(day_of(spec.period) >= F.lit(today_or(first)))
+        result = result.filter(day_of(spec.period) >= F.lit(to_day(first)))
     if last is not None:
-        result = result.filter(day_of(spec.period) <= F.lit(today_or(last)))
+        result = result.filter(day_of(spec.period) <= F.lit(to_day(last)))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spec.grain]
     return result.select(
         F.lit(spec.name).alias("kpi"),

@@ -25,12 +25,10 @@ HOT = {
 ROW = {"orders": "o_orderkey", "lineitem": "l_orderkey + l_linenumber", "events": "event_id"}
 
 AFFECTED = """
-dedup_latest date_spine_fill_by_key rolling_3m_gap_filled cohort_retention cohort_exact_months funnel_steps
-ever_flag fill_gap fill_gap_by_day actuals_vs_goals topn_full entity_summary comorbidity
-monthly_trend_by_region top_cost call_funnel_ordered fixed_lod_avg rolling_6m_warmup period_growth_entity
-bucket_priority concordance_market concordance_provider stage_3bucket net_new_summary fill_episodes
-dosing_consolidated route_rules_table market_flags overlap_recent join_fanout join_cardinality
-segment_exclusivity kpi_missing thread_search thread_latest
+dedup_latest rolling_3m_gap_filled cohort_retention fill_gap fill_gap_by_day actuals_vs_goals topn_full
+entity_summary monthly_trend_by_region top_cost call_funnel_ordered fixed_lod_avg bucket_priority
+concordance_market stage_3bucket fill_episodes dosing_consolidated market_flags overlap_recent join_fanout
+join_cardinality kpi_missing thread_search thread_latest
 """.split()
 
 
