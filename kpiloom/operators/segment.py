@@ -301,15 +301,20 @@ def bucket_classified(
 
 
 def bucket_priority(classified: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Rows in the best bucket of their patient, month and line; ties are kept."""
+    """Rows in the best bucket of their patient, month and line; ties are kept.
+
+    ``labels`` lists the buckets from best to worst; rows in none of them are left out. Rank 1
+    becomes a group limit, which lets the other rows go while it reads a group.
+    """
     require_columns(classified, LINE_KEY, "bucket")
-    rank = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("bucket"))
-    best = F.min("__rank").over(Window.partitionBy(*LINE_KEY))
+    place = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("bucket"))
+    best_first = Window.partitionBy(*LINE_KEY).orderBy("__place")
     return (
-        classified.withColumn("__rank", rank)
-        .withColumn("__best", best)
-        .filter(F.col("__rank") == F.col("__best"))
-        .drop("__rank", "__best")
+        classified.filter(F.col("bucket").isin(*labels))
+        .withColumn("__place", place)
+        .withColumn("__rank", F.rank().over(best_first))
+        .filter("__rank = 1")
+        .drop("__place", "__rank")
     )
 
 

@@ -217,6 +217,8 @@ def test_bucket_priority_keeps_ties_and_is_idempotent(classified):
         (1, "other", "ao"), (1, "partner", "ao"), (2, "base", "1l"), (3, "base", "1l")
     ]
     assert rows(segment.bucket_priority(best, BUCKETS)) == rows(best)
+    # a bucket that is not listed has no priority
+    assert rows(segment.bucket_priority(classified, ("naive",)), "patient_id", "bucket") == [(1, "naive")]
 
 
 def test_concordance(frame):
