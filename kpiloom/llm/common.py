@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once in a task; a single longer text is a chunk of its own.
@@ -21,7 +22,7 @@ def text_chunks(
 ) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of at most ``limit`` bytes of text, or of one row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
         start, used = 0, 0
         while start < batch.num_rows:
@@ -42,3 +43,46 @@ def binary_rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     offsets = np.concatenate(([0], ends)).astype(np.int32)
     raw = pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), raw])
+
+
+class WordCache:
+    """Ids of words that a worker has met; when it holds ``limit`` words it starts afresh.
+
+    ``encode`` gives the ids of a list of different words, one after another, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.encode, self.limit = encode, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+
+    def texts(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of so many words each, one after another, and how many each text has."""
+        coded = words.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        if len(self.slots) > self.limit:
+            self._forget()
+        new = [w for w in different if w not in self.slots]
+        if new:
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+            ids, sizes = self.encode(new)
+            self.ids = np.concatenate((self.ids, ids))
+            self.sizes = np.concatenate((self.sizes, sizes))
+        slot = np.fromiter(map(self.slots.__getitem__, different), np.int64, count=len(different))
+        slot = slot[coded.indices.to_numpy()]
+        sizes = self.sizes[slot]
+        starts = (np.cumsum(self.sizes) - self.sizes)[slot]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        return self.ids[ragged(starts, sizes)], np.diff(ends)
+
+
+def unused_character(texts: pa.Array, besides: str = " \n") -> str:
+    """The first character that none of the texts has."""
+    return next(
+        chr(c)
+        for c in range(1, 0x110000)
+        if chr(c) not in besides and not pc.any(pc.match_substring(texts, chr(c))).as_py()
+    )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.llm.common import binary_rows, ragged, text_chunks
+from kpiloom.llm.common import WordCache, binary_rows, ragged, text_chunks, unused_character
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int32).max
@@ -86,16 +86,11 @@ class PieceCodec:
         self.surface_size = np.array([len(s) for s in surface], dtype=np.int64)
         self.surface_start = np.cumsum(self.surface_size) - self.surface_size
         self.byte_id = np.array([self.bytes[b] for b in range(256)], dtype=np.int32)
-        self._forget()
+        self.cache = WordCache(self.merge, CACHED_WORDS)
         probe = ["ab  c", " x\n\ty ", "é一\U0001f600"]
         if self.encode(pa.array(probe))[0].tolist() != sum(self.library.encode(probe), []):
             raise ValueError("only BPE models with identity normalisation are read")
 
-    def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.store = np.empty(0, dtype=np.int32)
-        self.store_size = np.empty(0, dtype=np.int64)
-
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of neighbouring symbols."""
         key = left.astype(np.int64) * (self.count + CODE_POINTS) + right
@@ -183,11 +178,7 @@ class PieceCodec:
     def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Words that no piece crosses, and how many each text has. Some may be empty."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
-        cut = next(
-            chr(c)
-            for c in range(1, CODE_POINTS)
-            if chr(c) not in " \n" and not pc.any(pc.match_substring(texts, chr(c))).as_py()
-        )
+        cut = unused_character(texts)
         full = pc.greater(pc.binary_length(texts), 0)
         texts = pc.binary_join_element_wise(pc.if_else(full, SPACE, ""), texts, "")
         if not self.newline:
@@ -201,22 +192,7 @@ class PieceCodec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each text has."""
         words, counts = self.words(texts)
-        coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self.slots) > CACHED_WORDS:
-            self._forget()
-        new = [w for w in different if w not in self.slots]
-        if new:
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
-            ids, sizes = self.merge(new)
-            self.store = np.concatenate((self.store, ids))
-            self.store_size = np.concatenate((self.store_size, sizes))
-        slot = np.fromiter(map(self.slots.__getitem__, different), np.int64, count=len(different))
-        slot = slot[coded.indices.to_numpy()]
-        sizes = self.store_size[slot]
-        starts = (np.cumsum(self.store_size) - self.store_size)[slot]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.store[ragged(starts, sizes)], np.diff(ends)
+        return self.cache.texts(words, counts)
 
     def framed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with begin and end ids around each text."""
