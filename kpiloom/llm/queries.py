@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import sentencepieces, simhash, substrings
+from kpiloom.llm import sentencepieces, simhash, substrings, tokenids
 from kpiloom.llm.common import documents
+from kpiloom.sources.stage import checkpoint_folder
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4()}"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    tokenids.write_ids(documents(spark, sf_dir), path, tokenizer, end_id=2)
+    found = tokenids.read_ids(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     mark = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -36,6 +46,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
     "op8_substring_dedup": op8_substring_dedup,
 }
