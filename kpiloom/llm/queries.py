@@ -9,11 +9,54 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import sentencepieces, simhash, substrings, tokenids
+from kpiloom.llm import chat, quality, sentencepieces, simhash, substrings, tokenids
 from kpiloom.llm.common import documents
 from kpiloom.sources.stage import checkpoint_folder
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "</s>[INST] ok [/INST]"
+    more = [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    kinds = [table.schema[c] for c in ("conv_id", "turn", "role", "text")]
+    more = spark.createDataFrame(more, "conv_id long, turn long, role string, text string")
+    more = more.select(*(F.col(k.name).cast(k.dataType) for k in kinds))
+    made = chat.format_chats(table.select(*more.columns).unionByName(more))
+    turns = chat.parsed(F.col("formatted"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.learned_text(F.col("formatted"), F.col("loss_spans"))
+    return made.withColumn("turns", turns).withColumn("loss", loss).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, length(replace(replace(replace(replace(replace(role || chr(10) || text,
+        '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+        - 1 + 20 AS chars
+    FROM rows
+)
+SELECT conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+        AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = sentencepieces.encode_decode(documents(spark, sf_dir), model, ["doc_id"])
@@ -44,12 +87,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *names, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+}
