@@ -36,12 +36,12 @@ WIDTH = 13
 #: Odd bases of the two hash numbers.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows of a bucket, about, and the fewest buckets.
-BUCKET_WINDOWS = 8 << 20
+BUCKET_WINDOWS = 4 << 20
 LEAST_BUCKETS = 32
 #: Documents of a cell, about.
 CELL_DOCUMENTS = 2048
 #: Windows a bucket looks at together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 LOW56 = np.uint64((1 << 56) - 1)
 
 
