@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, quality, sentencepieces, simhash, substrings, tokenids
+from kpiloom.llm import chat, contamination, quality, sentencepieces, simhash, substrings, tokenids
 from kpiloom.llm.common import documents
 from kpiloom.sources.stage import checkpoint_folder
 
@@ -82,6 +82,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", mark, "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.contaminated(documents(spark, sf_dir), benchmark)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substrings.remove_repeats(documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
+    "op6_decontamination": op6_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
