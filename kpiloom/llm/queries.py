@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, contamination, quality, sentencepieces, simhash, substrings, tokenids
+from kpiloom.llm import (
+    chat,
+    contamination,
+    licenses,
+    quality,
+    secrets,
+    sentencepieces,
+    simhash,
+    substrings,
+    tokenids,
+    urls,
+)
 from kpiloom.llm.common import documents
 from kpiloom.sources.stage import checkpoint_folder
 
@@ -82,16 +93,90 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", mark, "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("sentences", ",").alias("sentences"),
+        F.array_join(F.array_sort(F.array_distinct("licenses")), ",").alias("licenses"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination.contaminated(documents(spark, sf_dir), benchmark)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    number = [
+        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in secrets.BASE_KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *number,
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substrings.remove_repeats(documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+URL_RULES = [
+    urls.host_rule("net/", "block"),
+    urls.host_rule("example.net/en/", "allow"),
+    urls.host_rule("example.com/de/", "block"),
+    urls.host_rule("org/fr/", "allow"),
+    urls.Rule("advertising host", ".ad?.**", "block"),
+    urls.Rule("tracking host", "*.track*.*/**", "block"),
+    urls.Rule("sign-in page", "**/login**", "block"),
+    urls.Rule("basket page", "**/cart**", "block"),
+    urls.Rule("archive", "**.zip", "block"),
+    urls.Rule("program", "**.exe", "block"),
+    urls.Rule("picture", "**.jp?g", "block"),
+    urls.Rule("small picture", "**.gif", "block"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = urls.judge(pages, URL_RULES, "allow", "page_id")
+    rule = F.when(F.col("tier") == 1, F.col("rule")).alias("rule")
+    return found.select("page_id", "host", "path", rule, "verdict")
+
+
+OP9_SQL = r"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM cut
+), named AS (
+    SELECT *, CASE
+        WHEN suffix('.' || host, '.example.net') AND prefix(path, '/en/') THEN 'example.net/en/'
+        WHEN suffix('.' || host, '.example.com') AND prefix(path, '/de/') THEN 'example.com/de/'
+        WHEN suffix('.' || host, '.org') AND prefix(path, '/fr/') THEN 'org/fr/'
+        WHEN suffix('.' || host, '.net') AND prefix(path, '/') THEN 'net/' END AS rule
+    FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN regexp_matches('.' || host || path,
+        '(?s)^\.ad.\.|^[^/]*\.track[^/]*\.[^/]*/|/login|/cart|\.(zip|exe|gif|jp.g)$') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM named
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(documents(spark, sf_dir))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -103,12 +188,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_ids": op3_token_ids,
     "op4_simhash": op4_simhash,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_secret_scan": op7_secret_scan,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op9_url_filter": OP9_SQL,
 }
