@@ -21,10 +21,12 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,12 @@ from kpiloom.llm.common import WordCache, binary_rows, text_chunks, unused_chara
 from kpiloom.sources.stage import checkpoint_folder, stage_table
 
 CACHED_WORDS = 500_000
+#: New words that the library encodes in one call.
+LIBRARY_WORDS = 8192
+#: New words of the usual form that are joined to one text.
+JOINED_WORDS = 256
+#: A Latin letter before ASCII punctuation other than the apostrophe.
+PUNCTUATED = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}])([!-&(-/:-@\[-`{-~])"
 #: Token ids of a block; only a single longer document makes more.
 BLOCK = 1 << 18
 #: Bytes of text in a part, about.
@@ -48,8 +56,9 @@ FEWEST_PARTS = 16
 class TokenCodec:
     """A tokenizer file, applied once to each different word of a chunk where that is exact.
 
-    The byte-level pattern never goes from other characters on to white space, so a text can be cut
-    before each run of it. Texts are encoded whole if the file has another pre-tokenizer.
+    The byte-level pattern never goes from other characters on to white space, nor from letters on to
+    punctuation, so a text can be cut before each run of white space and between a Latin letter and
+    ASCII punctuation. Texts are encoded whole if the file has another pre-tokenizer.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -64,24 +73,57 @@ class TokenCodec:
             before.get("type"), before.get("use_regex"), before.get("add_prefix_space")
         ) == ("ByteLevel", True, False)
         self.size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
-        self.cache = WordCache(self._encode, CACHED_WORDS)
+        self.cache = WordCache(self._words, CACHED_WORDS)
+        #: Bytes of each token: the byte-level alphabet has a character for every byte.
+        self.bytes = np.zeros(self.size, dtype=np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, count=int(sizes.sum())), sizes
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes = [np.empty(0, np.int32)], []
+        for at in range(0, len(texts), LIBRARY_WORDS):
+            some = self.library.encode_batch_fast(
+                texts[at : at + LIBRARY_WORDS], add_special_tokens=False
+            )
+            ids = [x.ids for x in some]
+            sizes += map(len, ids)
+            parts.append(np.array(list(chain.from_iterable(ids)), dtype=np.int32))
+        return np.concatenate(parts), np.array(sizes, dtype=np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, with words of the usual form joined: a space or newline, then others.
+
+        One such word ends where the next begins, and no token goes across, so the sizes follow from
+        the bytes of the tokens.
+        """
+        usual = np.array([w[:1] in (" ", "\n") and not w[-1].isspace() for w in words], dtype=bool)
+        some = list(compress(words, usual))
+        texts = ["".join(some[at : at + JOINED_WORDS]) for at in range(0, len(some), JOINED_WORDS)]
+        ids = self._each(texts)[0]
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, count=len(some)))
+        spans = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+        rest, rest_sizes = self._each(list(compress(words, ~usual)))
+        sizes = np.empty(len(words), dtype=np.int64)
+        sizes[usual], sizes[~usual] = np.diff(spans, prepend=0), rest_sizes
+        out = np.empty(len(ids) + len(rest), dtype=np.int32)
+        out[np.repeat(usual, sizes)], out[np.repeat(~usual, sizes)] = ids, rest
+        return out, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each text has."""
         texts = pc.fill_null(texts, "")
         if not self.cuts:
-            return self._encode(texts.to_pylist())
-        cut = unused_character(texts, "".join([" \n", *self.spaces]))
+            return self._each(texts.to_pylist())
+        cut = unused_character(texts, "".join([" \n\\0123456789", *self.spaces]))
         for space in " \n":
             texts = pc.replace_substring(texts, space, cut + space)
-        for space in [" ", "\n", *self.spaces]:  # no cut inside a run
+        for space in " \n":  # no cut inside a run
             texts = pc.replace_substring(texts, space + cut, space)
+        others = f"([{''.join(self.spaces)}])" + re.escape(cut)
+        if pc.any(pc.match_substring_regex(texts, others)).as_py():
+            texts = pc.replace_substring_regex(texts, others, "\\1")
+        texts = pc.replace_substring_regex(texts, PUNCTUATED, f"\\1{cut}\\2")
         lists = pc.split_pattern(texts, cut)
         return self.cache.texts(lists.flatten(), np.diff(lists.offsets.to_numpy()))
 
