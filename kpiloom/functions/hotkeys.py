@@ -1,12 +1,9 @@
-"""Windows and lookups that survive a key holding a large part of all rows.
+"""Windows over the rows of an entity of which one may hold a large part of all rows.
 
-A window over one entity runs in one task. For an ordinary entity that is what we want: one
-shuffle, one sort. For an entity with a third of the table it is a task that never ends. Such
-hot keys are split by calendar day: the window runs inside each (key, day), and what has to
-cross from one day to the next is carried by a small table with one row per hot key and day.
-
-A lookup by key has the same problem when what follows groups by that key: adaptive execution
-splits a skewed join only where this adds no shuffle. There hot keys are salted.
+A window over one entity runs in one task. For an entity with a third of the table that is a task
+that never ends. So all entities are split by calendar day, in one way at every size: rows are
+placed by key and day, the window runs inside each (key, day), and what has to cross from one day to
+the next is carried by a table with one row per key and day, made from the same exchange.
 """
 
 from __future__ import annotations
@@ -19,25 +16,9 @@ from pyspark.sql import types as T
 
 from kpiloom.functions.exprs import Names, day_of, names
 
-# Keys with at least this many rows are split, unless a call says otherwise. Below it a key's window is a few seconds of
-# work. It also bounds what is broadcast: there are at most (rows / HOT_ROWS) such keys, that
-# is 200,000 keys for a table of 10^12 rows.
-HOT_ROWS = 5_000_000
-
 BUCKET = "__bucket"
 NO_DAY = "0001-01-01"
 
-# Parts a hot key is salted into: a third of all rows becomes less than 0.1 percent per part.
-SALTS = 512
-
-
-def hot_keys(df: DataFrame, keys: Names, hot_rows: int | None = None) -> DataFrame:
-    """Key values with at least ``hot_rows`` rows; at most ``rows / hot_rows`` of them."""
-    keys = names(keys)
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return counted.filter(F.col("__rows") >= hot_rows).select(*keys)
-
 
 def _never_null(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
@@ -53,7 +34,7 @@ class DaySplit:
     """Rows with helper columns that place each of them in a window group.
 
     ``parts`` are NULL-free stand-ins for the keys (so that a plain equi-join matches NULL
-    keys as well) followed by the bucket: one constant for ordinary keys, the day for hot ones.
+    keys as well) followed by the day. ``rows`` are shuffled by them once.
     """
 
     rows: DataFrame
@@ -62,23 +43,29 @@ class DaySplit:
     def window(self, *order: str | Column) -> WindowSpec:
         return Window.partitionBy(*self.parts).orderBy(*order)
 
+    def whole(self, first: str) -> Column:
+        """A row as a struct that begins with ``first``: as it has every column, an aggregate
+        of it reads the same exchange as the window does."""
+        others = [c for c in self.rows.columns if c != first and c not in self.parts]
+        return F.struct(first, *others)
+
     def per_day(self, *aggregates: Column) -> DataFrame:
-        """One row per hot key and day. Aggregated map-side, so a hot key does not travel."""
-        return self.rows.filter("__hot").groupBy(*self.parts).agg(*aggregates)
+        """One row per key and day."""
+        return self.rows.groupBy(*self.parts).agg(*aggregates)
 
     def along_days(self) -> WindowSpec:
-        """Order over the days of one hot key; as long as the calendar, not as the table."""
+        """Order over the days of one key; as long as the calendar, not as the table."""
         return Window.partitionBy(*self.parts[:-1]).orderBy(BUCKET)
 
     def attach(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
-        """Join the carried values to the rows; ordinary keys get NULLs.
+        """Join the carried values to the rows.
 
         The join keys are the window's partition keys, so the rows are not shuffled again.
         """
-        return rows.join(carried, self.parts, "left").drop(*self.parts, "__hot")
+        return rows.join(carried, self.parts, "left").drop(*self.parts)
 
 
-def split_by_day(df: DataFrame, keys: Names, date: str, hot_rows: int | None = None) -> DaySplit:
+def split_by_day(df: DataFrame, keys: Names, date: str) -> DaySplit:
     keys = names(keys)
     stand_ins = [f"__key{i}" for i in range(len(keys))]
     nulls = [f"__null{i}" for i in range(len(keys))]
@@ -86,41 +73,7 @@ def split_by_day(df: DataFrame, keys: Names, date: str, hot_rows: int | None = N
         "*",
         *[_never_null(df, k).alias(s) for k, s in zip(keys, stand_ins)],
         *[F.col(k).isNull().alias(n) for k, n in zip(keys, nulls)],
+        F.coalesce(day_of(date), F.lit(NO_DAY).cast("date")).alias(BUCKET),
     )
-    parts = [*stand_ins, *nulls]
-    hot = hot_keys(tagged, parts, hot_rows).withColumn("__hot", F.lit(True))
-    # bounded by rows / hot_rows, see HOT_ROWS
-    tagged = tagged.join(F.broadcast(hot), parts, "left")
-    tagged = tagged.withColumn("__hot", F.coalesce(F.col("__hot"), F.lit(False)))
-    day = F.coalesce(day_of(date), F.lit(NO_DAY).cast("date"))
-    bucket = F.when(F.col("__hot"), day).otherwise(F.lit(NO_DAY).cast("date"))
-    return DaySplit(tagged.withColumn(BUCKET, bucket), [*parts, BUCKET])
-
-
-def lookup(
-    rows: DataFrame,
-    unique: DataFrame,
-    key: str,
-    spread: Names,
-    how: str = "left",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Join rows, of which one key may hold many, to a table with one row per key.
-
-    Hot keys are spread over ``SALTS`` parts by a hash of the ``spread`` columns, which should
-    tell the rows of a key apart, and only their lookup rows are repeated for each part. Every
-    row still meets exactly one lookup row. Rows with an unknown key, which meet none, are
-    spread as well. A hash, unlike a random number, gives a row the same part when a lost task
-    is repeated.
-    """
-    hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("__hot", F.lit(True)))
-    part = F.pmod(F.xxhash64(*names(spread)), F.lit(SALTS)).cast("int")
-    salted = rows.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), part).otherwise(0)
-    )
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    repeated = unique.join(hot, key, "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    joined = salted.drop("__hot").join(repeated.drop("__hot"), [key, "__salt"], how)
-    return joined.drop("__salt")
+    parts = [*stand_ins, *nulls, BUCKET]
+    return DaySplit(tagged.repartition(*parts), parts)

@@ -50,7 +50,7 @@ class RouteRule:
     """
 
     label: str
-    product: str
+    product: str | None = None
     source: str | None = None
     proc_codes: tuple[str, ...] = ()
     ndcs: tuple[str, ...] = ()
@@ -59,7 +59,9 @@ class RouteRule:
     generic_not: str | None = None
 
     def condition(self) -> Column:
-        terms = [F.col("product") == self.product]
+        terms = [F.lit(True)]
+        if self.product is not None:
+            terms.append(F.col("product") == self.product)
         if self.source is not None:
             terms.append(F.col("source") == self.source)
         if self.proc_codes:

@@ -17,7 +17,7 @@ from kpiloom.functions.exprs import (
     require_columns,
 )
 from kpiloom.functions.tiers import at_least, first_match
-from kpiloom.sources.stage import reliable_copy
+from kpiloom.sources.stage import reliable_copy, stage_table
 
 # fixed values: stage names and distinct-day thresholds of the ever-flag classification
 EVER_STAGES = (("Adopter", 4), ("User", 2), ("Trialist", 1))
@@ -89,12 +89,21 @@ def top_n(
 
 
 def rank_all(
-    df: DataFrame, id: str, value: str, segment: str, tiebreak: Names | None = None
+    df: DataFrame,
+    id: str,
+    value: str,
+    segment: str,
+    tiebreak: Names | None = None,
+    path: str | None = None,
 ) -> DataFrame:
     """The three ranks of :func:`top_n` for every row, without a single-task window.
 
     The rows are range-partitioned once and stored, which fixes the content of every
     partition. Ranks are then local ranks plus the totals of the partitions before.
+
+    The copy is written at ``path``, on storage that all executors share, and must stay until the
+    result has been used; :func:`kpiloom.sources.stage.remove` then takes it away. Without a path
+    it lies below the checkpoint folder, which the cluster's own retention clears.
     """
     order_names = [value, *names(tiebreak or id)]
     columns = list(dict.fromkeys([id, value, segment, *order_names]))
@@ -103,7 +112,7 @@ def rank_all(
     by_range = df.select(*columns).repartitionByRange(*order).withColumn(
         "__part", F.spark_partition_id()
     )
-    ranged = reliable_copy(by_range)
+    ranged = stage_table(by_range, path) if path else reliable_copy(by_range)
 
     in_part = Window.partitionBy("__part").orderBy(*order)
     in_part_by_value = Window.partitionBy("__part").orderBy(F.col(value).desc())

@@ -152,7 +152,7 @@ def entity_summary(
     as_of: DateLike | None = None,
     months: int = 24,
 ) -> DataFrame:
-    """Recently diagnosed entities with their claims and calls in a date range.
+    """Entities diagnosed in the ``months`` before ``as_of``, with claims and calls in a date range.
 
     One row per entity: the roster keeps each entity's latest diagnosis and both facts are
     summed per entity before the joins.
@@ -161,9 +161,9 @@ def entity_summary(
     require_columns(claims, "entity_id", "claim_id", "service_date", "paid_amount")
     require_columns(calls, "entity_id", "activity_date")
     require_columns(customer, "entity_id", "name", "region")
-    since = F.lit(shift_months(today_or(as_of), -months))
+    end = today_or(as_of)
     recent = (
-        roster.filter(day_of("diagnosis_date") >= since)
+        roster.filter(between_days("diagnosis_date", shift_months(end, -months), end))
         .groupBy("entity_id")
         .agg(F.max(day_of("diagnosis_date")).alias("diagnosis_date"))
     )
@@ -230,19 +230,18 @@ def fill_gaps(
     short: int = SHORT_DAYS,
     lapse: int = LAPSE_DAYS,
     keep: Names = (),
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every fill with the fill before, the days between, its number and its status.
 
-    Fills of one day follow each other with a gap of 0. One shuffle by key; keys above
-    ``hot_rows`` rows are split by day (:mod:`kpiloom.functions.hotkeys`).
+    Fills of one day follow each other with a gap of 0. Rows are shuffled once, by key and day
+    (:mod:`kpiloom.functions.hotkeys`).
     """
     keys, ties = names(id), names(tiebreak)
     require_columns(df, keys, date, ties, keep)
     fills = df.select(
         *dict.fromkeys([*keys, *ties, *names(keep)]), F.col(date).alias("fill_date")
     )
-    split = split_by_day(fills, keys, "fill_date", hot_rows)
+    split = split_by_day(fills, keys, "fill_date")
 
     in_order = split.window("fill_date", *ties)
     numbered = split.rows.withColumns(
@@ -252,7 +251,8 @@ def fill_gaps(
         }
     )
     daily = split.per_day(
-        F.max("fill_date").alias("__last"), F.count(F.lit(1)).alias("__rows")
+        F.max(split.whole("fill_date"))["fill_date"].alias("__last"),
+        F.count(F.lit(1)).alias("__rows"),
     )
     days = split.along_days()
     carried = daily.select(
@@ -362,14 +362,13 @@ def fill_episodes(
     tiebreak: Names,
     floor: DateLike | None = None,
     where: Column | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every fill with the next fill, its episode and the episode's first date.
 
     A new start opens an episode, so the episode number is the running sum of new starts and
     the episode's first date is the date of the latest new start so far (the first fill of all
-    before any). Both come from one sort of a patient's fills of a product; patients above
-    ``hot_rows`` rows (:data:`kpiloom.functions.hotkeys.HOT_ROWS`) are split by day. Fills without a date are left out.
+    before any). Rows are shuffled once, by patient, product and day
+    (:mod:`kpiloom.functions.hotkeys`). Fills without a date are left out.
     """
     ties = names(tiebreak)
     keys = ["entity_id", "product"]
@@ -386,7 +385,7 @@ def fill_episodes(
         (F.year("service_date") - F.nullif(F.col("birth_year"), F.lit(0))).alias("patient_age"),
         or_zero("new_start").alias("new_start"),
     )
-    split = split_by_day(rows, keys, "fill_date", hot_rows)
+    split = split_by_day(rows, keys, "fill_date")
 
     in_order = split.window("fill_date", *ties)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -400,7 +399,7 @@ def fill_episodes(
         }
     )
     daily = split.per_day(
-        F.min("fill_date").alias("__day_first"),
+        F.min(split.whole("fill_date"))["fill_date"].alias("__day_first"),
         F.sum("new_start").alias("__day_starts"),
         F.max(start_date).alias("__day_last_start"),
     )

@@ -131,6 +131,9 @@ def grain_check(df: DataFrame, candidates: Sequence[Names]) -> DataFrame:
     return checks
 
 
+# as wide as a sum of products of row counts can be stored
+WIDE = "decimal(38,0)"
+
 # fixed values: names of the join shapes
 ONE_TO_ONE, ONE_TO_MANY, MANY_TO_ONE, MANY_TO_MANY = "1:1", "1:N", "N:1", "N:M"
 
@@ -139,7 +142,7 @@ def join_cardinality(left: DataFrame, right: DataFrame, keys: Names) -> DataFram
     """Shape and size of an inner join, unmatched keys and rows, without doing the join.
 
     Both sides are reduced to one row per key; a key's joined rows are the product of its
-    counts. Unknown keys never match.
+    counts, a decimal without fraction, as two hot keys go past a long. Unknown keys never match.
     """
     on = names(keys)
     require_columns(left, on)
@@ -151,6 +154,7 @@ def join_cardinality(left: DataFrame, right: DataFrame, keys: Names) -> DataFram
     )
     in_left, in_right = F.col("l").isNotNull(), F.col("r").isNotNull()
     both = in_left & in_right
+    product = (F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")).cast(WIDE)
     summary = counts.agg(
         or_zero(F.sum("l")).alias("left_rows"),
         or_zero(F.sum("r")).alias("right_rows"),
@@ -159,7 +163,7 @@ def join_cardinality(left: DataFrame, right: DataFrame, keys: Names) -> DataFram
         F.count_if(in_right & ~in_left).alias("right_only_keys"),
         or_zero(F.sum(F.when(~in_right, F.col("l")))).alias("left_unmatched_rows"),
         or_zero(F.sum(F.when(~in_left, F.col("r")))).alias("right_unmatched_rows"),
-        or_zero(F.sum(F.col("l") * F.col("r"))).alias("joined_rows"),
+        F.coalesce(F.sum(product), F.lit(0).cast(WIDE)).cast(WIDE).alias("joined_rows"),
         or_zero(F.max(F.when(both, F.col("l")))).alias("max_left_rows_per_key"),
         or_zero(F.max(F.when(both, F.col("r")))).alias("max_right_rows_per_key"),
     )

@@ -264,8 +264,8 @@ def bucket_classified(
     """Line starts per provider, patient, line, month, eligibility, regimen class and bucket.
 
     ``floor`` is compared on the month, as text ``yyyy-MM``, so on the raw date it is the
-    first of that month. The distinct rows are placed by patient, month and line: the sums
-    here and the best priority of :func:`bucket_priority` then need no further shuffle.
+    first of that month. Rows are placed by patient, month and line once: the distinct rows,
+    the sums and the best priority of :func:`bucket_priority` need no further shuffle.
     """
     measures = ["line_initiation", "first_line_a", "first_line_b", "first_line_focal"]
     require_columns(lines, "patient_id", "provider_id", "regimen", "line", "start_date", measures)
@@ -282,6 +282,7 @@ def bucket_classified(
             flag(eligible).alias("eligible"),
             *measures,
         )
+        .repartition(*LINE_KEY)
         .distinct()
     )
     tagged = started.select(
@@ -293,8 +294,7 @@ def bucket_classified(
         "line_initiation",
     ).filter(F.col("bucket").isNotNull())
     return (
-        tagged.repartition(*LINE_KEY)
-        .groupBy(*LINE_KEY, "provider_id", "eligible", "regimen_class", "bucket")
+        tagged.groupBy(*LINE_KEY, "provider_id", "eligible", "regimen_class", "bucket")
         .agg(F.sum("line_initiation").alias("patients"))
         .filter("patients > 0")
     )
@@ -303,14 +303,17 @@ def bucket_classified(
 def bucket_priority(classified: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Rows in the best bucket of their patient, month and line; ties are kept.
 
-    ``labels`` lists the buckets from best to worst; rows in none of them are left out. Rank 1
-    becomes a group limit, which lets the other rows go while it reads a group.
+    ``labels`` lists the buckets from best to worst; rows in none of them are left out, and so
+    are rows of an unknown patient, month or line, which belong to no other row (see
+    :func:`kpiloom.operators.quality.fanout_check` for their number). Rank 1 becomes a group
+    limit, which lets the other rows go while it reads a group.
     """
     require_columns(classified, LINE_KEY, "bucket")
     place = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("bucket"))
     best_first = Window.partitionBy(*LINE_KEY).orderBy("__place")
     return (
         classified.filter(F.col("bucket").isin(*labels))
+        .dropna(subset=LINE_KEY)
         .withColumn("__place", place)
         .withColumn("__rank", F.rank().over(best_first))
         .filter("__rank = 1")
@@ -343,8 +346,7 @@ def concordance_market(prioritised: DataFrame, focal_class: str) -> DataFrame:
         F.round(ratio(F.col("__focal"), F.col("total_patients")), 4).alias("concordance"),
         "eligible_patients_seen",
     )
-    # one row per bucket label and calendar month: a few labels times at most 119,988 months
-    return per_row.select(*row).join(F.broadcast(measured), ["bucket", "month"])
+    return per_row.select(*row).join(measured, ["bucket", "month"])
 
 
 def concordance_provider(prioritised: DataFrame, focal_class: str) -> DataFrame:
@@ -450,15 +452,19 @@ def route_by_table(
 
     Rule columns: ``priority, product, source, proc_code, ndc, ndc_missing, strength,
     generic_not, label``; NULL matches anything, several codes are several rows. The rules of
-    a product become one ordered array, so a claim meets one row and is never multiplied.
-    Catalyst broadcasts the rules when they are small enough and splits skewed products when
+    a product become one ordered array, so a claim meets one row and is never multiplied; the
+    rules without a product are one more array, which every claim meets. Of both, the lowest
+    priority counts. The rules of one product, or of all, must fit into a row. Catalyst broadcasts the rules when they are small enough and splits skewed products when
     they are not.
     """
     require_columns(claims, "claim_id", ROUTE_COLUMNS, keep)
     matched = ["source", "proc_code", "ndc", "strength"]
     require_columns(rules, "priority", "product", matched, "ndc_missing", "generic_not", "label")
     rule = F.struct("priority", *matched, "ndc_missing", "generic_not", "label")
-    per_product = rules.groupBy("product").agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
+    ordered = F.sort_array(F.collect_list(rule))
+    known = rules.filter(F.col("product").isNotNull())
+    per_product = known.groupBy("product").agg(ordered.alias("__rules"))
+    general = rules.filter(F.col("product").isNull()).agg(ordered.alias("__general"))
 
     def matches(r: Column) -> Column:
         terms = r["generic_not"].isNull() | (F.col("generic_name") != r["generic_not"])
@@ -467,8 +473,17 @@ def route_by_table(
         missing = F.coalesce(r["ndc_missing"], F.lit(False))
         return terms & (~missing | F.col("ndc").isNull())
 
-    first = F.get(F.filter("__rules", matches), F.lit(0))["label"]
-    return claims.join(per_product, "product", "left").select(
+    def first(array: str) -> Column:
+        return F.get(F.filter(array, matches), F.lit(0))
+
+    own, common = first("__rules"), first("__general")
+    label = (
+        F.when(own.isNull(), common["label"])
+        .when(common.isNull() | (own["priority"] <= common["priority"]), own["label"])
+        .otherwise(common["label"])
+    )
+    joined = claims.join(per_product, "product", "left").withColumn("__general", general.scalar())
+    return joined.select(
         *dict.fromkeys(["claim_id", *ROUTE_COLUMNS, *names(keep)]),
-        F.coalesce(first, F.lit(default)).alias("route"),
+        F.coalesce(label, F.lit(default)).alias("route"),
     )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiloom.functions.exprs import (
+    between_days,
     DateLike,
     Names,
     day_of,
@@ -191,8 +193,8 @@ def monthly_trend(
 ) -> DataFrame:
     """Monthly total, distinct entities, prior month and its percentage change.
 
-    Starts ``months`` months before the current one and includes the current, part month. The
-    prior month is the previous one with data; ``gap_fill`` makes it the previous calendar
+    Starts ``months`` months before the month of ``as_of`` and ends with ``as_of``, so the last
+    month may be a part month. The prior month is the previous one with data; ``gap_fill`` makes it the previous calendar
     month.
     """
     require_columns(claims, "entity_id", "service_date", "paid_amount", by)
@@ -200,7 +202,7 @@ def monthly_trend(
     keys = names(by)
     first = shift_months(month_start(as_of), -months)
     monthly = (
-        claims.filter(day_of("service_date") >= F.lit(first))
+        claims.filter(between_days("service_date", first, as_of))
         .groupBy(month_of("service_date").alias("month"), *keys)
         .agg(
             F.sum("paid_amount").alias("total_paid"),
@@ -231,8 +233,9 @@ def yoy(
 ) -> DataFrame:
     """Rows of the current and the prior calendar year per key, and their change.
 
-    Keys seen only two years back are kept with zero counts. The current year is a part year;
-    ``ytd_aligned`` compares it with the same part of the prior year.
+    Keys seen only two years back are kept with zero counts. Rows after ``as_of`` don't count,
+    so the current year is a part year; ``ytd_aligned`` compares it with the same part of the
+    prior year.
     """
     require_columns(df, id, date)
     as_of = today_or(as_of)
@@ -240,10 +243,9 @@ def yoy(
     this_year = F.year(day) == as_of.year
     last_year = F.year(day) == as_of.year - 1
     if ytd_aligned:
-        this_year = this_year & (day <= F.lit(as_of))
         last_year = last_year & (day <= F.lit(shift_months(as_of, -12)))
     counts = (
-        df.filter(day >= F.lit(as_of.replace(year=as_of.year - 2, month=1, day=1)))
+        df.filter(between_days(date, as_of.replace(year=as_of.year - 2, month=1, day=1), as_of))
         .groupBy(*names(id))
         .agg(F.count_if(this_year).alias("cy_count"), F.count_if(last_year).alias("py_count"))
     )
@@ -346,7 +348,7 @@ def monthly_actuals(df: DataFrame, date: str, keys: Names, value: Column) -> Dat
 def actuals_vs_goals(actuals: DataFrame, goals: DataFrame, keys: Names) -> DataFrame:
     """Actuals and goals side by side, with the months and keys of either.
 
-    Keys are compared as text and values as whole numbers, whatever types the two tables use.
+    Keys are compared as text, whatever types the two tables use; values keep theirs.
     Unknown keys match nothing and would come out as two loose rows; they are left out.
     """
     on = ["month", *names(keys)]
@@ -354,10 +356,11 @@ def actuals_vs_goals(actuals: DataFrame, goals: DataFrame, keys: Names) -> DataF
     require_columns(goals, on, "goal_value")
 
     def aligned(df: DataFrame, value: str) -> DataFrame:
+        whole = isinstance(df.schema[value].dataType, T.IntegralType)
         typed = df.select(
             month_of("month").alias("month"),
             *[F.col(k).cast("string").alias(k) for k in names(keys)],
-            F.col(value).cast("long").alias(value),
+            (F.col(value).cast("long") if whole else F.col(value)).alias(value),
         )
         return typed.dropna(subset=on)
 

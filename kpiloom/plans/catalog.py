@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiloom.functions.exprs import between_days
-from kpiloom.functions.hotkeys import lookup
 from kpiloom.functions.tiers import AccountRule, DosingRule, RouteRule
 from kpiloom.operators import entity, journey, overlap, quality, segment, series, threads
 from kpiloom.plans import kpi
@@ -41,6 +40,7 @@ def doubles(df: DataFrame) -> DataFrame:
 
 PRE, POST = ("1999-11-01", "2000-01-31"), ("2000-02-01", "2000-04-30")
 PRODUCT = "Brand#7"
+PAST = "1999-03-17"
 CLASSES_A, CLASSES_B = ("PROMO", "ECONOMY"), ("STANDARD", "LARGE")
 
 LINE_LABELS = {
@@ -69,6 +69,11 @@ ROUTES = [
     RouteRule("IV", "Brand#4", ndcs=("11", "12", "13")),
     RouteRule("SC", "Brand#4"),
 ]
+GENERAL_ROUTES = [
+    RouteRule("MAIL", None, source="MX", proc_codes=("PROMO",)),
+    *ROUTES,
+    RouteRule("OTHER", None, ndc_missing=True),
+]
 ROUTE_SCHEMA = (
     "priority int, product string, source string, proc_code string, ndc string, "
     "ndc_missing boolean, strength string, generic_not string, label string"
@@ -162,6 +167,12 @@ def yoy_ytd(spark: SparkSession, d: str) -> DataFrame:
     return series.yoy(b.claims(spark, d), "entity_id", "service_date", b.AS_OF, ytd_aligned=True)
 
 
+@query
+def yoy_past(spark: SparkSession, d: str) -> DataFrame:
+    """As of a day inside the data: later rows don't count."""
+    return series.yoy(b.claims(spark, d), "entity_id", "service_date", PAST)
+
+
 @query
 def cohort_retention(spark: SparkSession, d: str) -> DataFrame:
     return journey.cohort(b.claims(spark, d), "entity_id", "service_date")
@@ -215,19 +226,21 @@ def ever_flag(spark: SparkSession, d: str) -> DataFrame:
     return entity.ever_flag(b.claims(spark, d), ["entity_id", "priority"], "service_date")
 
 
-def _fill_gaps(spark: SparkSession, d: str, **options: int) -> DataFrame:
-    rows = b.fills(spark, d, "entity_id", "service_date", *b.FILL_TIES)
-    return journey.fill_gaps(rows, "entity_id", "service_date", b.FILL_TIES, **options)
-
-
 @query
 def fill_gap(spark: SparkSession, d: str) -> DataFrame:
-    return _fill_gaps(spark, d)
+    rows = b.fills(spark, d, "entity_id", "service_date", *b.FILL_TIES)
+    return journey.fill_gaps(rows, "entity_id", "service_date", b.FILL_TIES)
 
 
 @query
 def fill_gap_hot_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _fill_gaps(spark, d, hot_rows=40)
+    """A fifth of the entities as one, which so holds a fifth of all fills, and unknown ones."""
+    rows = b.fills(spark, d, "entity_id", "service_date", *b.FILL_TIES)
+    entity_id = F.when(F.col("entity_id") % 5 == 0, 0).when(
+        F.col("entity_id") % 5 != 1, F.col("entity_id")
+    )
+    rows = rows.withColumn("entity_id", entity_id)
+    return journey.fill_gaps(rows, "entity_id", "service_date", b.FILL_TIES)
 
 
 @query
@@ -249,6 +262,19 @@ def actuals_vs_goals(spark: SparkSession, d: str) -> DataFrame:
     return series.actuals_vs_goals(actuals, b.goals(spark, d), "provider_id")
 
 
+@query
+def actuals_vs_goals_money(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts with cents against goals with cents: three quarters of last year's."""
+    paid = F.sum("paid_amount")
+    actuals = series.monthly_actuals(b.claims(spark, d), "service_date", "order_status", paid)
+    goals = actuals.select(
+        "order_status",
+        F.add_months("month", 12).alias("month"),
+        (F.col("actual_value") * F.lit("0.75").cast("decimal(3,2)")).alias("goal_value"),
+    )
+    return doubles(series.actuals_vs_goals(actuals, goals, "order_status"))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return b.claims(spark, d).withColumn("paid", F.round(F.col("paid_amount"), -3))
 
@@ -269,6 +295,15 @@ def topn_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def entity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _entity_summary(spark, d, b.AS_OF)
+
+
+@query
+def entity_summary_past(spark: SparkSession, d: str) -> DataFrame:
+    return _entity_summary(spark, d, PAST)
+
+
+def _entity_summary(spark: SparkSession, d: str, as_of: object) -> DataFrame:
     roster = b.roster(spark, d, CLASSES_A, "1998-01-01", "2001-06-30")
     summary = journey.entity_summary(
         roster,
@@ -277,7 +312,7 @@ def entity_summary(spark: SparkSession, d: str) -> DataFrame:
         b.customer(spark, d),
         "2000-01-01",
         "2000-12-31",
-        b.AS_OF,
+        as_of,
     )
     return doubles(summary)
 
@@ -294,6 +329,16 @@ def monthly_trend_mom(spark: SparkSession, d: str) -> DataFrame:
     return doubles(series.monthly_trend(b.claims(spark, d), b.AS_OF))
 
 
+@query
+def monthly_trend_past(spark: SparkSession, d: str) -> DataFrame:
+    return doubles(series.monthly_trend(b.claims(spark, d), PAST))
+
+
+@query
+def monthly_trend_past_filled(spark: SparkSession, d: str) -> DataFrame:
+    return doubles(series.monthly_trend(b.claims(spark, d), PAST, gap_fill=True))
+
+
 @query
 def monthly_trend_by_region(spark: SparkSession, d: str) -> DataFrame:
     claims = b.claims(spark, d, with_region=True)
@@ -425,6 +470,14 @@ def bucket_priority(spark: SparkSession, d: str) -> DataFrame:
     return segment.bucket_priority(bucket_classified(spark, d), BUCKETS)
 
 
+@query
+def bucket_priority_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """With unknown patients, which are no one's rows and left out."""
+    known = F.when(F.col("patient_id") % 10 != 0, F.col("patient_id"))
+    classified = bucket_classified(spark, d).withColumn("patient_id", known)
+    return segment.bucket_priority(classified, BUCKETS)
+
+
 @query
 def concordance_market(spark: SparkSession, d: str) -> DataFrame:
     return segment.concordance_market(bucket_priority(spark, d), LINE_LABELS["focal"])
@@ -472,14 +525,18 @@ def net_new_summary(spark: SparkSession, d: str) -> DataFrame:
     return entity.net_new_summary(_monthly(spark, d))
 
 
-def _episodes(spark: SparkSession, d: str, products: list[str], **options: int) -> DataFrame:
+def _episodes(
+    spark: SparkSession, d: str, products: list[str], one_entity: bool = False
+) -> DataFrame:
     columns = (
         "entity_id product claim_id provider_id strength quantity days_supply service_date "
         "new_start birth_year"
     ).split()
     rows = b.fills(spark, d, *columns, *b.FILL_TIES)
+    if one_entity:  # a fifth of the entities as one
+        rows = rows.withColumn("entity_id", F.when(F.col("entity_id") % 5 == 0, 0).otherwise(F.col("entity_id")))
     return journey.fill_episodes(
-        rows, b.FILL_TIES, "1996-04-01", F.col("product").isin(*products), **options
+        rows, b.FILL_TIES, "1996-04-01", F.col("product").isin(*products)
     )
 
 
@@ -490,7 +547,7 @@ def fill_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fill_episodes_hot_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _episodes(spark, d, ["Brand#7", "Brand#12"], hot_rows=3)
+    return _episodes(spark, d, ["Brand#7", "Brand#12"], one_entity=True)
 
 
 @query
@@ -516,10 +573,10 @@ def route_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _route_table(spark: SparkSession) -> DataFrame:
+def _route_table(spark: SparkSession, rules: list[RouteRule] = ROUTES) -> DataFrame:
     lines = [
         (i, r.product, r.source, code, ndc, r.ndc_missing, strength, r.generic_not, r.label)
-        for i, r in enumerate(ROUTES)
+        for i, r in enumerate(rules)
         for code in r.proc_codes or (None,)
         for ndc in r.ndcs or (None,)
         for strength in r.strengths or (None,)
@@ -534,6 +591,15 @@ def route_rules_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def route_rules_general(spark: SparkSession, d: str) -> DataFrame:
+    """A table with rules for any product, before and after those of products."""
+    rules = _route_table(spark, GENERAL_ROUTES)
+    return segment.route_by_table(
+        _route_claims(spark, d), rules, keep=["provider_id", "service_date"]
+    )
+
+
 @query
 def detailed_providers(spark: SparkSession, d: str) -> DataFrame:
     return entity.detailed_providers(
@@ -636,7 +702,7 @@ def join_fanout(spark: SparkSession, d: str) -> DataFrame:
     claims = b.claims(spark, d)
     lines = b.fills(spark, d, "l_orderkey", "l_linenumber", "l_partkey")
     lines = lines.withColumnRenamed("l_orderkey", "claim_id")
-    joined = lookup(lines, claims, "claim_id", ["l_linenumber", "l_partkey"], "inner")
+    joined = lines.join(claims, "claim_id")
     return quality.join_fanout(claims, joined, "claim_id")
 
 
@@ -656,7 +722,7 @@ def grain_check(spark: SparkSession, d: str) -> DataFrame:
 @query
 def join_cardinality(spark: SparkSession, d: str) -> DataFrame:
     calls = b.calls(spark, d)
-    return quality.join_cardinality(b.claims(spark, d), calls, "entity_id")
+    return doubles(quality.join_cardinality(b.claims(spark, d), calls, "entity_id"))
 
 
 @query
@@ -691,6 +757,72 @@ def kpi_missing(spark: SparkSession, d: str) -> DataFrame:
     return kpi.kpi_missing(kpi_run(spark, d), SPECS)
 
 
+PATTERN_SPECS = [
+    kpi.KpiSpec(
+        "Change on last year",
+        mode=kpi.PATTERN,
+        grain=("entity_id",),
+        pattern="yoy",
+        tables={"df": "claims"},
+        params={"id": "entity_id", "date": "service_date", "as_of": b.AS_OF},
+        value="yoy_abs_change",
+        period=None,
+    ),
+    kpi.KpiSpec(
+        "Claims funnel",
+        mode=kpi.PATTERN,
+        pattern="funnel",
+        tables={"universe": "customers", "steps": (("with_claim", "claims"), ("segmented", "segmented"))},
+        params={"id": "entity_id"},
+        value="with_claim",
+        period=None,
+    ),
+    kpi.KpiSpec(
+        "Largest claims",
+        mode=kpi.PATTERN,
+        grain=("order_status", "claim_id"),
+        pattern="topn",
+        tables={"df": "ranked"},
+        params={"id": "claim_id", "value": "paid", "segment": "order_status", "n": 20},
+        value="overall_rank",
+        period=None,
+    ),
+    kpi.KpiSpec(
+        "Concordance",
+        mode=kpi.PATTERN,
+        grain=("bucket", "patient_id", "line", "regimen_class"),
+        pattern="concordance_market",
+        tables={"prioritised": "prioritised"},
+        params={"focal_class": LINE_LABELS["focal"]},
+        value="concordance",
+        period="month",
+    ),
+    kpi.KpiSpec(
+        "Segments",
+        mode=kpi.PATTERN,
+        grain=("segment",),
+        pattern="segment_counts",
+        tables={"df": "segmented"},
+        params={"segment": "segment"},
+        value="n",
+        period=None,
+    ),
+]
+
+
+@query
+def kpi_run_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """KPIs of patterns with and without a period, one of them over a list of tables."""
+    tables = {
+        "claims": b.claims(spark, d),
+        "customers": b.customer(spark, d).where("status = 'active'"),
+        "segmented": _segmented(spark, d),
+        "ranked": _ranked(spark, d),
+        "prioritised": bucket_priority(spark, d),
+    }
+    return kpi.run_kpis(spark, PATTERN_SPECS, tables, b.AS_OF)
+
+
 SEARCH = {"keywords": ("heon", "eaux"), "participants": ("user", "system")}
 
 
@@ -709,6 +841,21 @@ def thread_search(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def thread_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Threads with a recent hit, with their older messages."""
+    return _shown(
+        threads.thread_search(
+            b.messages(spark, d),
+            **SEARCH,
+            recency_days=30,
+            as_of="2024-02-01",
+            people=["sender", "subject"],
+            recent_only=False,
+        )
+    )
+
+
 @query
 def thread_latest(spark: SparkSession, d: str) -> DataFrame:
     return _shown(

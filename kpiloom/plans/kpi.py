@@ -24,6 +24,7 @@ from kpiloom.functions.exprs import (
 from kpiloom.plans.registry import PATTERNS
 
 PATTERN, SQL, RULES = "pattern", "sql", "rules"
+Tables = str | Sequence[str] | Sequence[tuple[str, str]]
 Span = tuple[DateLike, DateLike] | int | None
 
 
@@ -33,15 +34,18 @@ class KpiSpec:
 
     ``grain`` names the key columns of a result row; ``window`` is a pair of days, a number of
     months back from the reference date, or open. ``value`` and ``period`` name the result's
-    columns. The logic is one of three modes:
+    columns; without a period (None) there is a row per key, whose period is NULL, and no
+    ``window``. The logic is one of three modes:
 
     ``pattern``
-        a registered pattern id with ``params`` and ``tables`` (argument name to table name);
+        a registered pattern id with ``params`` and ``tables``: for each argument the name of a
+        table, or names of tables for an argument that takes a list of them, or pairs of label
+        and name for one that takes labelled tables;
     ``sql``
         a query text that names the given tables in braces;
     ``rules``
         ``table``, ``date``, an aggregate ``measure``, ``filters`` that rows must meet and
-        ``exclusions`` they must not.
+        ``exclusions`` they must not. ``columns`` lists the columns that these may use.
     """
 
     name: str
@@ -51,9 +55,9 @@ class KpiSpec:
     definition: str = ""
     caveats: str = ""
     value: str = "value"
-    period: str = "month"
+    period: str | None = "month"
     pattern: str | None = None
-    tables: Mapping[str, str] = field(default_factory=dict)
+    tables: Mapping[str, Tables] = field(default_factory=dict)
     params: Mapping[str, Any] = field(default_factory=dict)
     sql: str | None = None
     table: str | None = None
@@ -61,6 +65,7 @@ class KpiSpec:
     measure: str | Column | None = None
     filters: tuple[str, ...] = ()
     exclusions: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
 
     @property
     def grain_text(self) -> str:
@@ -81,11 +86,17 @@ def pattern_ids(selected: Sequence[str], specs: Sequence[KpiSpec]) -> list[str]:
     return list(dict.fromkeys([*selected, *chosen]))
 
 
+def _frames(given: Tables, tables: Mapping[str, DataFrame]) -> Any:
+    if isinstance(given, str):
+        return tables[given]
+    return [tables[g] if isinstance(g, str) else (g[0], tables[g[1]]) for g in given]
+
+
 def _by_pattern(spec: KpiSpec, tables: Mapping[str, DataFrame]) -> DataFrame:
     run = PATTERNS.get(spec.pattern or "")
     if run is None:
         raise ValueError(f"KPI {spec.name!r}: no pattern {spec.pattern!r}; known: {sorted(PATTERNS)}")
-    frames = {argument: tables[name] for argument, name in spec.tables.items()}
+    frames = {argument: _frames(given, tables) for argument, given in spec.tables.items()}
     return run(**frames, **spec.params)
 
 
@@ -100,16 +111,18 @@ def _by_rules(spec: KpiSpec, tables: Mapping[str, DataFrame]) -> DataFrame:
     if spec.table is None or spec.measure is None or spec.date is None:
         raise ValueError(f"KPI {spec.name!r}: rules need a table, a date and a measure")
     rows = tables[spec.table]
-    require_columns(rows, spec.date, list(spec.grain))
+    require_columns(rows, spec.date, list(spec.grain), list(spec.columns))
+    if spec.columns:
+        used = dict.fromkeys([spec.date, *spec.grain, *spec.columns])
+        rows = rows.select(*used).alias("rows")  # the alias hides the other columns
     for condition in spec.filters:
         rows = rows.filter(F.expr(condition))
     # an exclusion that is unknown for a row does not remove it
     excluded = any_of(F.coalesce(F.expr(e), F.lit(False)) for e in spec.exclusions)
     rows = rows.filter(~excluded)
     measure = F.expr(spec.measure) if isinstance(spec.measure, str) else spec.measure
-    return rows.groupBy(month_of(spec.date).alias(spec.period), *spec.grain).agg(
-        measure.alias(spec.value)
-    )
+    period = [month_of(spec.date).alias(spec.period)] if spec.period else []
+    return rows.groupBy(*period, *spec.grain).agg(measure.alias(spec.value))
 
 
 def kpi_frame(
@@ -120,7 +133,8 @@ def kpi_frame(
 ) -> DataFrame:
     """One KPI as ``kpi, kpi_id, grain, grain_key, period, value``.
 
-    The grain key is the text of the key columns joined by ``|``; an unknown part is empty.
+    The grain key is the text of the key columns joined by ``|``; in a part, ``\\`` and ``|`` have
+    a ``\\`` before them, and an unknown part is ``\\N``. So different keys have different texts.
     """
     if spec.mode == PATTERN:
         result = _by_pattern(spec, tables)
@@ -130,23 +144,31 @@ def kpi_frame(
         result = _by_rules(spec, tables)
     else:
         raise ValueError(f"KPI {spec.name!r}: logic not specified (mode {spec.mode!r})")
-    require_columns(result, spec.period, spec.value, list(spec.grain))
+    require_columns(result, spec.period or (), spec.value, list(spec.grain))
+    if spec.period is None and spec.window is not None:
+        raise ValueError(f"KPI {spec.name!r}: a window needs a period")
     first, last = spec.days(as_of)
     if first is not None:
         result = result.filter(day_of(spec.period) >= F.lit(to_day(first)))
     if last is not None:
         result = result.filter(day_of(spec.period) <= F.lit(to_day(last)))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spec.grain]
+    parts = [_key_part(F.col(c).cast("string")) for c in spec.grain]
+    period = F.lit(None).cast("date") if spec.period is None else day_of(spec.period)
     return result.select(
         F.lit(spec.name).alias("kpi"),
         slug(F.lit(spec.name)).alias("kpi_id"),
         F.lit(spec.grain_text).alias("grain"),
         (F.concat_ws("|", *parts) if parts else F.lit("")).alias("grain_key"),
-        day_of(spec.period).alias("period"),
+        period.alias("period"),
         F.col(spec.value).cast("double").alias("value"),
     )
 
 
+def _key_part(text: Column) -> Column:
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.coalesce(escaped, F.lit("\\N"))
+
+
 def run_kpis(
     spark: SparkSession,
     specs: Sequence[KpiSpec],

@@ -8,17 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from kpiloom.operators.entity import EVER_STAGES, NO_STAGE
-from kpiloom.operators.journey import (
-    CONTINUOUS,
-    INDEX_FILL,
-    LAPSE,
-    LAPSE_DAYS,
-    SHORT_DAYS,
-    SHORT_GAP,
-    THREE_STAGES,
-    TWO_STAGES,
-)
+# fixed values: thresholds and labels of the definitions, written out so that they are compared
+EVER_STAGES, NO_STAGE = (("Adopter", 4), ("User", 2), ("Trialist", 1)), "None"
+INDEX_FILL, CONTINUOUS, SHORT_GAP, LAPSE = "Index Fill", "Continuous", "Short Gap", "Lapse / Restart"
+SHORT_DAYS, LAPSE_DAYS = 45, 90
+THREE_STAGES = {"exact": (("Trialist", 1), ("User", 2)), "at_least": ("Adopter", 3)}
+TWO_STAGES = {"exact": (("Trialist", 1),), "at_least": ("Adopter", 5)}
 
 
 def _case(branches: Iterable[tuple[str, str]], otherwise: str | None = None) -> str:
@@ -146,11 +141,11 @@ filled AS (SELECT CAST(s.m AS DATE) AS month, s.entity_id, coalesce(v.monthly_va
 {_rolling('filled')}"""
 
 
-def _yoy(this_year: str, last_year: str) -> str:
+def _yoy(this_year: str, last_year: str, days: str = "DATE '1999-01-01' AND DATE '2001-08-01'") -> str:
     return f"""WITH {CLAIMS}, counts AS (
   SELECT entity_id, CAST(sum(CASE WHEN {this_year} THEN 1 ELSE 0 END) AS BIGINT) AS cy_count,
          CAST(sum(CASE WHEN {last_year} THEN 1 ELSE 0 END) AS BIGINT) AS py_count
-  FROM claims WHERE service_date >= DATE '1999-01-01' GROUP BY 1)
+  FROM claims WHERE service_date BETWEEN {days} GROUP BY 1)
 SELECT entity_id, cy_count, py_count, cy_count - py_count AS yoy_abs_change,
        {_pct("cy_count - py_count", "py_count")} AS yoy_pct_change
 FROM counts"""
@@ -162,6 +157,12 @@ ORACLE_SQL["yoy_ytd"] = _yoy(
     "service_date BETWEEN DATE '2000-01-01' AND DATE '2000-08-01'",
 )
 
+ORACLE_SQL["yoy_past"] = _yoy(
+    "year(service_date) = 1999",
+    "year(service_date) = 1998",
+    "DATE '1997-01-01' AND DATE '1999-03-17'",
+)
+
 _MONTHS = """(year(e.service_date) - year(a.first_day)) * 12
               + month(e.service_date) - month(a.first_day)"""
 _BOTH_LAST = "(e.service_date = last_day(e.service_date) AND a.first_day = last_day(a.first_day))"
@@ -243,7 +244,11 @@ ORACLE_SQL["fill_gap"] = f"""WITH {FILLS}, gaps AS (
          row_number() OVER w AS fill_number
   FROM fills WINDOW w AS (PARTITION BY entity_id ORDER BY service_date, {TIES}))
 SELECT *, {_STATUS} AS persistence_status FROM gaps"""
-ORACLE_SQL["fill_gap_hot_keys"] = ORACLE_SQL["fill_gap"]
+ORACLE_SQL["fill_gap_hot_keys"] = ORACLE_SQL["fill_gap"].replace(
+    "FROM fills WINDOW",
+    "FROM (SELECT * REPLACE (CASE WHEN entity_id % 5 = 0 THEN 0 WHEN entity_id % 5 <> 1 THEN entity_id END"
+    " AS entity_id) FROM fills) WINDOW",
+)
 
 ORACLE_SQL["fill_gap_by_day"] = f"""WITH {FILLS}, days AS (
   SELECT entity_id, service_date AS fill_date, count(*) AS fills_on_day FROM fills GROUP BY 1, 2),
@@ -279,6 +284,18 @@ SELECT coalesce(a.month, g.month) AS month, coalesce(a.provider_id, g.provider_i
        {_pct("coalesce(a.actual_value, 0)", "coalesce(g.goal_value, 0)")} AS pct_to_goal
 FROM actuals a FULL OUTER JOIN goals g ON a.month = g.month AND a.provider_id = g.provider_id"""
 
+ORACLE_SQL["actuals_vs_goals_money"] = f"""WITH {CLAIMS},
+actuals AS (SELECT CAST(date_trunc('month', service_date) AS DATE) AS month, order_status,
+                   sum(paid_amount) AS actual_value FROM claims GROUP BY 1, 2),
+goals AS (SELECT CAST(month + INTERVAL 12 MONTH AS DATE) AS month, order_status,
+                 actual_value * 0.75 AS goal_value FROM actuals)
+SELECT coalesce(a.month, g.month) AS month, coalesce(a.order_status, g.order_status) AS order_status,
+       CAST(a.actual_value AS DOUBLE) AS actual_value, CAST(g.goal_value AS DOUBLE) AS goal_value,
+       CAST(coalesce(a.actual_value, 0) AS DOUBLE) AS actual_filled,
+       CAST(coalesce(g.goal_value, 0) AS DOUBLE) AS goal_filled,
+       {_pct("coalesce(a.actual_value, 0)", "coalesce(g.goal_value, 0)")} AS pct_to_goal
+FROM actuals a FULL OUTER JOIN goals g ON a.month = g.month AND a.order_status = g.order_status"""
+
 _RANKED = f"""WITH {CLAIMS}, ranked AS (
   SELECT claim_id, CAST(round(paid_amount, -3) AS DOUBLE) AS paid, order_status FROM claims)
 SELECT claim_id, paid, order_status,
@@ -299,10 +316,11 @@ ORACLE_SQL["topn"] = (
 
 # -- worked queries ----------------------------------------------------------------------
 
-ORACLE_SQL["entity_summary"] = f"""WITH {FILLS}, {CLAIMS}, {CUSTOMERS}, {CALLS},
+def _entity_summary(since: str, until: str) -> str:
+    return f"""WITH {FILLS}, {CLAIMS}, {CUSTOMERS}, {CALLS},
 {_roster("roster", A, "1998-01-01", "2001-06-30")},
 recent AS (SELECT entity_id, max(diagnosis_date) AS diagnosis_date FROM roster
-           WHERE diagnosis_date >= DATE '1999-08-01' GROUP BY 1),
+           WHERE diagnosis_date BETWEEN DATE '{since}' AND DATE '{until}' GROUP BY 1),
 paid AS (SELECT entity_id, sum(paid_amount) AS total_paid, count(DISTINCT claim_id) AS claim_count
          FROM claims WHERE service_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1),
 contacts AS (SELECT entity_id, count(*) AS total_calls, max(activity_date) AS last_call_date
@@ -315,6 +333,10 @@ SELECT c.entity_id, c.name, c.region, r.diagnosis_date,
 FROM recent r JOIN customers c ON r.entity_id = c.entity_id
 LEFT JOIN paid p ON r.entity_id = p.entity_id LEFT JOIN contacts k ON r.entity_id = k.entity_id"""
 
+
+ORACLE_SQL["entity_summary"] = _entity_summary("1999-08-01", "2001-08-01")
+ORACLE_SQL["entity_summary_past"] = _entity_summary("1997-03-17", "1999-03-17")
+
 ORACLE_SQL["comorbidity"] = f"""WITH {FILLS}, {CUSTOMERS},
 {_roster("roster_a", A, "2001-01-01", "2001-03-31")},
 {_roster("roster_b", B, "2001-02-01", "2001-04-30")},
@@ -327,16 +349,28 @@ SELECT *, {_case([("has_a + has_b = 2", "Comorbid"), ("has_a = 1", "A Only"), ("
                  "Neither")} AS condition_segment
 FROM flags"""
 
-ORACLE_SQL["monthly_trend_mom"] = f"""WITH {CLAIMS}, monthly AS (
+def _trend(first: str, last: str, filled: bool = False) -> str:
+    months = f"""(SELECT CAST(unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 MONTH)) AS DATE) AS month)"""
+    source = (
+        f"(SELECT s.month, coalesce(m.total_paid, 0) AS total_paid, coalesce(unique_entities, 0) AS unique_entities"
+        f" FROM {months} s LEFT JOIN monthly m ON m.month = s.month)"
+    )
+    return f"""WITH {CLAIMS}, monthly AS (
   SELECT CAST(date_trunc('month', service_date) AS DATE) AS month, sum(paid_amount) AS total_paid,
          count(DISTINCT entity_id) AS unique_entities
-  FROM claims WHERE service_date >= DATE '2000-08-01' GROUP BY 1),
-lagged AS (SELECT *, lag(total_paid) OVER (ORDER BY month) AS prior FROM monthly)
+  FROM claims WHERE service_date BETWEEN DATE '{first}' AND DATE '{last}' GROUP BY 1),
+lagged AS (SELECT *, lag(total_paid) OVER (ORDER BY month) AS prior
+           FROM {source if filled else "monthly"})
 SELECT month, CAST(total_paid AS DOUBLE) AS total_paid, unique_entities,
        CAST(prior AS DOUBLE) AS prior_month_paid,
        {_pct("total_paid - prior", "prior")} AS mom_pct_change
 FROM lagged"""
 
+
+ORACLE_SQL["monthly_trend_mom"] = _trend("2000-08-01", "2001-08-01")
+ORACLE_SQL["monthly_trend_past"] = _trend("1998-03-01", "1999-03-17")
+ORACLE_SQL["monthly_trend_past_filled"] = _trend("1998-03-01", "1999-03-17", filled=True)
+
 ORACLE_SQL["monthly_trend_by_region"] = f"""WITH {CLAIMS}, {CUSTOMERS},
 placed AS (SELECT c.*, k.region FROM claims c LEFT JOIN customers k ON c.entity_id = k.entity_id),
 monthly AS (
@@ -557,6 +591,9 @@ prioritised AS (
 
 ORACLE_SQL["bucket_classified"] = f"WITH {_LINES} SELECT * FROM classified"
 ORACLE_SQL["bucket_priority"] = f"WITH {_LINES} SELECT * FROM prioritised"
+ORACLE_SQL["bucket_priority_unknown"] = (
+    f"WITH {_LINES} SELECT * FROM prioritised WHERE patient_id % 10 <> 0"
+)
 
 _FOCAL = "CASE WHEN regimen_class = 'Focal' THEN patients ELSE 0 END"
 _BY_BUCKET = "OVER (PARTITION BY bucket, month)"
@@ -625,7 +662,11 @@ episodes AS (
   FROM sequenced)"""
 
 ORACLE_SQL["fill_episodes"] = f"WITH {_EPISODES} SELECT * FROM episodes"
-ORACLE_SQL["fill_episodes_hot_keys"] = ORACLE_SQL["fill_episodes"]
+ORACLE_SQL["fill_episodes_hot_keys"] = ORACLE_SQL["fill_episodes"].replace(
+    "FROM fills WHERE product",
+    "FROM (SELECT * REPLACE (CASE WHEN entity_id % 5 = 0 THEN 0 ELSE entity_id END AS entity_id)"
+    " FROM fills) WHERE product",
+)
 
 
 def _schedule(days: str) -> str:
@@ -689,6 +730,9 @@ SELECT claim_id, product, source, proc_code, ndc, strength, generic_name, provid
             WHEN product = 'Brand#4' THEN 'SC' ELSE '-' END AS route
 FROM fills"""
 ORACLE_SQL["route_rules_table"] = ORACLE_SQL["route_rules"]
+ORACLE_SQL["route_rules_general"] = ORACLE_SQL["route_rules"].replace(
+    "CASE WHEN product", "CASE WHEN source = 'MX' AND proc_code = 'PROMO' THEN 'MAIL' WHEN product", 1
+).replace("ELSE '-'", "WHEN ndc IS NULL THEN 'OTHER' ELSE '-'")
 
 ORACLE_SQL["detailed_providers"] = f"""WITH {CALLS}
 SELECT DISTINCT provider_id FROM calls
@@ -804,7 +848,7 @@ SELECT (SELECT count(*) FROM claims) AS left_rows, (SELECT count(*) FROM calls)
        (SELECT count(*) FROM right_only) AS right_only_keys,
        CAST((SELECT coalesce(sum(n), 0) FROM left_only) AS BIGINT) AS left_unmatched_rows,
        CAST((SELECT coalesce(sum(n), 0) FROM right_only) AS BIGINT) AS right_unmatched_rows,
-       (SELECT count(*) FROM claims c JOIN calls k ON c.entity_id = k.entity_id) AS joined_rows,
+       CAST((SELECT count(*) FROM claims c JOIN calls k ON c.entity_id = k.entity_id) AS DOUBLE) AS joined_rows,
        (SELECT max(ln) FROM matched) AS max_left_rows_per_key,
        (SELECT max(rn) FROM matched) AS max_right_rows_per_key,
        CASE WHEN (SELECT max(ln) FROM matched) > 1 AND (SELECT max(rn) FROM matched) > 1 THEN 'N:M'
@@ -831,12 +875,12 @@ results AS (
          CAST(sum(paid_amount) AS DOUBLE) AS value
   FROM placed WHERE service_date >= DATE '2000-08-01' GROUP BY 4
   UNION ALL
-  SELECT 'Active entities (region)', 'region', coalesce(region, ''),
+  SELECT 'Active entities (region)', 'region', coalesce(region, '\\N'),
          CAST(date_trunc('month', service_date) AS DATE), CAST(count(DISTINCT entity_id) AS DOUBLE)
   FROM placed WHERE date_trunc('month', service_date) BETWEEN DATE '2000-01-01' AND DATE '2001-06-30'
   GROUP BY 3, 4
   UNION ALL
-  SELECT 'Large claims', 'region', coalesce(region, ''),
+  SELECT 'Large claims', 'region', coalesce(region, '\\N'),
          CAST(date_trunc('month', service_date) AS DATE), CAST(sum(paid_amount) AS DOUBLE)
   FROM placed
   WHERE paid_amount >= 100000 AND region IS DISTINCT FROM 'ASIA' AND order_status IS DISTINCT FROM 'P'
@@ -862,21 +906,48 @@ SELECT k.kpi, c.grain, c.period, c.grain_key FROM cells c JOIN kpis k ON k.grain
 WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.kpi = k.kpi AND r.grain = c.grain
                   AND r.period = c.period AND r.grain_key = c.grain_key)"""
 
+ORACLE_SQL["kpi_run_patterns"] = f"""WITH results AS (
+  SELECT 'Change on last year' AS kpi, 'entity_id' AS grain, CAST(entity_id AS VARCHAR) AS grain_key,
+         CAST(NULL AS DATE) AS period, CAST(yoy_abs_change AS DOUBLE) AS value
+  FROM ({ORACLE_SQL["yoy"]})
+  UNION ALL
+  SELECT 'Claims funnel', '', '', NULL,
+         CAST((SELECT count(*) FROM customer WHERE c_acctbal >= 0
+               AND c_custkey IN (SELECT o_custkey FROM orders)) AS DOUBLE)
+  UNION ALL
+  SELECT 'Largest claims', 'order_status, claim_id', order_status || '|' || CAST(claim_id AS VARCHAR),
+         NULL, CAST(overall_rank AS DOUBLE)
+  FROM ({ORACLE_SQL["topn"]}) WHERE overall_rank <= 20
+  UNION ALL
+  SELECT 'Concordance', 'bucket, patient_id, line, regimen_class',
+         concat_ws('|', bucket, patient_id, line, regimen_class), CAST(month || '-01' AS DATE), concordance
+  FROM ({ORACLE_SQL["concordance_market"]})
+  UNION ALL
+  SELECT 'Segments', 'segment', segment, NULL, CAST(n AS DOUBLE) FROM ({ORACLE_SQL["segment_counts"]}))
+SELECT *, trim(regexp_replace(lower(kpi), '[^a-z0-9]+', '-', 'g'), '-') AS kpi_id FROM results"""
+
 _MESSAGES = """messages AS (
   SELECT conv_id AS thread_id, turn AS seq,
          TIMESTAMP '2024-01-01' + to_days(CAST(conv_id % 3650 AS INTEGER)) + to_minutes(turn) AS ts,
          role AS sender, text,
-         (SELECT max(substring(t.text, 1, 80)) FROM conversations t
+         (SELECT max(t.text) FROM conversations t
           WHERE t.conv_id = c.conv_id AND t.turn = 0) AS subject
   FROM conversations c)"""
 _HIT = """(contains(lower(text), 'heon') OR contains(lower(text), 'eaux'))
     AND sender IN ('user', 'system')"""
 
 ORACLE_SQL["thread_search"] = f"""WITH {_MESSAGES},
-recent AS (SELECT * FROM messages WHERE CAST(ts AS DATE) >= DATE '2024-02-01' - 30)
+recent AS (SELECT * FROM messages WHERE CAST(ts AS DATE) BETWEEN DATE '2024-02-01' - 30 AND DATE '2024-02-01')
 SELECT thread_id, seq, CAST(ts AS DATE) AS sent_date, sender, subject, text FROM recent
 WHERE thread_id IN (SELECT thread_id FROM recent WHERE {_HIT})"""
 
+ORACLE_SQL["thread_search_whole"] = f"""WITH {_MESSAGES}
+SELECT thread_id, seq, CAST(ts AS DATE) AS sent_date, sender, subject, text FROM messages
+WHERE thread_id IN (
+  SELECT thread_id FROM messages WHERE CAST(ts AS DATE) BETWEEN DATE '2024-02-01' - 30 AND DATE '2024-02-01'
+  AND (contains(lower(text), 'heon') OR contains(lower(text), 'eaux'))
+  AND (lower(sender) IN ('user', 'system') OR lower(subject) IN ('user', 'system')))"""
+
 ORACLE_SQL["thread_latest"] = f"""WITH {_MESSAGES}
 SELECT thread_id, seq, CAST(ts AS DATE) AS sent_date, sender, subject, text FROM messages
 WHERE thread_id IN (SELECT thread_id FROM messages WHERE {_HIT}

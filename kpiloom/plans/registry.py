@@ -53,7 +53,16 @@ PATTERNS: dict[str, Callable[..., DataFrame]] = {
     "overlap_patients": overlap.overlap_patients,
     "recent_products": overlap.recent_products,
     "overlap_recent": overlap.overlap_recent,
+    "rank_all": entity.rank_all,
+    "fill_gaps_by_day": journey.fill_gaps_by_day,
+    "fill_months": series.fill_months,
+    "bucket_priority": segment.bucket_priority,
+    "account_rollup": segment.account_rollup,
+    "route_by_table": segment.route_by_table,
     # checks and search
+    "join_fanout": quality.join_fanout,
+    "fanout_offenders": quality.fanout_offenders,
+    "segment_counts": quality.segment_counts,
     "fanout_check": quality.fanout_check,
     "profile_table": quality.profile_table,
     "grain_check": quality.grain_check,

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import between_days, day_of, flag, month_of
-from kpiloom.functions.hotkeys import lookup
 
 AS_OF = dt.date(2001, 8, 1)  # last order date of the test tables
 SHIPPED_AS_OF = dt.date(2001, 11, 4)  # last ship date
@@ -61,7 +60,7 @@ def claims(spark: SparkSession, folder: str, with_region: bool = False) -> DataF
     )
     if with_region:
         places = customer(spark, folder).select("entity_id", "region")
-        rows = lookup(rows, places, "entity_id", "claim_id")
+        rows = rows.join(places, "entity_id", "left")
     return rows
 
 
@@ -268,15 +267,15 @@ def product_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns as messages of a thread; the subject is the start of the first turn."""
+    """Conversation turns as messages of a thread; the subject is the first turn."""
     turns = table(spark, folder, "conversations")
-    subject = F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 80))).alias("subject")
+    subject = F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("subject")
     subjects = turns.groupBy("conv_id").agg(subject)
     sent = F.expr(
         "timestamp_ntz'2024-01-01 00:00:00'"
         " + make_dt_interval(cast(conv_id % 3650 as int), 0, cast(turn as int), 0)"
     )
-    return lookup(turns, subjects, "conv_id", "turn").select(
+    return turns.join(subjects, "conv_id", "left").select(
         F.col("conv_id").alias("thread_id"),
         F.col("turn").alias("seq"),
         sent.alias("ts"),

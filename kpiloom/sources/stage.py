@@ -28,6 +28,12 @@ def stage_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Take a stored table away, wherever Spark wrote it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, as configured for the cluster.
 

@@ -35,8 +35,8 @@ def test_every_mode_lands_in_one_table(spark, tables):
     assert result.columns == ["kpi", "kpi_id", "grain", "grain_key", "period", "value"]
     assert rows(result, "kpi_id", "grain_key", "period", "value") == [
         ("described", "N", "2024-02-01", 30.0), ("described", "N", "2024-03-01", 50.0),
-        ("entities", "", "2024-02-01", 1.0), ("entities", "N", "2024-01-01", 1.0),
-        ("entities", "N", "2024-02-01", 1.0), ("entities", "S", "2024-01-01", 1.0),
+        ("entities", "N", "2024-01-01", 1.0), ("entities", "N", "2024-02-01", 1.0),
+        ("entities", "S", "2024-01-01", 1.0), ("entities", "\\N", "2024-02-01", 1.0),
         ("paid-total", "", "2024-01-01", 30.0), ("paid-total", "", "2024-02-01", 70.0),
         ("paid-total", "", "2024-03-01", 50.0),
     ]
@@ -83,6 +83,32 @@ def test_missing_cells(spark, tables):
     specs = [TREND, QUERY, RULES]
     results = kpi.run_kpis(spark, specs, tables, as_of="2024-03-31")
     assert rows(kpi.kpi_missing(results, specs), "kpi", "grain_key", "period") == [
-        ("Described", "", "2024-02-01"), ("Described", "N", "2024-01-01"), ("Described", "S", "2024-01-01"),
+        ("Described", "N", "2024-01-01"), ("Described", "S", "2024-01-01"), ("Described", "\\N", "2024-02-01"),
         ("Entities", "N", "2024-03-01"),
     ]
+
+
+def test_different_keys_have_different_texts(spark, frame):
+    keys = [("x|y", "z"), ("x", "y|z"), ("", None), (None, ""), ("\\N", "\\"), (None, "\\|")]
+    df = frame("a string, b string, n long", *[(*k, 1) for k in keys])
+    spec = kpi.KpiSpec(
+        "Keys", mode="sql", grain=("a", "b"), period=None, value="n", sql="SELECT * FROM {t}"
+    )
+    result = kpi.run_kpis(spark, [spec], {"t": df})
+    assert len({r.grain_key for r in result.collect()}) == len(keys)
+    assert kpi.kpi_consistency(result).first().repeated_cells == 0
+
+
+def test_rules_use_only_their_columns(spark, tables):
+    spec = kpi.KpiSpec(
+        "Few", mode="rules", table="claims", date="service_date", measure="sum(paid_amount)",
+        filters=("kind = 'a'",), columns=("paid_amount",),
+    )
+    with pytest.raises(Exception, match="kind"):
+        kpi.run_kpis(spark, [spec], tables).collect()
+
+
+def test_a_window_needs_a_period(spark, tables):
+    spec = kpi.KpiSpec("x", mode="sql", sql="SELECT 1 AS value FROM {claims}", period=None, window=3)
+    with pytest.raises(ValueError, match="needs a period"):
+        kpi.run_kpis(spark, [spec], tables)

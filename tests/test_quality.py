@@ -63,3 +63,10 @@ def test_exclusivity(frame):
     df = frame("id long, s string", (1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None))
     assert rows(quality.segment_exclusivity(df, "id", "s")) == [("none", 1), ("one", 1), ("several", 1)]
     assert rows(quality.segment_counts(df, "s")) == [("a", 3), ("b", 1), (None, 1)]
+
+
+def test_cardinality_of_hot_keys_goes_past_a_long(spark, frame, monkeypatch):
+    # stands for 4e9 rows of one key on each side
+    monkeypatch.setattr(quality, "_count_rows", lambda: quality.F.sum("n"))
+    side = frame("k long, n long", (1, 4_000_000_000), (2, 4_000_000_000))
+    assert quality.join_cardinality(side, side, "k").first().joined_rows == 2 * 4_000_000_000**2

@@ -340,3 +340,28 @@ def test_route_table_gives_the_same(spark, route_claims):
     result = segment.route_by_table(route_claims, table, keep="expected")
     assert result.count() == 13
     assert all(r.route == r.expected for r in result.collect())
+
+
+def test_unknown_patients_have_no_priority(frame):
+    rows_of = frame(
+        "patient_id long, month string, line int, bucket string",
+        (None, "2024-01", 1, "1l"), (None, "2024-01", 1, "ao"), (1, None, 1, "ao"), (1, "2024-01", 1, "1l"),
+    )
+    assert rows(segment.bucket_priority(rows_of, BUCKETS)) == [(1, "2024-01", 1, "1l")]
+
+
+def test_route_table_with_rules_for_any_product(spark, route_claims):
+    rules = spark.createDataFrame(
+        [(2, "P", None, None, None, None, None, None, "own"), (1, None, "MX", None, None, None, None, None, "first"),
+         (3, None, None, None, None, None, None, None, "last")],
+        "priority int, product string, source string, proc_code string, ndc string, "
+        "ndc_missing boolean, strength string, generic_not string, label string",
+    )
+    claims = spark.createDataFrame(
+        [(1, "P", "MX"), (2, "P", "RX"), (3, "Q", "RX"), (4, None, None), (5, None, "MX")],
+        "claim_id long, product string, source string",
+    ).selectExpr("*", *[f"cast(null as string) AS {c}" for c in ("proc_code", "ndc", "strength", "generic_name")])
+    got = segment.route_by_table(claims, rules)
+    assert rows(got, "claim_id", "route") == [(1, "first"), (2, "own"), (3, "last"), (4, "last"), (5, "first")]
+    only = segment.route_by_table(claims, rules.where("product = 'P'"))
+    assert rows(only, "claim_id", "route") == [(1, "own"), (2, "own"), (3, "-"), (4, "-"), (5, "-")]

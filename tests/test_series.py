@@ -99,6 +99,8 @@ def test_trend_uses_the_previous_month_with_data(frame):
         ("2023-08-01", 50.0, 1, 200.0, -75.0),
         ("2024-06-01", 0.0, 1, 50.0, -100.0),
     ]
+    past = series.monthly_trend(df, "2023-07-31", months=1)
+    assert rows(past, "month", "total_paid") == [("2023-06-01", 200.0)]
     filled = series.monthly_trend(df, "2024-06-20", months=12, gap_fill=True)
     assert filled.count() == 13
     assert rows(filled.filter("month = '2023-09-01'"), *picked) == [("2023-09-01", 0.0, 0, 50.0, -100.0)]
@@ -113,7 +115,7 @@ def test_yoy_keeps_entities_of_the_third_year(frame):
     )
     picked = ["id", "cy_count", "py_count", "yoy_abs_change", "yoy_pct_change"]
     assert rows(series.yoy(df, "id", "d", "2024-02-29"), *picked) == [
-        (1, 2, 2, 0, 0.0), (2, 0, 1, -1, -100.0), (3, 1, 0, 1, None), (4, 0, 0, 0, None)
+        (1, 1, 2, -1, -50.0), (2, 0, 1, -1, -100.0), (3, 1, 0, 1, None), (4, 0, 0, 0, None)
     ]
     aligned = series.yoy(df, "id", "d", "2024-02-29", ytd_aligned=True)
     assert rows(aligned, *picked)[0] == (1, 1, 1, 0, 0.0)
@@ -172,3 +174,11 @@ def test_goals_keep_both_sides_and_drop_unknown_keys(frame):
         ("2024-02-01", "1", 1, None, 1, 0, None),
         ("2024-03-01", "1", None, 5, 0, 5, 0.0),
     ]
+
+
+def test_goals_keep_fractions(frame):
+    actuals = frame("month date, id string, actual_value double", ("2024-01-01", "1", 10.9))
+    goals = frame("month date, id string, goal_value double", ("2024-01-01", "1", 0.9))
+    assert rows(series.actuals_vs_goals(actuals, goals, "id"), "actual_value", "goal_value", "pct_to_goal") == [
+        (10.9, 0.9, 1211.1)
+    ]

@@ -1,7 +1,4 @@
-"""The catalog on skewed tables: one customer, order, part, supplier, user and thread each hold a third.
-
-The threshold for hot keys is lowered so that the split and salted paths run.
-"""
+"""The catalog on skewed tables: one customer, order, part, supplier, user and thread each hold a third."""
 
 from __future__ import annotations
 
@@ -13,7 +10,6 @@ import pytest
 from compare import connect, differences, oracle_table
 from conftest import DATA
 
-from kpiloom.functions import hotkeys
 from kpiloom.plans.catalog import QUERIES
 from kpiloom.plans.oracle import ORACLE_SQL
 
@@ -61,8 +57,7 @@ def duck(skewed):
 
 
 @pytest.mark.parametrize("name", AFFECTED)
-def test_query_matches_sql_on_skewed_tables(spark, skewed, duck, monkeypatch, name):
-    monkeypatch.setattr(hotkeys, "HOT_ROWS", 30)
+def test_query_matches_sql_on_skewed_tables(spark, skewed, duck, name):
     result = QUERIES[name](spark, skewed).toArrow()
     assert result.num_rows > 0
     assert differences(result, oracle_table(duck, ORACLE_SQL[name])) == []
