@@ -33,9 +33,13 @@ def text_chunks(
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... for each (start, length), one after another."""
-    total = int(lengths.sum())
-    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return shift + np.arange(total)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    top = max(total, int(starts.max(initial=0)) + total)
+    kind = np.int32 if top < 1 << 31 else np.int64
+    out = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def binary_rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:

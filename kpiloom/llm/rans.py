@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 
 LOWEST = 1 << 31
-LANES = 1024
+LANES = 4096
 #: Steps of a lane at least; shorter blocks have fewer lanes.
 STEPS = 64
 #: Steps between checkpoints.

@@ -39,7 +39,9 @@ from kpiloom.llm import rans
 from kpiloom.llm.common import WordCache, binary_rows, text_chunks, unused_character
 from kpiloom.sources.stage import checkpoint_folder, stage_table
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+#: Bytes of text that are tokenized at once.
+CHUNK = 2 << 20
 #: New words that the library encodes in one call.
 LIBRARY_WORDS = 8192
 #: New words of the usual form that are joined to one text.
@@ -47,7 +49,7 @@ JOINED_WORDS = 256
 #: A Latin letter before ASCII punctuation other than the apostrophe.
 PUNCTUATED = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}])([!-&(-/:-@\[-`{-~])"
 #: Token ids of a block; only a single longer document makes more.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: Bytes of text in a part, about.
 PART_BYTES = 64 << 20
 FEWEST_PARTS = 16
@@ -138,7 +140,7 @@ def _coded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, squeeze = codec(tokenizer_file), zstandard.ZstdCompressor(level=1)
-        for chunk in text_chunks(batches, "text"):
+        for chunk in text_chunks(batches, "text", CHUNK):
             ids, sizes = own.encode(chunk.column("text"))
             ends = np.cumsum(sizes + 1)
             out = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype="<u4")
@@ -246,7 +248,8 @@ def write_ids(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, unsqueeze = rans.Table(share), zstandard.ZstdDecompressor()
         for batch in batches:
-            for i, row in enumerate(batch.select(["part", "first", "ids"]).to_pylist()):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).select(["part", "first", "ids"]).to_pylist()[0]
                 ids = _from_planes(unsqueeze.decompress(row["ids"]))
                 made = table.encode(ids)
                 new = [
@@ -276,7 +279,8 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(share)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids = table.decode(block_of(row), 0, row["n"]).astype("<u4")
                 if zlib.crc32(ids.tobytes()) != row["crc32"]:
                     raise ValueError(f"part {row['part']}, block {row['block']}: wrong checksum")
