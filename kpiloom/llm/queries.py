@@ -111,7 +111,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir))
     number = [
-        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) AS long) AS n_{kind}")
         for kind in secrets.BASE_KINDS
     ]
     return found.select(

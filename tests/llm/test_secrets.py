@@ -6,9 +6,10 @@ import hashlib
 import random
 import re
 
-from llm_cases import DATA, EDGE, edge, texts  # noqa: F401
+from llm_cases import EDGE, edge  # noqa: F401
 
 from kpiloom.llm import queries, secrets
+from kpiloom.llm.common import documents
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -48,9 +49,12 @@ def expected(text):
     return (*count, hashlib.sha256(line(own).encode()).hexdigest(), line(everything(text)))
 
 
-def test_query_against_brute_force(spark, texts):  # noqa: F811
-    got = {r.doc_id: tuple(r)[1:] for r in queries.op7_secret_scan(spark, DATA).collect()}
-    assert got == {i: expected(t) for i, t in texts.items()}
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op7_secret_scan(spark, folder).collect()}
+    want = {r.doc_id: expected(r.text) for r in documents(spark, folder).collect()}
+    assert got == want
+    assert sum(w[0] for w in want.values()) and sum(w[2] for w in want.values())
 
 
 def test_linked_parts(spark):
