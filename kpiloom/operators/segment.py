@@ -140,7 +140,7 @@ def _same_name(column: str) -> Column:
     return F.upper(F.trim(column))
 
 
-def network_names(organisations: DataFrame, facility: str = "integrated") -> DataFrame:
+def network_names(organisations: DataFrame, facility: str) -> DataFrame:
     """Distinct normalised names of organisations with the facility type."""
     require_columns(organisations, "business_name", "facility_type")
     return (
@@ -160,6 +160,7 @@ def account_segment(
     training: DataFrame,
     account_rules: Sequence[AccountRule],
     academic_words: Sequence[str],
+    facility: str,
     as_of: DateLike | None = None,
     min_known: int = MIN_KNOWN,
     min_share: float = MIN_TRAINEE_SHARE,
@@ -182,7 +183,7 @@ def account_segment(
     per_account = forced_overrides(account_flags).join(
         trainee_ratio(provider_account, training, as_of), "account_id", "full_outer"
     )
-    networks = network_names(organisations)
+    networks = network_names(organisations, facility)
     joined = base.join(per_account, "account_id", "left").join(
         networks, _same_name("account_name") == F.col("network_name"), "left"
     )

@@ -1,4 +1,7 @@
-"""Metrics over calendar months: spines, rolling windows, growth, goals, truncation."""
+"""Metrics over calendar months: spines, rolling windows, growth, goals, truncation.
+
+The names of the result columns are fixed values: reports rely on them.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiloom.functions.exprs import (
-    between_days,
     DateLike,
     Names,
+    between_days,
     day_of,
     in_months,
     month_of,

@@ -53,15 +53,15 @@ LINE_LABELS = {
 BUCKETS = ("After both", "After one", "First line", "Naive")
 
 DOSING = [
-    DosingRule("Brand#7", "300", 2),
-    DosingRule("Brand#7", "200", 1.1, whole_doses=False),
-    DosingRule("Brand#12", "300", 4, interval_days=28),
+    DosingRule("Brand#7", "40", 3),
+    DosingRule("Brand#7", "25", 1.4, whole_doses=False),
+    DosingRule("Brand#12", "40", 5, interval_days=28),
 ]
 
 ROUTES = [
     RouteRule("IV", "Brand#1", source="MX", proc_codes=("PROMO", "LARGE")),
     RouteRule("IV", "Brand#1", source="MX", ndc_missing=True, proc_codes=("SMALL",)),
-    RouteRule("IV", "Brand#1", source="RX", strengths=("300 MG",)),
+    RouteRule("IV", "Brand#1", source="RX", strengths=("40 UNITS",)),
     RouteRule("SC", "Brand#1"),
     RouteRule("IV", "Brand#2", generic_not="small ring"),
     RouteRule("SC", "Brand#2"),
@@ -84,6 +84,7 @@ ACCOUNT_RULES = [
     AccountRule("Academic", "3", level2_ids=("2",)),
 ]
 ACADEMIC_WORDS = ("university", "research")
+FACILITY = "integrated"
 
 SPECS = [
     kpi.KpiSpec(
@@ -442,6 +443,7 @@ def account_segment(spark: SparkSession, d: str) -> DataFrame:
         b.training(spark, d),
         ACCOUNT_RULES,
         ACADEMIC_WORDS,
+        FACILITY,
         b.AS_OF,
     )
 
@@ -552,7 +554,7 @@ def fill_episodes_hot_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dosing_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return segment.dosing_schedule(_episodes(spark, d, ["Brand#7", "Brand#12"]), DOSING, 12)
+    return segment.dosing_schedule(_episodes(spark, d, ["Brand#7", "Brand#12"]), DOSING, 9)
 
 
 @query
@@ -605,10 +607,10 @@ def detailed_providers(spark: SparkSession, d: str) -> DataFrame:
     return entity.detailed_providers(
         b.calls(spark, d),
         product="Brand#5",
-        department="RETAIL",
-        excluded_classes=("SAMPLE ONLY", "EVENT ONLY"),
-        purpose="PROMOTIONAL",
-        contact_type="HCP",
+        department="FIELD",
+        excluded_classes=("PARCEL", "FAIR"),
+        purpose="OUTBOUND",
+        contact_type="BUYER",
         first="1996-01-01",
         last="2000-12-31",
     )
@@ -617,7 +619,7 @@ def detailed_providers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def age_group_writers(spark: SparkSession, d: str) -> DataFrame:
     rows = b.fills(spark, d, "provider_id", "new_start", "service_date", "birth_year")
-    return entity.age_group_writers(rows, 12, "1999-04-01", "2000-03-31")
+    return entity.age_group_writers(rows, 9, "1999-04-01", "2000-03-31")
 
 
 def _population_a(spark: SparkSession, d: str) -> DataFrame:

@@ -60,7 +60,7 @@ FILLS = """fills AS (
          p_name AS generic_name, p_type AS product_class, CAST(l_shipdate AS DATE) AS service_date,
          CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS new_start, l_quantity AS quantity,
          CAST(l_quantity * 7 + ((l_linenumber % 5) - 2) * 7 AS INTEGER) AS days_supply,
-         CASE WHEN p_size % 2 = 0 THEN '300 MG' ELSE '200 MG' END AS strength,
+         CASE WHEN p_size % 2 = 0 THEN '40 UNITS' ELSE '25 UNITS' END AS strength,
          CASE WHEN l_returnflag = 'A' THEN 'MX' ELSE 'RX' END AS source, p_type AS proc_code,
          CASE WHEN l_returnflag <> 'R' THEN CAST(l_partkey AS VARCHAR) END AS ndc,
          CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE 1920 + o_custkey % 100 END AS birth_year,
@@ -74,12 +74,12 @@ CALLS = """calls AS (
   SELECT user_id AS entity_id, event_id % 997 AS provider_id, event_type AS activity_type,
          DATE '1995-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) AS activity_date,
          'Brand#' || CAST(event_id % 25 + 1 AS VARCHAR) AS product,
-         CASE WHEN event_id % 3 = 0 THEN 'HOSPITAL' ELSE 'RETAIL' END AS department,
-         CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'DETAIL'
-              WHEN event_id % 4 = 1 THEN 'SAMPLE ONLY' WHEN event_id % 4 = 2 THEN 'EVENT ONLY'
-              ELSE 'FOLLOW UP' END AS classification,
-         CASE WHEN event_id % 5 = 0 THEN 'LOGISTICAL' ELSE 'PROMOTIONAL' END AS purpose,
-         CASE WHEN event_id % 7 = 0 THEN 'STAFF' ELSE 'HCP' END AS contact_type
+         CASE WHEN event_id % 3 = 0 THEN 'DESK' ELSE 'FIELD' END AS department,
+         CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'VISIT'
+              WHEN event_id % 4 = 1 THEN 'PARCEL' WHEN event_id % 4 = 2 THEN 'FAIR'
+              ELSE 'RECALL' END AS classification,
+         CASE WHEN event_id % 5 = 0 THEN 'SUPPLY' ELSE 'OUTBOUND' END AS purpose,
+         CASE WHEN event_id % 7 = 0 THEN 'CREW' ELSE 'BUYER' END AS contact_type
   FROM events)"""
 
 
@@ -680,20 +680,20 @@ def _schedule(days: str) -> str:
     return (
         "CASE"
         + branches(
-            "product = 'Brand#7' AND strength ILIKE '%300%' AND quantity % 2 = 0",
-            "(quantity / 2) * 14",
+            "product = 'Brand#7' AND strength ILIKE '%40%' AND quantity % 3 = 0",
+            "(quantity / 3) * 14",
             7,
             2,
         )
         + branches(
-            "product = 'Brand#7' AND strength ILIKE '%200%'",
-            "round(quantity / CAST(1.1 AS DOUBLE), 0) * 14",
+            "product = 'Brand#7' AND strength ILIKE '%25%'",
+            "round(quantity / CAST(1.4 AS DOUBLE), 0) * 14",
             7,
             2,
         )
         + branches(
-            "product = 'Brand#12' AND strength ILIKE '%300%' AND quantity % 4 = 0",
-            "(quantity / 4) * 28",
+            "product = 'Brand#12' AND strength ILIKE '%40%' AND quantity % 5 = 0",
+            "(quantity / 5) * 28",
             7,
             4,
         )
@@ -709,7 +709,7 @@ dosing AS (
          CAST({_TO_NEXT} AS INTEGER) AS days_before_next_fill,
          {_schedule("days_supply")} AS dosing,
          {_schedule(_TO_NEXT)} AS dosing_actual
-  FROM episodes WHERE patient_age >= 12)"""
+  FROM episodes WHERE patient_age >= 9)"""
 
 ORACLE_SQL["dosing_schedule"] = f"WITH {_DOSING} SELECT * FROM dosing"
 ORACLE_SQL["dosing_consolidated"] = f"""WITH {_DOSING}
@@ -721,7 +721,7 @@ ORACLE_SQL["route_rules"] = f"""WITH {FILLS}
 SELECT claim_id, product, source, proc_code, ndc, strength, generic_name, provider_id, service_date,
        CASE WHEN product = 'Brand#1' AND ((source = 'MX' AND proc_code IN ('PROMO', 'LARGE'))
                  OR (source = 'MX' AND ndc IS NULL AND proc_code IN ('SMALL'))
-                 OR (source = 'RX' AND strength IN ('300 MG'))) THEN 'IV'
+                 OR (source = 'RX' AND strength IN ('40 UNITS'))) THEN 'IV'
             WHEN product = 'Brand#1' THEN 'SC'
             WHEN product = 'Brand#2' AND generic_name <> 'small ring' THEN 'IV'
             WHEN product = 'Brand#2' THEN 'SC'
@@ -736,14 +736,14 @@ ORACLE_SQL["route_rules_general"] = ORACLE_SQL["route_rules"].replace(
 
 ORACLE_SQL["detailed_providers"] = f"""WITH {CALLS}
 SELECT DISTINCT provider_id FROM calls
-WHERE product = 'Brand#5' AND department = 'RETAIL'
-  AND classification NOT IN ('SAMPLE ONLY', 'EVENT ONLY') AND purpose = 'PROMOTIONAL'
-  AND activity_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND contact_type = 'HCP'"""
+WHERE product = 'Brand#5' AND department = 'FIELD'
+  AND classification NOT IN ('PARCEL', 'FAIR') AND purpose = 'OUTBOUND'
+  AND activity_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND contact_type = 'BUYER'"""
 
 ORACLE_SQL["age_group_writers"] = f"""WITH {FILLS}
 SELECT DISTINCT provider_id FROM fills
 WHERE new_start = 1 AND service_date BETWEEN DATE '1999-04-01' AND DATE '2000-03-31'
-  AND birth_year <> 0 AND year(service_date) - birth_year < 12"""
+  AND birth_year <> 0 AND year(service_date) - birth_year < 9"""
 
 _POPULATIONS = f"""{FILLS},
 pop_a AS (

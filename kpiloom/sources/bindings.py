@@ -89,7 +89,7 @@ def fills(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "generic_name": F.col("p_name"),
         "product_class": F.col("p_type"),
         "proc_code": F.col("p_type"),
-        "strength": F.when(F.col("p_size") % 2 == 0, "300 MG").otherwise("200 MG"),
+        "strength": F.when(F.col("p_size") % 2 == 0, "40 UNITS").otherwise("25 UNITS"),
     }
     rows = table(spark, folder, "lineitem")
     if any(c in from_order for c in columns):
@@ -115,17 +115,17 @@ def roster(
 def calls(spark: SparkSession, folder: str) -> DataFrame:
     """Outreach calls derived from the event stream; attributes follow from the event number."""
     n = F.col("event_id")
-    kinds = F.array(*map(F.lit, ["DETAIL", "SAMPLE ONLY", "EVENT ONLY", "FOLLOW UP"]))
+    kinds = F.array(*map(F.lit, ["VISIT", "PARCEL", "FAIR", "RECALL"]))
     return table(spark, folder, "events").select(
         F.col("user_id").alias("entity_id"),
         (n % 997).alias("provider_id"),
         F.col("event_type").alias("activity_type"),
         F.date_add(F.lit(dt.date(1995, 1, 1)), (n * 37 % 2400).cast("int")).alias("activity_date"),
         F.concat(F.lit("Brand#"), (n % 25 + 1).cast("string")).alias("product"),
-        F.when(n % 3 == 0, "HOSPITAL").otherwise("RETAIL").alias("department"),
+        F.when(n % 3 == 0, "DESK").otherwise("FIELD").alias("department"),
         F.when(n % 11 != 0, F.get(kinds, (n % 4).cast("int"))).alias("classification"),
-        F.when(n % 5 == 0, "LOGISTICAL").otherwise("PROMOTIONAL").alias("purpose"),
-        F.when(n % 7 == 0, "STAFF").otherwise("HCP").alias("contact_type"),
+        F.when(n % 5 == 0, "SUPPLY").otherwise("OUTBOUND").alias("purpose"),
+        F.when(n % 7 == 0, "CREW").otherwise("BUYER").alias("contact_type"),
     )
 
 

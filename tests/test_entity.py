@@ -97,9 +97,9 @@ def test_net_new_counts_first_months_only(frame):
 
 
 def test_detailed_providers_needs_every_condition(frame):
-    good = ("P", "RETAIL", "DETAIL", "PROMOTIONAL", "HCP", "2024-03-31T10:00:00")
+    good = ("P", "FIELD", "VISIT", "OUTBOUND", "BUYER", "2024-03-31T10:00:00")
     variants = [(1, *good), (1, *good)]
-    for i, bad in enumerate(["Q", "HOSPITAL", "SAMPLE ONLY", "LOGISTICAL", "STAFF", "2024-04-01T00:00:00"]):
+    for i, bad in enumerate(["Q", "DESK", "PARCEL", "SUPPLY", "CREW", "2024-04-01T00:00:00"]):
         variants.append((10 + i, *good[:i], bad, *good[i + 1:]))
     variants.append((20, *good[:2], None, *good[3:]))
     df = frame(
@@ -108,7 +108,7 @@ def test_detailed_providers_needs_every_condition(frame):
         *variants,
     )
     found = entity.detailed_providers(
-        df, "P", "RETAIL", ("SAMPLE ONLY", "EVENT ONLY"), "PROMOTIONAL", "HCP",
+        df, "P", "FIELD", ("PARCEL", "FAIR"), "OUTBOUND", "BUYER",
         "2024-01-01", "2024-03-31",
     )
     assert rows(found) == [(1,)]

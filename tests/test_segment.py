@@ -103,7 +103,7 @@ def segments(frame):
         AccountRule("Academic", "ruled", level2_ids=("L2",)),
     ]
     return segment.account_segment(
-        hierarchy, accounts, flags, organisations, training, rules, ("college",), "2024-09-15"
+        hierarchy, accounts, flags, organisations, training, rules, ("college",), "integrated", "2024-09-15"
     )
 
 
@@ -142,7 +142,7 @@ def test_share_thresholds(frame, known, trainees, expected):
     flags = frame("account_id string, label string, flag_a int, flag_b int", ("x", "x", 0, 0))
     networks = frame("business_name string, facility_type string", ("x", "x"))
     result = segment.account_segment(
-        hierarchy, accounts, flags, networks, training, [], (), "2024-09-15"
+        hierarchy, accounts, flags, networks, training, [], (), "integrated", "2024-09-15"
     )
     assert result.first().account_segment_granular == expected
 
@@ -242,18 +242,18 @@ def test_concordance(frame):
 
 # -- dosing ------------------------------------------------------------------------------
 
-RULES = [DosingRule("P", "300", 2), DosingRule("P", "200", 1.1, whole_doses=False)]
+RULES = [DosingRule("P", "40", 2), DosingRule("P", "25", 1.1, whole_doses=False)]
 EXPECTED, SHORTER, LONGER = "1 injection in 2 weeks", "1 injection in <2 weeks", "1 injection in >2 weeks"
 
 
 @pytest.mark.parametrize(
     "strength, quantity, supply, expected",
     [
-        ("300 MG", 4, 28, EXPECTED), ("300 MG", 4, 21, EXPECTED), ("300 MG", 4, 35, EXPECTED),
-        ("300 MG", 4, 20, SHORTER), ("300 mg", 4, 36, LONGER), ("300 MG", 3, 21, "Non-Categorized"),
-        ("200 MG", 3, 42, EXPECTED), ("200 MG", 3, 34, SHORTER), ("200 MG", 3, 50, LONGER),
+        ("40 UNITS", 4, 28, EXPECTED), ("40 UNITS", 4, 21, EXPECTED), ("40 UNITS", 4, 35, EXPECTED),
+        ("40 UNITS", 4, 20, SHORTER), ("40 units", 4, 36, LONGER), ("40 UNITS", 3, 21, "Non-Categorized"),
+        ("25 UNITS", 3, 42, EXPECTED), ("25 UNITS", 3, 34, SHORTER), ("25 UNITS", 3, 50, LONGER),
         ("100 MG", 4, 28, "Non-Categorized"), (None, 4, 28, "Non-Categorized"),
-        ("300 MG", 4, None, "Non-Categorized"),
+        ("40 UNITS", 4, None, "Non-Categorized"),
     ],
 )
 def test_dosing_windows(frame, strength, quantity, supply, expected):
@@ -272,9 +272,9 @@ def test_dosing_by_actual_gap_age_filter_and_union(frame):
     episodes = frame(
         "product string, claim_id long, provider_id long, entity_id long, fill_date date, first_date date, "
         "quantity double, strength string, days_supply int, patient_age int, next_fill_date date",
-        ("P", 1, 1, 1, "2024-01-01", "2024-01-01", 2, "300", 14, 12, "2024-02-01"),
-        ("P", 2, 1, 1, "2024-01-01", "2024-01-01", 2, "300", 14, 11, "2024-02-01"),
-        ("P", 3, 1, 1, "2024-01-01", "2024-01-01", 2, "300", 14, None, "2024-02-01"),
+        ("P", 1, 1, 1, "2024-01-01", "2024-01-01", 2, "40", 14, 12, "2024-02-01"),
+        ("P", 2, 1, 1, "2024-01-01", "2024-01-01", 2, "40", 14, 11, "2024-02-01"),
+        ("P", 3, 1, 1, "2024-01-01", "2024-01-01", 2, "40", 14, None, "2024-02-01"),
         ("Q", 4, 2, 1, "2024-01-01", "2024-01-01", 4, "30", 28, 40, "2024-01-29"),
     )
     first = segment.dosing_schedule(episodes.filter("product = 'P'"), RULES, min_age=12)
