@@ -27,24 +27,38 @@ def fixed_average(
     entity: str,
     view: Column | None = None,
     view_by: Names = (),
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """Group averages fixed against a view's filter, next to the averages inside the view.
 
     ``view`` is the filter of the report and ``view_by`` its further dimensions. The fixed
     average is over all rows of the group; filter ``df`` beforehand for conditions it should
-    respect. One scan computes both levels as grouping sets, and the group's own line is then
-    handed to its view lines: a window over aggregated lines, not over rows.
+    respect. The rows are summed per entity and view dimension first; only these sums meet
+    ``places``, which has the group columns with one row per entity if the rows don't. Both
+    levels are grouping sets over the sums, and the group's own line is then handed to its view
+    lines: a window over aggregated lines, not over rows.
     """
     fixed_on, dims = names(group), names(view_by)
-    require_columns(df, fixed_on, dims, value, entity)
+    require_columns(df, dims, value, entity)
+    require_columns(df if places is None else places, entity, fixed_on)
     inside = F.lit(True) if view is None else view
     in_view = F.when(inside, F.col(value))
-    measures = [
+    own = [] if places is not None else fixed_on
+    df = df.groupBy(*dict.fromkeys([entity, *own, *dims])).agg(
         F.sum(value).alias("__sum"),
         F.count(value).alias("__rows"),
+        F.count_if(inside).alias("__inside"),
+        F.sum(in_view).alias("__view_sum"),
+        F.count(in_view).alias("__view_count"),
+    )
+    if places is not None:
+        df = df.join(places.select(entity, *fixed_on), entity, "left")
+    measures = [
+        F.sum("__sum").alias("__sum"),
+        F.sum("__rows").alias("__rows"),
         F.count_distinct(entity).alias("__entities"),
-        F.count_if(inside).alias("view_rows"),
-        ratio(F.sum(in_view), F.count(in_view)).alias("view_avg"),
+        F.sum("__inside").alias("view_rows"),
+        ratio(F.sum("__view_sum"), F.sum("__view_count")).alias("view_avg"),
     ]
     keys = [*fixed_on, *dims]
     if dims:

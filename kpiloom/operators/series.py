@@ -193,24 +193,30 @@ def monthly_trend(
     months: int = 12,
     by: Names = (),
     gap_fill: bool = False,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """Monthly total, distinct entities, prior month and its percentage change.
 
     Starts ``months`` months before the month of ``as_of`` and ends with ``as_of``, so the last
     month may be a part month. The prior month is the previous one with data; ``gap_fill`` makes it the previous calendar
     month.
+    ``places``, with one row per entity, has the ``by`` columns if the claims don't; it meets the
+    entities' monthly sums, so a large entity never meets it row by row.
     """
-    require_columns(claims, "entity_id", "service_date", "paid_amount", by)
+    require_columns(claims, "entity_id", "service_date", "paid_amount")
+    require_columns(claims if places is None else places, "entity_id", by)
     as_of = today_or(as_of)
     keys = names(by)
     first = shift_months(month_start(as_of), -months)
-    monthly = (
-        claims.filter(between_days("service_date", first, as_of))
-        .groupBy(month_of("service_date").alias("month"), *keys)
-        .agg(
-            F.sum("paid_amount").alias("total_paid"),
-            F.count_distinct("entity_id").alias("unique_entities"),
-        )
+    rows = claims.filter(between_days("service_date", first, as_of)).withColumn(
+        "month", month_of("service_date")
+    )
+    if places is not None:
+        summed = rows.groupBy("entity_id", "month").agg(F.sum("paid_amount").alias("paid_amount"))
+        rows = summed.join(places.select("entity_id", *keys), "entity_id", "left")
+    monthly = rows.groupBy("month", *keys).agg(
+        F.sum("paid_amount").alias("total_paid"),
+        F.count_distinct("entity_id").alias("unique_entities"),
     )
     measures = ["total_paid", "unique_entities"]
     if gap_fill and keys:

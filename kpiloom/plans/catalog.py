@@ -342,9 +342,11 @@ def monthly_trend_past_filled(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def monthly_trend_by_region(spark: SparkSession, d: str) -> DataFrame:
-    claims = b.claims(spark, d, with_region=True)
+    claims, places = b.claims(spark, d), b.customer(spark, d)
     return doubles(
-        series.monthly_trend(claims, b.AS_OF, months=18, by="region", gap_fill=True)
+        series.monthly_trend(
+            claims, b.AS_OF, months=18, by="region", gap_fill=True, places=places
+        )
     )
 
 
@@ -390,10 +392,10 @@ def rolling_3m_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fixed_lod_avg(spark: SparkSession, d: str) -> DataFrame:
-    claims = b.claims(spark, d, with_region=True)
+    claims, places = b.claims(spark, d), b.customer(spark, d)
     in_view = F.year("service_date") == 2000
     return overlap.fixed_average(
-        claims, "region", "paid_amount", "entity_id", in_view, "order_status"
+        claims, "region", "paid_amount", "entity_id", in_view, "order_status", places
     )
 
 
