@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import test_contamination
-import test_quality
+import test_quality_rules
 import test_secrets
 import test_sentencepieces
 import test_simhash
@@ -21,8 +21,8 @@ from kpiloom.llm.common import documents
 
 def brute_force(rows, items):
     """rows: (doc_id, text, lang, source)."""
-    found = [(lang, source, test_quality.plain_counts(t)) for _, t, lang, source in rows]
-    rows = [r for r, kept in zip(rows, test_quality.plain_kept(found)) if kept]
+    found = [(lang, source, test_quality_rules.plain_counts(t)) for _, t, lang, source in rows]
+    rows = [r for r, kept in zip(rows, test_quality_rules.plain_kept(found)) if kept]
     marks = [test_simhash.plain_fingerprint(t) for _, t, _, _ in rows]
     heads = test_simhash.plain_heads(marks)
     lowest = {}
