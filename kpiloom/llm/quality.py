@@ -132,8 +132,11 @@ LEVELS = ("to_json(struct(lang, source))", "to_json(struct(lang))", "'all'")
 def _cells(judged: DataFrame) -> DataFrame:
     """Different vectors of each group, of each language and of all, with their counts ``n``."""
     xs = [f"x{i}" for i in DIMENSIONS]
-    cells = judged.where("NOT base_failed").groupBy("lang", "source", *xs).agg(F.count("*").alias("n"))
-    cells = reliable_copy(cells)
+    # filtered after the sums: a filter on the rows would have the counts made twice
+    cells = judged.groupBy("lang", "source", *xs).agg(
+        F.count("*").alias("n"), F.bool_or("base_failed").alias("failed")
+    )
+    cells = reliable_copy(cells.where("NOT failed").drop("failed"))
     keys = ", ".join(f"concat('{i}', {key})" for i, key in enumerate(LEVELS))
     spread = cells.select(F.explode(F.expr(f"array({keys})")).alias("key"), *xs, "n")
     return cells, reliable_copy(spread.groupBy("key", *xs).agg(F.sum("n").alias("n")))
@@ -256,7 +259,9 @@ def _verdict(judged: DataFrame, groups: DataFrame) -> DataFrame:
     fits = groups.withColumnsRenamed({"lang": "fit_lang", "source": "fit_source"})
     same = F.col("lang").eqNullSafe(F.col("fit_lang")) & F.col("source").eqNullSafe(F.col("fit_source"))
     joined = judged.join(fits, same, "left")
-    kept = ~F.col("base_failed") & F.coalesce(squared_distance() <= CUTOFF, F.lit(True))
+    # one CASE: as a conjunction, its first part would go below the join and make the counts twice
+    near = F.coalesce(squared_distance() <= CUTOFF, F.lit(True))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(near)
     return joined.withColumn("distance", squared_distance()).withColumn("kept", kept)
 
 
