@@ -143,3 +143,16 @@ def test_a_constant_group_rejects_only_what_differs(spark):
     rows += [(0, " ".join(f"{k}#$%&<>" for k in range(100, 140)), "en", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert [r.doc_id for r in quality.judge(frame).where("NOT kept").collect()] == [0]
+
+
+def test_junk_of_two_fifths_of_a_source_is_rejected(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1000):
+        words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(60)]
+        if i < 400:
+            words = [w[:3] + "#$%"[: rng.integers(1, 4)] for w in words]
+        rows.append((i, " ".join(words), "en", "hot"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.judge(frame).where("kept").collect()}
+    assert sum(i < 400 for i in kept) < 8 and sum(i >= 400 for i in kept) > 594
