@@ -60,7 +60,9 @@ class TokenCodec:
 
     The byte-level pattern never goes from other characters on to white space, nor from letters on to
     punctuation, so a text can be cut before each run of white space and between a Latin letter and
-    ASCII punctuation. Texts are encoded whole if the file has another pre-tokenizer.
+    ASCII punctuation. The library takes the strings of added tokens out first, so what is between
+    them is a text of its own. Texts are encoded whole if the file has another pre-tokenizer, or added
+    tokens with white space or with rules on what is around them.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -68,12 +70,17 @@ class TokenCodec:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(tokenizer_file)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         setup = json.loads(self.library.to_str())
         before = setup["pre_tokenizer"] or {}
         self.cuts = setup["normalizer"] is None and (
             before.get("type"), before.get("use_regex"), before.get("add_prefix_space")
         ) == ("ByteLevel", True, False)
+        added = {t.content: (i, t) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.cuts &= not any(
+            t.single_word or t.lstrip or t.rstrip or any(map(str.isspace, t.content)) for _, t in added.values()
+        )
+        self.added_ids = {content: i for content, (i, _) in added.items()}
+        self.added = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
         self.size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
         self.cache = WordCache(self._words, CACHED_WORDS)
         #: Bytes of each token: the byte-level alphabet has a character for every byte.
@@ -117,6 +124,26 @@ class TokenCodec:
         texts = pc.fill_null(texts, "")
         if not self.cuts:
             return self._each(texts.to_pylist())
+        if self.added and pc.any(pc.match_substring_regex(texts, self.added)).as_py():
+            return self._around_added(texts)
+        return self._plain(texts)
+
+    def _around_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts with strings of added tokens."""
+        parts = [re.split(f"({self.added})", t) for t in texts.to_pylist()]
+        flat = list(chain.from_iterable(parts))
+        plain = np.concatenate([np.arange(len(p)) % 2 == 0 for p in parts])
+        ids, plain_sizes = self._plain(pa.array(list(compress(flat, plain)), pa.string()))
+        sizes = np.ones(len(flat), dtype=np.int64)
+        sizes[plain] = plain_sizes
+        out = np.empty(int(sizes.sum()), dtype=np.int32)
+        out[np.repeat(plain, sizes)] = ids
+        out[np.repeat(~plain, sizes)] = [self.added_ids[p] for p in compress(flat, ~plain)]
+        ends = np.cumsum([len(p) for p in parts])
+        return out, np.add.reduceat(sizes, ends - [len(p) for p in parts])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts without strings of added tokens."""
         cut = unused_character(texts, "".join([" \n\\0123456789", *self.spaces]))
         for space in " \n":
             texts = pc.replace_substring(texts, space, cut + space)

@@ -78,3 +78,17 @@ def test_damage_is_noticed(spark, edge, tmp_path):  # noqa: F811
     spark.read.parquet(f"{tmp_path}/ids/table").write.parquet(f"{tmp_path}/bad/table")
     with pytest.raises(Exception, match="wrong checksum"):
         tokenids.read_ids(spark, f"{tmp_path}/bad").collect()
+
+
+def test_added_tokens_encode_as_the_library_as_loaded():
+    import tokenizers
+
+    fresh = tokenizers.Tokenizer.from_file(FILE)
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "one", " two", "a|", "<", "é"]
+    cases = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|>", "plain text", "", None]
+    cases += ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)]
+    ids, sizes = tokenids.codec(FILE).encode(pa.array(cases))
+    for text, got in zip(cases, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == fresh.encode(text or "", add_special_tokens=False).ids
+    assert fresh.encode(cases[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
