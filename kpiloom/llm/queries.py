@@ -16,6 +16,7 @@ from kpiloom.llm import (
     quality,
     secrets,
     sentencepieces,
+    sigtree,
     simhash,
     substrings,
     tokenids,
@@ -183,6 +184,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *names, "base_failed", "kept")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.similar_groups(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(
+        [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 3, 1) + 1)]) END AS s
+    FROM words
+), texts AS (
+    SELECT s, min(doc_id) AS id, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s
+), shingles AS (
+    SELECT id, n, unnest(s) AS x FROM texts
+), links AS (
+    SELECT a.id AS a, b.id AS b
+    FROM shingles AS a JOIN shingles AS b ON a.x = b.x AND a.id <> b.id
+    WHERE 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+    GROUP BY a.id, b.id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+    SELECT id, id AS other FROM texts WHERE n > 0
+    UNION
+    SELECT r.id, l.b FROM reached AS r JOIN links AS l ON l.a = r.other
+), least AS (
+    SELECT id, min(other) AS component_id FROM reached GROUP BY id
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles,
+    CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component_id END AS component_id
+FROM sets AS d
+LEFT JOIN texts AS t ON t.s = list_sort(d.s)
+LEFT JOIN least AS l ON l.id = t.id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -194,10 +233,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_ngram_jaccard": OP11_SQL,
 }

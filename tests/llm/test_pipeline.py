@@ -9,10 +9,10 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import test_contamination
+import test_neardup
 import test_quality_rules
 import test_secrets
 import test_sentencepieces
-import test_simhash
 from llm_cases import DATA, EDGE, edge  # noqa: F401
 
 from kpiloom.llm import secrets
@@ -23,12 +23,8 @@ def brute_force(rows, items):
     """rows: (doc_id, text, lang, source)."""
     found = [(lang, source, test_quality_rules.plain_counts(t)) for _, t, lang, source in rows]
     rows = [r for r, kept in zip(rows, test_quality_rules.plain_kept(found)) if kept]
-    marks = [test_simhash.plain_fingerprint(t) for _, t, _, _ in rows]
-    heads = test_simhash.plain_heads(marks)
-    lowest = {}
-    for r, mark in zip(rows, marks):
-        lowest[heads[mark]] = min(r[0], lowest.get(heads[mark], r[0]))
-    rows = [r for r, mark in zip(rows, marks) if lowest[heads[mark]] == r[0]]
+    heads = test_neardup.plain_components([r[:2] for r in rows])
+    rows = [r for r, head in zip(rows, heads) if r[0] == head]
     grams = {g for _, t in items for g in fives(t)}
     likely = [(i, t) for i, t, _, _ in rows if grams & fives(t)]
     bad = {i for i, _ in test_contamination.plain(likely, items)}
@@ -70,7 +66,7 @@ def test_stages_take_edge_rows(spark, edge, name, stage):  # noqa: F811
         if some is docs and name in ("decontamination", "secret_scan", "sentencepiece"):
             assert len(rows) == len(EDGE)
         if some is docs and name == "near_dedup":
-            assert sorted(str(r.doc_id) for r in rows) == ["1", "4", "5", "6", "None", "None"]
+            assert sorted(str(r.doc_id) for r in rows) == ["1", "4", "5", "6"]
 
 
 def test_stages_leave_clean_documents_alone(spark):
