@@ -4,8 +4,8 @@ Two texts link if their sets of word shingles have a Jaccard similarity of at le
 a component is what links reach. Words are what lies between ASCII white space, A-Z lower-cased; a text
 with fewer words than a shingle has is one shingle.
 
-1. Every set has a bitmap in which each shingle sets one bit (two to four bits a shingle), its size, and
-   how many shingles fell on a bit that was set (``excess``).
+1. Every set has a bitmap in which each shingle sets one bit (eight to sixteen bits a shingle), its size,
+   and how many shingles fell on a bit that was set (``excess``).
 2. Sets that are similar share one of the first n - ceil(percent * n / 100) + 1 shingles of each, in any
    fixed order of all shingles. So a block is made of every such shingle that two sets share; blocks of
    the same members are one. The order puts common shingles last: they are counted in a sixteenth of
@@ -16,11 +16,13 @@ with fewer words than a shingle has is one shingle.
    of components. Both trees of a pair are walked at once from the top; a pair of nodes is left if
    its maximum possible overlap (common bits and the lesser excess, or the size) is too small, if its
    sizes are too far apart, or if all its members are in one component already.
-4. Of the pairs of leaves that remain, each set first gives those with the likeliest and the smallest
-   partner; the pairs are verified on the sets, and components are made of the links. Blocks in which sets
-   had more partners than they gave, and that hold several components still, are walked again, and each
-   set gives four times as many, until every pair that is left has been given. So groups of near copies take about as many
-   comparisons as they have members, and no link between components is lost.
+4. Of the pairs of leaves that remain, each set first gives those with the ``FIRST`` likeliest and the
+   smallest partner; the pairs are verified on the sets, and components are made of the links. Blocks in
+   which sets had more partners than they gave, and that hold several components still, are walked again
+   with ``MORE`` times as many, until every pair that is left has been given. So groups of near copies take
+   about as many comparisons as they have members, and no link between components is lost.
+5. This is done first for the blocks that are the largest of one of their members, then for all others that
+   hold several components; there, sets that have the same largest block need no comparison any more.
 
 A block of more than ``LEAVES`` members is dealt out in parts; every two parts are a task's unit. Shingles are
 64-bit hashes and nodes 64-bit hashes of sets: a false match has a chance of 2^-64 for each two.
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute as pac
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +57,12 @@ CHILDREN = 8
 LEAVES = 1024
 #: Words of bitmaps that are compared at once.
 TOGETHER = 1 << 18
-#: Partners that a set gives in the first round, and how many times more in each next one.
-FIRST = 1
-MORE = 4
-#: Bits of the filter by which sets are made for candidates only.
+#: Partners that a set gives at first, and how many times more each next time.
+FIRST = 3
+MORE = 8
+#: Bits of the filters by which sets are made for candidates only, and shared shingles are found.
 FILTER = 1 << 22
+WIDE_FILTER = 1 << 25
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -79,8 +82,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """Two to four bits for each shingle, a power of two and 64 at least; each shingle sets one."""
-    size = max(64, 1 << (2 * len(own) - 1).bit_length())
+    """Eight to sixteen bits for each shingle, a power of two and 64 at least; each shingle sets one."""
+    size = max(64, 1 << (8 * len(own) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
@@ -150,16 +153,16 @@ class Tree:
     """Members and, above them, nodes of ``CHILDREN`` each, up to a level of so many at most.
 
     Each level has the bitmaps, and the columns least size, largest size, largest excess, least and
-    largest component.
+    largest component, least and largest block in which the members have been compared.
     """
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heads: np.ndarray):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tops: np.ndarray):
         excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels = [(bits, (sizes, sizes, excess, heads, heads))]
+        self.levels = [(bits, (sizes, sizes, excess, heads, heads, tops, tops))]
         while len(bits) > CHILDREN:
             starts = np.arange(0, len(bits), CHILDREN)
             bits = np.bitwise_or.reduceat(bits, starts, axis=0)
-            ways = (np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            ways = (np.minimum, np.maximum, np.maximum, *(np.minimum, np.maximum) * 2)
             self.levels.append(
                 (bits, tuple(w.reduceat(c, starts) for w, c in zip(ways, self.levels[-1][1])))
             )
@@ -185,9 +188,10 @@ def walk(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, ...]:
             p, q = p[:most], q[:most]
         if same:
             p, q = (x[p <= q if at else p < q] for x in (p, q))
-        (plo, phi, px, pa_, pz), (qlo, qhi, qx, qa, qz) = ([c[i] for c in cols] for cols, i in ((pc, p), (qc, q)))
-        # all of one component, or sizes too far apart
-        fit = ~((pa_ == qz) & (pz == qa)) & (100 * phi >= percent * qlo) & (100 * qhi >= percent * plo)
+        (plo, phi, px, *ps), (qlo, qhi, qx, *qs) = ([c[i] for c in cols] for cols, i in ((pc, p), (qc, q)))
+        fit = (100 * phi >= percent * qlo) & (100 * qhi >= percent * plo)
+        for k in (0, 2):  # all of one component, or compared before
+            fit &= (ps[k] != qs[k + 1]) | (ps[k + 1] != qs[k])
         p, q = p[fit], q[fit]
         shared = np.bitwise_count(pb[p] & qb[q]).sum(axis=1, dtype=np.int64) + np.minimum(px, qx)[fit]
         shared = np.minimum(shared, np.minimum(phi, qhi)[fit])
@@ -218,22 +222,22 @@ NONE = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 class Members:
     """Members of a part of a block: a tree for each width of bitmaps."""
 
-    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, heads: np.ndarray, bits: pa.Array):
-        order = np.lexsort((nodes, sizes, np.where(nodes == heads, 0, heads)))
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tops: np.ndarray, bits: pa.Array):
+        order = np.lexsort((nodes, sizes, np.where(nodes == heads, 0, heads), np.where(nodes == tops, 0, tops)))
         self.nodes, self.trees = nodes[order], {}
         for width, at, rows in _by_width(bits.take(pa.array(order))):
-            n, head = sizes[order[at]], heads[order[at]]
-            self.trees[width] = (at, rows, n, head, Tree(rows, n, head))
+            columns = [c[order[at]] for c in (sizes, heads, tops)]
+            self.trees[width] = (at, rows, columns, Tree(rows, *columns))
 
     def folded(self, width: int) -> Tree:
         """The tree of bitmaps of twice the width, folded to it."""
-        _, rows, sizes, heads, _ = self.trees[2 * width]
-        return Tree(_folded(rows), sizes, heads)
+        _, rows, columns, _ = self.trees[2 * width]
+        return Tree(_folded(rows), *columns)
 
 
 def _by_width(bits: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each width of bitmaps: width in words, places, and a matrix of the bitmaps."""
-    widths = pc.binary_length(bits).to_numpy(zero_copy_only=False) // 8
+    widths = pac.binary_length(bits).to_numpy(zero_copy_only=False) // 8
     for width in np.unique(widths).tolist():
         at = np.flatnonzero(widths == width)
         raw = b"".join(bits.take(pa.array(at)).to_pylist())
@@ -260,7 +264,7 @@ def candidates(one: Members, two: Members, percent: int) -> tuple[np.ndarray, ..
 
 
 def leaf_pairs(
-    units: np.ndarray, sizes: np.ndarray, heads: np.ndarray, bits: pa.Array, percent: int
+    units: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tops: np.ndarray, bits: pa.Array, percent: int
 ) -> tuple[np.ndarray, ...]:
     """As ``candidates``, for many units of ``CHILDREN`` members at most, whose trees are their leaves.
 
@@ -268,7 +272,8 @@ def leaf_pairs(
     """
     p = np.concatenate([np.flatnonzero(units[:-d] == units[d:]) for d in range(1, CHILDREN)])
     q = p + np.repeat(np.arange(1, CHILDREN), [np.count_nonzero(units[:-d] == units[d:]) for d in range(1, CHILDREN)])
-    fit = (heads[p] != heads[q]) & (100 * sizes[p] >= percent * sizes[q]) & (100 * sizes[q] >= percent * sizes[p])
+    fit = (heads[p] != heads[q]) & (tops[p] != tops[q])
+    fit &= (100 * sizes[p] >= percent * sizes[q]) & (100 * sizes[q] >= percent * sizes[p])
     p, q = p[fit], q[fit]
     widths, place, rows = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), {}
     for width, at, some in _by_width(bits):
@@ -333,7 +338,9 @@ def _pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_units(batches):
             keys = np.stack([table.column(c).to_numpy() for c in UNIT])
-            nodes, sizes, heads, side = (table.column(c).to_numpy() for c in ("node", "n", "head", "side"))
+            nodes, sizes, heads, tops, side = (
+                table.column(c).to_numpy() for c in ("node", "n", "head", "top", "side")
+            )
             bits = table.column("bits").combine_chunks()
             new = np.ones(len(nodes), dtype=bool)
             new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
@@ -342,14 +349,15 @@ def _pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
             small = (count <= CHILDREN) & (keys[1, starts] == keys[2, starts])
             found = []
             if len(pool := np.flatnonzero(small[unit])) > 1:
-                p, q, alike = leaf_pairs(unit[pool], sizes[pool], heads[pool], bits.take(pa.array(pool)), percent)
+                own = [c[pool] for c in (unit, sizes, heads, tops)]
+                p, q, alike = leaf_pairs(*own, bits.take(pa.array(pool)), percent)
                 found.append(given(unit[pool[p]], nodes[pool[p]], nodes[pool[q]], alike, most))
             for u in np.flatnonzero(~small):
                 rows = slice(int(starts[u]), int(starts[u] + count[u]))
                 parts = []
                 for own in dict.fromkeys(keys[1:, starts[u]].tolist()):
                     at = starts[u] + np.flatnonzero(side[rows] == own)
-                    parts.append(Members(nodes[at], sizes[at], heads[at], bits.take(pa.array(at))))
+                    parts.append(Members(nodes[at], sizes[at], heads[at], tops[at], bits.take(pa.array(at))))
                 a, b, alike = candidates(parts[0], parts[-1], percent)
                 found.append(given(np.full(len(a), u), a, b, alike, most))
             if found:
@@ -360,26 +368,30 @@ def _pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
     return members.mapInArrow(work, "h long, a long, b long, more boolean")
 
 
-def _in_filter(places: DataFrame) -> np.ndarray:
-    """A bit for the lowest bits of each ``mark``. What reaches the driver has the size of the filter at most."""
-    place = places.select(F.expr(f"mark & {FILTER - 1}").alias("p"))
+def _in_filter(values: DataFrame, size: int) -> np.ndarray:
+    """A bit for the lowest bits of each value. What reaches the driver has the size of the filter at most."""
+    place = values.toDF("v").select(F.expr(f"v & {size - 1}").alias("p"))
     words = place.groupBy(F.expr("p div 32").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p % 32 AS int))")).alias("bits")
     )
     found = words.toArrow()
-    bits = np.zeros(FILTER // 32, dtype=np.int64)
-    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    bits = np.zeros(size // 32, dtype=np.uint32)
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return bits
 
 
+def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & 32 * len(bits) - 1
+    return (bits[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def _sets(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     """``node`` and ``shingles`` of the texts whose ``mark`` is given, each node once."""
-    bits = _in_filter(marks)
+    bits = _in_filter(marks.select("mark"), FILTER)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "text"):
-            place = chunk.column("mark").to_numpy() & FILTER - 1
-            chunk = chunk.filter(pa.array((bits[place >> 5] >> (place & 31) & 1).astype(bool)))
+            chunk = chunk.filter(pa.array(_passes(bits, chunk.column("mark").to_numpy())))
             if not chunk.num_rows:
                 continue
             sets = list(shingle_sets(chunk.column("text").to_pylist(), width))
@@ -403,17 +415,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame, width: int, p
 
 
 def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``h``, ``node`` of the blocks, those of the same members once; and ``h``, ``parts`` of each."""
-    placed = rows.where("prefix IS NOT NULL").select("node", F.explode("prefix").alias("h"))
+    """``h``, ``node`` of the blocks, those of the same members once; and ``h``, ``members``, ``parts`` of each."""
+    first = rows.where("prefix IS NOT NULL").select("node", "prefix")
+    placed = first.select("node", F.explode("prefix").alias("h"))
     shared = placed.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
-    members = reliable_copy(placed.join(shared.select("h"), "h").distinct())
+    shared = reliable_copy(shared.select("h"))
+    bits = _in_filter(shared, WIDE_FILTER)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            h = lists.flatten().to_numpy()
+            nodes = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            fit = _passes(bits, h)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[fit]), pa.array(h[fit])], ["node", "h"])
+
+    likely = first.mapInArrow(work, "node long, h long")
+    members = reliable_copy(likely.join(shared, "h").distinct())
     blocks = members.groupBy("h").agg(
         F.count("*").alias("members"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     )
     blocks = blocks.groupBy("members", "x", "y").agg(F.min("h").alias("h"))
-    blocks = reliable_copy(blocks.select("h", F.ceil(F.col("members") / LEAVES).alias("parts")))
+    blocks = reliable_copy(blocks.select("h", "members", F.ceil(F.col("members") / LEAVES).alias("parts")))
     return reliable_copy(members.join(blocks.select("h"), "h")), blocks
 
 
@@ -422,9 +447,8 @@ def _dealt(members: DataFrame, sketches: DataFrame, blocks: DataFrame) -> DataFr
     own = members.join(blocks, "h").join(sketches, "node")
     own = own.withColumn("side", F.expr("pmod(xxhash64(node, 2), parts)"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    own = own.select(
-        "h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "n", "head", "bits"
-    )
+    i, j = F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")
+    own = own.select("h", i, j, "side", "node", "n", "head", "top", "bits")
     return own.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
 
@@ -435,26 +459,44 @@ def links_of(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     needed = members.select("node").distinct()
     sketches = rows.where("bits IS NOT NULL").join(needed, "node", "left_semi").select("node", "n", "bits")
     sketches = reliable_copy(sketches.dropDuplicates(["node"]))
+    tops = members.join(blocks, "h").groupBy("node").agg(F.max(F.struct("members", "h")).alias("top"))
+    tops = reliable_copy(tops.select("node", "top.h").withColumnRenamed("h", "top"))
+    largest = tops.select(F.col("top").alias("h")).distinct()
+    head, top = F.coalesce("head", "node").alias("head"), F.coalesce("top", "node").alias("top")
+    empty = members.selectExpr("node", "node AS head").limit(0)
     links = heads = done = None
-    most, left = FIRST, members.withColumn("head", F.col("node"))
-    while True:
-        pairs = reliable_copy(_pairs(_dealt(left, sketches, blocks), percent, most))
-        cut = pairs.where("more").select("h").distinct()
-        pairs = pairs.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = reliable_copy(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        new = _verified(docs, pairs, marks, width, percent)
-        links = new if links is None else links.unionByName(new)
-        heads = components(links)
-        left = members.join(cut, "h").join(heads, "node", "left")
-        left = reliable_copy(left.withColumn("head", F.coalesce("head", "node")))
-        mixed = left.groupBy("h").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x < y")
-        left = reliable_copy(left.join(mixed.select("h"), "h"))
-        if left.isEmpty():
-            return heads
-        most *= MORE
+    for own, compared in (
+        (members.join(largest, "h"), members.selectExpr("node", "node AS top").limit(0)),
+        (members.join(largest, "h", "left_anti"), tops),
+    ):
+        most, cut = FIRST, None
+        while True:
+            left = own if cut is None else own.join(cut, "h")
+            if heads is not None:
+                left = left.join(heads, "node", "left").select("h", "node", head)
+                left = reliable_copy(left)
+                mixed = left.groupBy("h").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x < y")
+                left = reliable_copy(left.join(mixed.select("h"), "h"))
+                if left.isEmpty():
+                    break
+            else:
+                left = left.withColumn("head", F.col("node"))
+            left = left.join(compared, "node", "left").select("h", "node", "head", top)
+            pairs = reliable_copy(_pairs(_dealt(left, sketches, blocks), percent, most))
+            cut = pairs.where("more").select("h").distinct()
+            pairs = pairs.select("a", "b").distinct()
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = reliable_copy(pairs)
+            done = pairs if done is None else done.unionByName(pairs)
+            if not pairs.isEmpty():
+                new = _verified(docs, pairs, marks, width, percent)
+                links = new if links is None else links.unionByName(new)
+                heads = components(links)
+            if cut.isEmpty():
+                break
+            most *= MORE
+    return empty if heads is None else heads
 
 
 def similar_groups(
