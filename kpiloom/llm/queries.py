@@ -13,6 +13,7 @@ from kpiloom.llm import (
     chat,
     contamination,
     licenses,
+    phrases,
     quality,
     secrets,
     sentencepieces,
@@ -21,6 +22,7 @@ from kpiloom.llm import (
     substrings,
     tokenids,
     urls,
+    variants,
 )
 from kpiloom.llm.common import documents
 from kpiloom.sources.stage import checkpoint_folder
@@ -222,6 +224,54 @@ LEFT JOIN least AS l ON l.id = t.id
 """
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang
+), grams AS (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+    FROM words, range(1, 6) AS t(k)
+), f AS (
+    SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, k, phrase
+), cand AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100
+), inside AS (
+    SELECT DISTINCT s.lang, s.phrase
+    FROM cand AS s JOIN cand AS g ON g.lang = s.lang AND g.k > s.k AND g.a >= s.a
+        AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ')
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f * y.f) AS score
+    FROM cand AS c ANTI JOIN inside AS i ON c.lang = i.lang AND c.phrase = i.phrase
+    CROSS JOIN range(1, 5) AS t(j)
+    JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+    JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')
+    JOIN totals AS o ON o.lang = c.lang
+    WHERE j < c.k
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM best WHERE place = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+    CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -234,6 +284,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
     "op11_ngram_jaccard": op11_ngram_jaccard,
+    "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -241,4 +293,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op9_url_filter": OP9_SQL,
     "op11_ngram_jaccard": OP11_SQL,
+    "op12_phrases": OP12_SQL,
 }
