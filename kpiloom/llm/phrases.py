@@ -53,8 +53,12 @@ TABLE = bytes.maketrans(ENDS, END * len(ENDS))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+CHUNK = "lang string, words binary, marks binary, n binary, ids binary"
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang``, ``words``, ``n``, ``ids``: numbers of the chunk's words, -1 where a piece ends."""
+    """A row of ``CHUNK`` for each language: the different words (joined by spaces), their hashes and counts,
+    and all words as numbers of them, -1 where a piece ends."""
     held: dict[str, list[bytes]] = {}
     size = 0
 
@@ -68,13 +72,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.where(ids == end, -1, ids - (ids > end)).astype("<i4")
             names.pop(end)
             counts = np.bincount(ids[ids >= 0], minlength=len(names))
-            columns = [
-                pa.array([lang]),
-                pa.array([[w.decode() for w in names]], pa.list_(pa.string())),
-                pa.array([counts], pa.list_(pa.int64())),
-                pa.array([ids.tobytes()]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "n", "ids"])
+            marks = word_marks(lang, names)
+            raw = [lang, b" ".join(names), marks.tobytes(), counts.astype("<i8").tobytes(), ids.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in raw], ["lang", "words", "marks", "n", "ids"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -97,7 +97,7 @@ def hashes_of(words: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def word_marks(lang: str, words: list[str]) -> np.ndarray:
+def word_marks(lang: str, words: list[bytes | str]) -> np.ndarray:
     import xxhash
 
     seed = xxhash.xxh64_intdigest(lang)
@@ -113,9 +113,9 @@ def _phrase_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["v"])
 
 
-def _possible(lang: str, words: list[str], ids: np.ndarray, parts: np.ndarray, length: int):
+def _possible(marks: np.ndarray, ids: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the phrases inside pieces whose two parts may be frequent."""
-    marks = np.append(word_marks(lang, words), np.uint64(0))[ids]
+    marks = np.append(marks, np.uint64(0))[ids]
     breaks = np.cumsum(ids < 0)
     last = max(0, len(ids) - length + 1)
     whole = np.flatnonzero((ids[:last] >= 0) & (breaks[length - 1 : length - 1 + last] == breaks[:last]))
@@ -124,12 +124,23 @@ def _possible(lang: str, words: list[str], ids: np.ndarray, parts: np.ndarray, l
     return whole, hashes_of(marks, length)[whole]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list]:
+    """The language and some columns of each chunk: the words as a list, others as arrays."""
+    kinds = {"marks": "<u8", "n": "<i8", "ids": "<i4"}
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            ids = np.frombuffer(row.column("ids")[0].as_buffer(), "<i4")
-            yield row.column("lang")[0].as_py(), row.column("words")[0].as_py(), ids
+            row = [batch.column("lang")[i].as_py()]
+            for c in columns:
+                raw = batch.column(c)[i].as_buffer()
+                row.append(np.frombuffer(raw, kinds[c]) if c in kinds else raw.to_pybytes().split())
+            yield row
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang``, ``word``, ``f`` of each word of each chunk."""
+    for lang, words, n in _rows(batches, "words", "n"):
+        columns = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "f"])
 
 
 def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> np.ndarray:
@@ -138,8 +149,8 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.uint32)
-        for lang, words, ids in _rows(batches):
-            _, found = _possible(lang, words, ids, parts, length)
+        for _, marks, ids in _rows(batches, "marks", "ids"):
+            _, found = _possible(marks, ids, parts, length)
             total += np.bincount((found >> shift).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
         squeeze = zstandard.ZstdCompressor(level=1)
         for at, some in enumerate(total.reshape(-1, PIECE)):
@@ -158,7 +169,7 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
         found = np.concatenate([np.empty(0, np.int64), *kept])
         yield pa.RecordBatch.from_arrays([pa.array(found)], ["v"])
 
-    pieces = chunks.select("lang", "words", "ids").mapInArrow(count, "piece int, counts binary")
+    pieces = chunks.select("lang", "marks", "ids").mapInArrow(count, "piece int, counts binary")
     return _in_filter(pieces.repartition("piece").mapInArrow(add, "v long"), BUCKETS)
 
 
@@ -171,18 +182,18 @@ def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for lang, words, ids in _rows(batches):
-            places, found = _possible(lang, words, ids, parts, length)
+        for lang, words, marks, ids in _rows(batches, "words", "marks", "ids"):
+            places, found = _possible(marks, ids, parts, length)
             fit = _passes(buckets, (found >> shift).astype(np.int64))
             found, first = np.unique(found[fit], return_index=True)
             new = np.array([x not in met for x in found.tolist()], dtype=bool)
             met.update(found.tolist())
             at = places[fit][first[new]]
-            phrases = [[words[w] for w in ids[i : i + length]] for i in at.tolist()]
+            phrases = [[words[w].decode() for w in ids[i : i + length]] for i in at.tolist()]
             columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "words"])
 
-    made = chunks.select("lang", "words", "ids").mapInArrow(work, "lang string, words array<string>").distinct()
+    made = chunks.drop("n").mapInArrow(work, "lang string, words array<string>").distinct()
     for start in (1, 2):
         part = frequent.select("lang", F.col("words").alias("part"))
         made = made.withColumn("part", F.slice("words", start, length - 1)).join(part, ["lang", "part"], "left_semi")
@@ -282,19 +293,19 @@ class DoubleArray:
 def _shard_counts(chunks: DataFrame, shard: pa.Table, length: int) -> DataFrame:
     """``lang``, ``words``, ``f`` of the phrases of a shard."""
     langs, phrases = shard.column("lang").to_pylist(), shard.column("words").to_pylist()
-    codes: dict[str, dict[str, int]] = {}
+    codes: dict[str, dict[bytes, int]] = {}
     for lang, words in zip(langs, phrases):
         own = codes.setdefault(lang, {})
         for w in words:
-            own.setdefault(w, len(own) + 1)
+            own.setdefault(w.encode(), len(own) + 1)
     size = max(map(len, codes.values()))
     roots = {lang: size + 1 + i for i, lang in enumerate(codes)}
-    rows = [[roots[lang], *(codes[lang][w] for w in words)] for lang, words in zip(langs, phrases)]
+    rows = [[roots[lang], *(codes[lang][w.encode()] for w in words)] for lang, words in zip(langs, phrases)]
     trie = DoubleArray(np.array(rows, dtype=np.int32))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(phrases), dtype=np.int64)
-        for lang, words, ids in _rows(batches):
+        for lang, words, ids in _rows(batches, "words", "ids"):
             if lang in codes:
                 own = codes[lang]
                 known = np.array([own.get(w, 0) for w in words] + [0], dtype=np.int64)
@@ -314,9 +325,9 @@ def _shard_counts(chunks: DataFrame, shard: pa.Table, length: int) -> DataFrame:
 def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``words``, ``f`` of all words and phrases of ``least`` occurrences; ``lang``, ``n`` of all words."""
     docs = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    chunks = reliable_copy(docs.mapInArrow(_chunks, "lang string, words array<string>, n array<long>, ids binary"))
-    words = chunks.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
-    words = reliable_copy(words.agg(F.sum("w.n").alias("f")))
+    chunks = reliable_copy(docs.mapInArrow(_chunks, CHUNK))
+    words = chunks.select("lang", "words", "n").mapInArrow(_counted, "lang string, word string, f long")
+    words = reliable_copy(words.groupBy("lang", "word").agg(F.sum("f").alias("f")))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = reliable_copy(words.where(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"))
     found = level

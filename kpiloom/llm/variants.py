@@ -6,9 +6,10 @@ at most and equal lengths; by one inserted or deleted code point, a distance of
 
 The places are dealt to ``PARTS`` parts by a hash. Two vectors at distance two agree in all parts but
 two at most, so each word has a signature for every choice of all but two parts (and its length); at
-distance one, for every choice of all but one of ``FEW_PARTS`` parts (and the shorter length). Words that
-share a signature are joined by it, and verified by edit distance. The signatures enumerate every choice, so no
-near pair is lost. A signature is a 64-bit hash of what it covers; a false match is sorted out by the verification.
+distance one, for every choice of all but one of ``FEW_PARTS`` parts (and the shorter length). One edit
+leaves the first or the last half as it is, so every signature is made with each half. Words that share a
+signature are joined by it, and verified by edit distance. The signatures enumerate every choice, so no near
+pair is lost. A signature is a 64-bit hash of what it covers; a false match is sorted out by the verification.
 
 Defined results: null texts have no words; repeated rows count each; a null id stands as empty text; of
 near words with equal counts the smallest in code-point order is the form; an empty table gives an empty
@@ -33,8 +34,8 @@ from kpiloom.sources.stage import reliable_copy
 LETTERS = 7
 RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LETTERS},}}")
 UPPER = {c: c + 32 for c in range(65, 91)}
-PARTS = 8
-FEW_PARTS = 4
+PARTS = 5
+FEW_PARTS = 3
 #: Different words that a task holds before it gives their counts.
 HELD = 1 << 18
 #: A form must be so many times as frequent.
@@ -103,32 +104,42 @@ def part_sums(words: list[str], parts: int) -> np.ndarray:
     return sums
 
 
-def signatures(words: list[str], parts: int, without: int) -> np.ndarray:
-    """A row for each word: a hash for every choice of all but ``without`` parts."""
+def half_marks(words: list[str], sizes: list[int]) -> np.ndarray:
+    """For each word hashes of its first half and of its last, halves of words of the given sizes."""
+    import xxhash
+
+    both = [
+        (xxhash.xxh64_intdigest(w[: n // 2], 1), xxhash.xxh64_intdigest(w[len(w) - n + n // 2 :], 2)) for w, n in zip(words, sizes)
+    ]
+    return np.array(both, dtype=np.uint64).reshape(len(words), 2)
+
+
+def signatures(words: list[str], parts: int, without: int, sizes: list[int] | None = None) -> np.ndarray:
+    """A row for each word: a hash for every choice of all but ``without`` parts, with each half."""
     sums = part_sums(words, parts)
     whole = sums.sum(axis=1, dtype=np.uint64)
+    halves = half_marks(words, sizes or list(map(len, words)))
     out = [
-        mixed((whole - sums[:, list(left)].sum(axis=1, dtype=np.uint64)) ^ mixed(np.uint64([i + 1 + 64 * parts])))
+        mixed((whole - sums[:, list(left)].sum(axis=1, dtype=np.uint64)) ^ mixed(np.uint64([i + 1 + 64 * parts]))) + half
         for i, left in enumerate(combinations(range(parts), without))
+        for half in halves.T
     ]
     return np.stack(out, axis=1)
 
 
-def _signed(words: DataFrame, parts: int, without: int) -> DataFrame:
-    """``word``, ``n``, ``size`` and ``sig``, a row for each signature."""
+def _signed(words: DataFrame, parts: int, without: int, shorter: int = 0) -> DataFrame:
+    """``word``, ``n``, ``size`` and ``sig``, a row for each signature; ``size`` is less by ``shorter``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 13):
                 some = batch.slice(at, 1 << 13)
                 own = some.column("word").to_pylist()
-                found = signatures(own, parts, without)
+                sizes = [len(w) - shorter for w in own]
+                found = signatures(own, parts, without, sizes)
                 rows = pa.array(np.repeat(np.arange(len(own)), found.shape[1]))
-                sizes = pa.array([len(w) for w in own], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("word").take(rows), some.column("n").take(rows), sizes.take(rows), pa.array(found.ravel().view(np.int64))],
-                    ["word", "n", "size", "sig"],
-                )
+                columns = [some.column("word").take(rows), some.column("n").take(rows), pa.array(sizes, pa.int32()).take(rows)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.ravel().view(np.int64))], ["word", "n", "size", "sig"])
 
     return words.select("word", "n").mapInArrow(work, "word string, n long, size int, sig long")
 
@@ -140,8 +151,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     replaced = same.alias("x").join(
         same.alias("y"), F.expr(f"x.sig = y.sig AND x.size = y.size AND x.word < y.word AND {near}")
     )
-    one = _signed(words, FEW_PARTS, 1)
-    longer = one.withColumn("size", F.col("size") - 1)
+    one, longer = _signed(words, FEW_PARTS, 1), _signed(words, FEW_PARTS, 1, shorter=1)
     inserted = one.alias("x").join(longer.alias("y"), F.expr(f"x.sig = y.sig AND x.size = y.size AND {near}"))
     pairs = [p.selectExpr("x.word", "x.n", "y.word AS other", "y.n AS other_n").distinct() for p in (replaced, inserted)]
     pairs = reliable_copy(pairs[0].unionByName(pairs[1]))

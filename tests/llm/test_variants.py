@@ -84,7 +84,7 @@ def test_signatures_agree_for_near_words():
         replaced, longer = word[:at] + new + word[at + 1 :], word[:at] + new + word[at:]
         a, b = variants.signatures([word, replaced], variants.PARTS, 2)
         assert (a == b).any()
-        a, b = variants.signatures([word, longer], variants.FEW_PARTS, 1)
+        a, b = variants.signatures([word, longer], variants.FEW_PARTS, 1, [len(word)] * 2)
         assert (a == b).any()
 
 
