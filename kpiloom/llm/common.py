@@ -57,9 +57,9 @@ class WordCache:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
         self.encode, self.limit = encode, limit
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
 
@@ -68,7 +68,7 @@ class WordCache:
         coded = words.dictionary_encode()
         different = coded.dictionary.to_pylist()
         if len(self.slots) > self.limit:
-            self._forget()
+            self.forget()
         new = [w for w in different if w not in self.slots]
         if new:
             self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))

@@ -49,7 +49,7 @@ JOINED_WORDS = 256
 #: A Latin letter before ASCII punctuation other than the apostrophe.
 PUNCTUATED = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}])([!-&(-/:-@\[-`{-~])"
 #: Token ids of a block; only a single longer document makes more.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of text in a part, about.
 PART_BYTES = 64 << 20
 FEWEST_PARTS = 16
@@ -179,6 +179,7 @@ def _coded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
                 [chunk.column("part"), chunk.column("id"), pa.array(sizes + 1, pa.int32()), pa.array(packed)],
                 ["part", "id", "n", "ids"],
             )
+        own.cache.forget()  # the worker stays for other tasks
 
     return docs.mapInArrow(work, "part int, id long, n int, ids binary")
 
@@ -208,15 +209,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [*row, squeeze.compress(_planes(ids))]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (row["part"] != part or size + row["n"] > BLOCK):
-                yield made()
-                block, first, held, size = block + 1, first + size, [], 0
-            if row["part"] != part:
-                part, block, first = row["part"], 0, 0
-            held.append((row["id"], row["n"], row["ids"]))
-            size += row["n"]
+    for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+        if held and (row["part"] != part or size + row["n"] > BLOCK):
+            yield made()
+            block, first, held, size = block + 1, first + size, [], 0
+        if row["part"] != part:
+            part, block, first = row["part"], 0, 0
+        held.append((row["id"], row["n"], row["ids"]))
+        size += row["n"]
     if held:
         yield made()
 
@@ -227,8 +227,8 @@ def _counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze, total = zstandard.ZstdDecompressor(), np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(_from_planes(unsqueeze.decompress(ids)), minlength=vocabulary)
+            for ids in batch.column("ids"):
+                total += np.bincount(_from_planes(unsqueeze.decompress(ids.as_buffer())), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
