@@ -424,3 +424,80 @@ def fill_episodes(
         (F.col("__starts") + or_zero("__starts_before")).alias("episode"),
         opened.alias("first_date"),
     )
+
+
+# -- ordered funnels and distinct totals ---------------------------------------------------
+
+
+def funnel_ordered(
+    events: DataFrame, id: str, date: str, step: str, steps: Sequence[str], within_days: int
+) -> DataFrame:
+    """Entities that went through the steps in order, within ``within_days`` of the first one.
+
+    One row per step: ``step_number``, ``step``, ``entities`` that reached it, ``pct_of_previous``,
+    ``pct_of_first``. A step may follow on the same day. Every event of the first step can start a
+    chain, so a late start counts where an early one would have run out of time.
+
+    Events are reduced to one per entity, day and step (map-side); an entity's list is as long as the
+    calendar times the steps at most. A state machine goes over it once: for each step it keeps the latest
+    start of a chain that has come so far, which is the start that leaves most time.
+    """
+    require_columns(events, id, date, step)
+    number = F.coalesce(*[F.when(F.col(step) == s, F.lit(i)) for i, s in enumerate(steps)])
+    days = (
+        events.select(F.col(id).alias("id"), F.datediff(day_of(date), F.lit("1970-01-01")).alias("day"), number.alias("at"))
+        .dropna()
+        .distinct()
+    )
+    lists = days.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("day", "at"))).alias("events"))
+
+    none = F.array(*[F.lit(None).cast("int")] * len(steps))
+
+    def went_on(starts: Column, event: Column) -> Column:
+        def start(known: Column, place: Column) -> Column:
+            before = F.when(event["at"] == 0, event["day"]).otherwise(F.get(starts, event["at"] - 1))
+            in_time = F.when(event["day"] - before <= within_days, before)
+            return F.when(place == event["at"], F.greatest(known, in_time)).otherwise(known)
+
+        return F.transform(starts, start)
+
+    ends = lists.select(F.aggregate("events", none, went_on).alias("starts"))
+    reached = ends.agg(*[F.count(F.get("starts", F.lit(i))).alias(f"n{i}") for i in range(len(steps))])
+    lines = [
+        F.struct(
+            F.lit(i + 1).alias("step_number"),
+            F.lit(s).alias("step"),
+            F.col(f"n{i}").alias("entities"),
+            pct(F.col(f"n{i}"), F.col(f"n{max(i - 1, 0)}")).alias("pct_of_previous"),
+            pct(F.col(f"n{i}"), F.col("n0")).alias("pct_of_first"),
+        )
+        for i, s in enumerate(steps)
+    ]
+    return reached.select(F.inline(F.array(*lines)))
+
+
+def provider_cumulative_distinct(
+    fills: DataFrame, product: str, floor: DateLike | None = None
+) -> DataFrame:
+    """Patients with a new start of the product per provider, each counted in the first month only.
+
+    A row for each month in which the provider got patients it never had, with the running total. Every
+    pair of provider and patient is reduced to its first month before anything is counted.
+    """
+    require_columns(fills, "provider_id", "entity_id", "product", "service_date", "new_start")
+    starts = fills.filter(
+        (F.col("product") == product)
+        & (F.col("new_start") == 1)
+        & F.col("provider_id").isNotNull()
+        & F.col("entity_id").isNotNull()
+    )
+    if floor is not None:
+        starts = starts.filter(day_of("service_date") >= F.lit(to_day(floor)))
+    first = starts.groupBy("provider_id", "entity_id").agg(F.min(month_of("service_date")).alias("month"))
+    monthly = first.filter("month IS NOT NULL").groupBy("provider_id", "month").agg(
+        F.count(F.lit(1)).alias("new_patients")
+    )
+    running = (
+        Window.partitionBy("provider_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return monthly.withColumn("cumulative_patients", F.sum("new_patients").over(running))

@@ -10,7 +10,17 @@ from pyspark.sql import types as T
 
 from kpiloom.functions.exprs import between_days
 from kpiloom.functions.tiers import AccountRule, DosingRule, RouteRule
-from kpiloom.operators import entity, journey, overlap, quality, segment, series, threads
+from kpiloom.operators import (
+    discovery,
+    entity,
+    journey,
+    overlap,
+    profiles,
+    quality,
+    segment,
+    series,
+    threads,
+)
 from kpiloom.plans import kpi
 from kpiloom.sources import bindings as b
 
@@ -385,6 +395,14 @@ def call_funnel_ordered(spark: SparkSession, d: str) -> DataFrame:
     return _call_funnel(spark, d, ordered=True)
 
 
+FUNNEL = ["signup", "view", "click", "purchase"]
+
+
+@query
+def funnel_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return journey.funnel_ordered(b.calls(spark, d), "entity_id", "activity_date", "activity_type", FUNNEL, 90)
+
+
 @query
 def rolling_3m_range(spark: SparkSession, d: str) -> DataFrame:
     return doubles(series.rolling_range(b.claims(spark, d), "service_date", "paid_amount"))
@@ -509,6 +527,12 @@ def provider_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return journey.provider_cumulative(_monthly(spark, d))
 
 
+@query
+def provider_cumulative_distinct(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["provider_id", "entity_id", "product", "service_date", "new_start"]
+    return journey.provider_cumulative_distinct(b.fills(spark, d, *columns), PRODUCT, "1996-01-01")
+
+
 @query
 def stage_3bucket(spark: SparkSession, d: str) -> DataFrame:
     return journey.provider_stages(provider_cumulative(spark, d), **journey.THREE_STAGES)
@@ -729,6 +753,54 @@ def join_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return doubles(quality.join_cardinality(b.claims(spark, d), calls, "entity_id"))
 
 
+GRAIN_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate"]
+
+
+@query
+def grain_discover(spark: SparkSession, d: str) -> DataFrame:
+    found = [
+        discovery.grain_discover(b.table(spark, d, name), columns).withColumn("table_name", F.lit(name))
+        for name, columns in (("lineitem", GRAIN_COLUMNS), ("orders", None), ("nation", None))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _join_keys(spark: SparkSession, d: str, left: str, right: str, least: float) -> DataFrame:
+    found = discovery.join_keys(b.table(spark, d, left), b.table(spark, d, right), least)
+    return found.withColumns({"left_table": F.lit(left), "right_table": F.lit(right)})
+
+
+@query
+def join_keys(spark: SparkSession, d: str) -> DataFrame:
+    pairs = (("orders", "customer"), ("lineitem", "part"), ("customer", "nation"))
+    one, two, three = (_join_keys(spark, d, *p, 1.0) for p in pairs)
+    return one.unionByName(two).unionByName(three)
+
+
+@query
+def join_keys_partial(spark: SparkSession, d: str) -> DataFrame:
+    return _join_keys(spark, d, "events", "customer", 0.5)
+
+
+@query
+def fanout_heavy_keys(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.heavy_keys(b.fills(spark, d, "entity_id", "provider_id"), "entity_id", top=25)
+
+
+@query
+def profile_merged(spark: SparkSession, d: str) -> DataFrame:
+    orders = b.table(spark, d, "orders")
+    parts = profiles.profile_sketches(orders.withColumn("part", F.year("o_orderdate")), by="part")
+    report = profiles.profile_report(profiles.merge_profiles(parts))
+    exact = quality.profile_table(orders).select("position", "distinct_count")
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    close = F.when(off <= 0.04 * F.col("distinct_count") + 1, 1).otherwise(0)
+    return report.join(exact, "position").select(
+        *["position", "column_name", "data_type", "row_count", "null_count", "min_value", "max_value"],
+        close.alias("distinct_is_close"),
+    )
+
+
 @query
 def freshness(spark: SparkSession, d: str) -> DataFrame:
     rows = b.fills(spark, d, "service_date")

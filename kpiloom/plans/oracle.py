@@ -7,6 +7,7 @@ distinct counts where the operators aggregate first.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import combinations
 
 # fixed values: thresholds and labels of the definitions, written out so that they are compared
 EVER_STAGES, NO_STAGE = (("Adopter", 4), ("User", 2), ("Trialist", 1)), "None"
@@ -627,6 +628,18 @@ cumulative AS (
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_new_starts
   FROM monthly)"""
 
+ORACLE_SQL["provider_cumulative_distinct"] = f"""WITH {FILLS},
+starts AS (
+  SELECT DISTINCT provider_id, entity_id, CAST(date_trunc('month', service_date) AS DATE) AS month FROM fills
+  WHERE product = 'Brand#7' AND new_start = 1 AND service_date >= DATE '1996-01-01'
+    AND provider_id IS NOT NULL AND entity_id IS NOT NULL),
+totals AS (
+  SELECT m.provider_id, m.month, count(DISTINCT s.entity_id) AS upto,
+         count(DISTINCT s.entity_id) FILTER (s.month < m.month) AS before
+  FROM (SELECT DISTINCT provider_id, month FROM starts) m
+  JOIN starts s ON s.provider_id = m.provider_id AND s.month <= m.month GROUP BY 1, 2)
+SELECT provider_id, month, upto - before AS new_patients, upto AS cumulative_patients
+FROM totals WHERE upto > before"""
 ORACLE_SQL["provider_monthly"] = f"WITH {_STARTS} SELECT * FROM monthly"
 ORACLE_SQL["provider_cumulative"] = f"WITH {_STARTS} SELECT * FROM cumulative"
 
@@ -855,6 +868,105 @@ SELECT (SELECT count(*) FROM claims) AS left_rows, (SELECT count(*) FROM calls)
             WHEN (SELECT max(ln) FROM matched) > 1 THEN 'N:1'
             WHEN (SELECT max(rn) FROM matched) > 1 THEN '1:N' ELSE '1:1' END AS cardinality"""
 
+GRAIN_TABLES = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+_SETS = "\n  UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, {list(s)} AS cols, (SELECT count(*) FROM {table}) AS total_rows, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM {table})) AS distinct_keys"
+    for table, columns in GRAIN_TABLES.items()
+    for width in (1, 2, 3)
+    for s in combinations(columns, width)
+)
+ORACLE_SQL["grain_discover"] = f"""WITH sets AS (
+  {_SETS}),
+keys AS (SELECT * FROM sets WHERE total_rows = distinct_keys AND total_rows > 0)
+SELECT table_name, array_to_string(cols, ', ') AS grain, CAST(len(cols) AS INTEGER) AS width, total_rows
+FROM keys k WHERE NOT EXISTS (
+  SELECT 1 FROM keys s WHERE s.table_name = k.table_name AND len(s.cols) < len(k.cols)
+  AND list_has_all(k.cols, s.cols))"""
+
+#: Columns of one type family; floating numbers are no keys.
+WHOLE = {
+    "orders": ["o_orderkey", "o_custkey"],
+    "customer": ["c_custkey", "c_nationkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    "part": ["p_partkey", "p_size"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "events": ["event_id", "user_id"],
+}
+TEXT = {
+    "orders": ["o_orderstatus", "o_orderpriority"],
+    "customer": ["c_name", "c_mktsegment"],
+    "lineitem": ["l_returnflag", "l_linestatus"],
+    "part": ["p_name", "p_brand", "p_type"],
+    "nation": ["n_name"],
+    "events": ["event_type", "props"],
+}
+
+
+def _shared(left: str, right: str, least: float) -> str:
+    pairs = "\n  UNION ALL ".join(
+        f"""SELECT '{left}' AS left_table, '{right}' AS right_table, '{a}' AS left_column, '{b}' AS right_column,
+    (SELECT count(DISTINCT {a}) FROM {left}) AS left_distinct,
+    (SELECT count(DISTINCT {a}) FROM {left} WHERE {a} IN (SELECT {b} FROM {right} WHERE {b} IS NOT NULL))
+      AS matched_distinct,
+    (SELECT count(DISTINCT {b}) FROM {right}) AS right_distinct,
+    (SELECT CASE WHEN count({b}) = count(DISTINCT {b}) THEN 1 ELSE 0 END FROM {right}) AS right_is_unique"""
+        for family in (WHOLE, TEXT)
+        for a in family[left]
+        for b in family[right]
+    )
+    share = _ratio("matched_distinct", "left_distinct")
+    return f"""SELECT *, {share} AS containment FROM (
+  {pairs}) WHERE matched_distinct >= {least} * left_distinct AND left_distinct > 0"""
+
+
+ORACLE_SQL["join_keys"] = "\nUNION ALL\n".join(
+    _shared(left, right, 1) for left, right in (("orders", "customer"), ("lineitem", "part"), ("customer", "nation"))
+)
+ORACLE_SQL["join_keys_partial"] = _shared("events", "customer", 0.5)
+
+ORACLE_SQL["fanout_heavy_keys"] = f"""WITH {FILLS},
+known AS (SELECT entity_id FROM fills WHERE entity_id IS NOT NULL)
+SELECT entity_id, count(*) AS rows, {_ratio("count(*)", "(SELECT count(*) FROM known)")} AS share
+FROM known GROUP BY 1 ORDER BY rows DESC, entity_id LIMIT 25"""
+
+ORACLE_SQL["profile_merged"] = f"""SELECT * EXCLUDE (distinct_count), 1 AS distinct_is_close
+FROM ({ORACLE_SQL["profile_table"]})"""
+
+FUNNEL = ("signup", "view", "click", "purchase")
+
+
+def _chains() -> str:
+    """For each step the latest start of every chain, by joins of days."""
+    out = []
+    for i, step in enumerate(FUNNEL):
+        days = f"(SELECT DISTINCT entity_id, activity_date AS day FROM calls WHERE activity_type = '{step}')"
+        if i == 0:
+            out.append(f"chain0 AS (SELECT entity_id, day, day AS start FROM {days})")
+        else:
+            out.append(
+                f"chain{i} AS (SELECT e.entity_id, e.day, max(c.start) AS start FROM {days} e "
+                f"JOIN chain{i - 1} c ON c.entity_id = e.entity_id AND c.day <= e.day AND e.day - c.start <= 90 "
+                "GROUP BY 1, 2)"
+            )
+    return ",\n".join(out)
+
+
+_REACHED = "\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS step_number, '{s}' AS step, count(DISTINCT entity_id) AS entities FROM chain{i}"
+    for i, s in enumerate(FUNNEL)
+)
+_PREVIOUS = "coalesce(lag(entities) OVER (ORDER BY step_number), entities)"
+ORACLE_SQL["funnel_ordered"] = f"""WITH {CALLS}, {_chains()},
+reached AS ({_REACHED}),
+placed AS (SELECT *, {_PREVIOUS} AS previous, first_value(entities) OVER (ORDER BY step_number) AS first FROM reached)
+SELECT step_number, step, entities, {_pct("entities", "previous")} AS pct_of_previous,
+       {_pct("entities", "first")} AS pct_of_first FROM placed"""
+
 ORACLE_SQL["freshness"] = f"""WITH {FILLS}
 SELECT max(service_date) AS latest_record_date,
        CAST(datediff('day', max(service_date), DATE '2001-12-31') AS INTEGER) AS lag_days FROM fills"""

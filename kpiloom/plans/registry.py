@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from kpiloom.operators import entity, journey, overlap, quality, segment, series, threads
+from kpiloom.operators import (
+    discovery,
+    entity,
+    journey,
+    overlap,
+    profiles,
+    quality,
+    segment,
+    series,
+    threads,
+)
 
 PATTERNS: dict[str, Callable[..., DataFrame]] = {
     # general patterns
@@ -67,6 +77,14 @@ PATTERNS: dict[str, Callable[..., DataFrame]] = {
     "profile_table": quality.profile_table,
     "grain_check": quality.grain_check,
     "join_cardinality": quality.join_cardinality,
+    "grain_discover": discovery.grain_discover,
+    "join_keys": discovery.join_keys,
+    "heavy_keys": discovery.heavy_keys,
+    "profile_sketches": profiles.profile_sketches,
+    "merge_profiles": profiles.merge_profiles,
+    "profile_report": profiles.profile_report,
+    "funnel_ordered": journey.funnel_ordered,
+    "provider_cumulative_distinct": journey.provider_cumulative_distinct,
     "freshness": series.freshness,
     "segment_exclusivity": quality.segment_exclusivity,
     "thread_search": threads.thread_search,

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime as dt
+import random
+
 import pytest
 from conftest import rows
 
@@ -154,3 +157,53 @@ def test_episodes_start_with_new_starts(frame):
         ("c", "2024-05-01", 1, "2024-02-01", 11), ("d", None, 2, "2024-05-01", None),
         ("e", None, 0, "2024-03-01", 44),
     ]
+
+
+def plain_reached(events, steps, days):
+    """Steps reached by the entity with these (day, step) events, over all chains."""
+    best = 0
+    for day, step in events:
+        if step != steps[0]:
+            continue
+        ends = {day}
+        for i, s in enumerate(steps):
+            if i:
+                ends = {d for d, x in events for e in ends if x == s and e <= d <= day + days}
+            if not ends:
+                break
+            best = max(best, i + 1)
+    return best
+
+
+def test_ordered_funnel_against_all_chains(spark):
+    rng = random.Random(11)
+    base = dt.date(2024, 1, 1)
+    steps = ["a", "b", "c", "d"]
+    events = [(rng.randrange(60), rng.randrange(40), rng.choice("abcdx")) for _ in range(600)]
+    rows_ = [(i, base + dt.timedelta(days=d), s) for i, d, s in events] + [(None, base, "a"), (1, None, "a"), (2, base, None)]
+    df = spark.createDataFrame(rows_, "id int, day date, step string")
+    for days in (0, 5, 12):
+        got = journey.funnel_ordered(df, "id", "day", "step", steps, days).orderBy("step_number").collect()
+        reached = [plain_reached([(d, s) for k, d, s in events if k == i], steps, days) for i in range(60)]
+        assert [r.entities for r in got] == [sum(n > k for n in reached) for k in range(4)]
+        assert got[0].pct_of_previous == got[0].pct_of_first == 100.0
+    empty = journey.funnel_ordered(df.limit(0), "id", "day", "step", steps, 5).collect()
+    assert [(r.entities, r.pct_of_first) for r in empty] == [(0, None)] * 4
+
+
+def test_ordered_funnel_takes_a_late_start(frame):
+    df = frame("id long, day date, step string", (1, "2024-01-01", "a"), (1, "2024-03-01", "a"), (1, "2024-03-01", "b"), (1, "2024-03-05", "c"))
+    got = journey.funnel_ordered(df, "id", "day", "step", ["a", "b", "c"], 7)
+    assert [r.entities for r in got.collect()] == [1, 1, 1]
+
+
+def test_a_patient_counts_once_for_a_provider(frame):
+    schema = "provider_id long, entity_id long, product string, service_date date, new_start int"
+    df = frame(
+        schema, (1, 1, "p", "2024-01-05", 1), (1, 1, "p", "2024-03-01", 1), (1, 2, "p", "2024-03-09", 1),
+        (1, 3, "q", "2024-01-01", 1), (1, 4, "p", "2024-01-01", 0), (2, 1, "p", "2024-02-01", 1),
+        (1, None, "p", "2024-01-01", 1), (None, 5, "p", "2024-01-01", 1), (1, 6, "p", None, 1),
+    )
+    got = journey.provider_cumulative_distinct(df, "p")
+    assert rows(got) == [(1, "2024-01-01", 1, 1), (1, "2024-03-01", 1, 2), (2, "2024-02-01", 1, 1)]
+    assert rows(journey.provider_cumulative_distinct(df, "p", "2024-03-01"))[0] == (1, "2024-03-01", 2, 2)
