@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kpiloom.functions.exprs import (
     DateLike,
     Names,
+    all_of,
     any_of,
     contains_any,
     day_of,
@@ -443,6 +444,30 @@ def route_rules(
     )
 
 
+#: Rule columns that a claim must equal where they are filled in.
+ROUTE_KEYS = ["product", "source", "proc_code", "ndc", "strength"]
+
+
+def _first_rules(rules: DataFrame, keys: Sequence[str], has_named: bool) -> DataFrame:
+    """One row per key of the rules with what a claim needs to find its first rule.
+
+    ``plain`` is the first rule without a generic name to avoid. ``one`` is the first with such a name;
+    ``two`` the first with another one, which is what a claim with the name of ``one`` meets.
+    """
+    if not has_named:
+        return rules.groupBy(*keys).agg(F.min("rule").alias("plain"))
+    best = rules.groupBy(*keys, "generic_not").agg(F.min("rule").alias("rule"))
+    place = F.row_number().over(Window.partitionBy(*keys, F.col("generic_not").isNull()).orderBy("rule"))
+    best = best.withColumn("place", place).where("place <= 2")
+    pair = F.struct("rule", "generic_not")
+    named = F.col("generic_not").isNotNull()
+    return best.groupBy(*keys).agg(
+        F.min(F.when(~named, F.col("rule"))).alias("plain"),
+        F.min(F.when(named & (F.col("place") == 1), pair)).alias("one"),
+        F.min(F.when(named & (F.col("place") == 2), pair)).alias("two"),
+    )
+
+
 def route_by_table(
     claims: DataFrame,
     rules: DataFrame,
@@ -452,38 +477,42 @@ def route_by_table(
     """As :func:`route_rules` with the rules in a table, for rule sets too long for a CASE.
 
     Rule columns: ``priority, product, source, proc_code, ndc, ndc_missing, strength,
-    generic_not, label``; NULL matches anything, several codes are several rows. The rules of
-    a product become one ordered array, so a claim meets one row and is never multiplied; the
-    rules without a product are one more array, which every claim meets. Of both, the lowest
-    priority counts. The rules of one product, or of all, must fit into a row. Catalyst broadcasts the rules when they are small enough and splits skewed products when
-    they are not.
+    generic_not, label``; NULL matches anything, several codes are several rows. The lowest priority
+    counts; of equal ones a rule with a product before one without, then the smaller label.
+
+    Rules are told apart by which columns are filled in. For each combination that occurs (read from the
+    rules when this is called, at most 64), the rules become one row per value of those columns, which
+    claims meet by an equi-join: a claim is never multiplied, no rules are gathered in a row, and a claim
+    looks up one row for each combination, however many rules there are. Catalyst broadcasts a combination's
+    rules when they are small enough and splits skewed products when they are not.
     """
     require_columns(claims, "claim_id", ROUTE_COLUMNS, keep)
-    matched = ["source", "proc_code", "ndc", "strength"]
-    require_columns(rules, "priority", "product", matched, "ndc_missing", "generic_not", "label")
-    rule = F.struct("priority", *matched, "ndc_missing", "generic_not", "label")
-    ordered = F.sort_array(F.collect_list(rule))
-    known = rules.filter(F.col("product").isNotNull())
-    per_product = known.groupBy("product").agg(ordered.alias("__rules"))
-    general = rules.filter(F.col("product").isNull()).agg(ordered.alias("__general"))
-
-    def matches(r: Column) -> Column:
-        terms = r["generic_not"].isNull() | (F.col("generic_name") != r["generic_not"])
-        for column in matched:
-            terms = terms & (r[column].isNull() | (F.col(column) == r[column]))
-        missing = F.coalesce(r["ndc_missing"], F.lit(False))
-        return terms & (~missing | F.col("ndc").isNull())
-
-    def first(array: str) -> Column:
-        return F.get(F.filter(array, matches), F.lit(0))
-
-    own, common = first("__rules"), first("__general")
-    label = (
-        F.when(own.isNull(), common["label"])
-        .when(common.isNull() | (own["priority"] <= common["priority"]), own["label"])
-        .otherwise(common["label"])
-    )
-    joined = claims.join(per_product, "product", "left").withColumn("__general", general.scalar())
+    require_columns(rules, "priority", ROUTE_KEYS, "ndc_missing", "generic_not", "label")
+    order = F.struct("priority", F.col("product").isNull().alias("general"), "label")
+    missing = F.coalesce(F.col("ndc_missing"), F.lit(False)).alias("ndc_missing")
+    rules = rules.select(*ROUTE_KEYS, "generic_not", missing, order.alias("rule"))
+    given = [F.col(c).isNotNull().alias(c) for c in ROUTE_KEYS]
+    named = F.max(F.col("generic_not").isNotNull()).alias("has_named")
+    masks = rules.select(*given, "ndc_missing", "generic_not").groupBy(*ROUTE_KEYS, "ndc_missing").agg(named)
+
+    found, joined = [], claims
+    for i, (*mask, has_named) in enumerate(sorted(map(tuple, masks.collect()))):
+        keys = [c for c, is_given in zip(ROUTE_KEYS, mask) if is_given]
+        fits = [F.col(c).isNotNull() if g else F.col(c).isNull() for c, g in zip(ROUTE_KEYS, mask)]
+        own = _first_rules(rules.where(all_of([*fits, F.col("ndc_missing") == mask[-1]])), keys, has_named)
+        row = F.struct("plain", *(("one", "two") if has_named else ())).alias(f"__rules{i}")
+        if keys:
+            joined = joined.join(own.select(*keys, row), keys, "left")
+        else:
+            joined = joined.withColumn(f"__rules{i}", own.select(row).scalar())
+        row = F.col(f"__rules{i}")
+        rule = row["plain"]
+        if has_named:
+            avoiding = [F.when(F.col("generic_name") != row[c]["generic_not"], row[c]["rule"]) for c in ("one", "two")]
+            rule = F.least(rule, *avoiding)
+        found.append(F.when(F.col("ndc").isNull(), rule) if mask[-1] else rule)
+    nothing = F.lit(None).cast(rules.schema["rule"].dataType)
+    label = F.least(nothing, nothing, *found)["label"]
     return joined.select(
         *dict.fromkeys(["claim_id", *ROUTE_COLUMNS, *names(keep)]),
         F.coalesce(label, F.lit(default)).alias("route"),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from itertools import permutations
 
 import pytest
@@ -365,3 +366,49 @@ def test_route_table_with_rules_for_any_product(spark, route_claims):
     assert rows(got, "claim_id", "route") == [(1, "first"), (2, "own"), (3, "last"), (4, "last"), (5, "first")]
     only = segment.route_by_table(claims, rules.where("product = 'P'"))
     assert rows(only, "claim_id", "route") == [(1, "own"), (2, "own"), (3, "-"), (4, "-"), (5, "-")]
+
+
+def test_route_table_against_a_scan_of_all_rules(spark):
+    rng = random.Random(9)
+    some = lambda values, share: rng.choice(values) if rng.random() < share else None
+    rules = [
+        (i, some("pqr", 0.8), some("MR", 0.3), some("xyz", 0.3), some("12", 0.2), some((True, False), 0.3), some("st", 0.3), some("gh", 0.5), f"L{i}")
+        for i in rng.sample(range(1000), 300)
+    ]
+    claims = [
+        (i, some("pqrv", 0.9), some("MR", 0.9), some("xyz", 0.9), some("123", 0.6), some("st", 0.9), some("ghk", 0.8))
+        for i in range(500)
+    ]
+
+    def plain(claim):
+        _, product, source, proc, ndc, strength, generic = claim
+        for _, p, s, c, n, missing, t, avoided, label in sorted(rules):
+            pairs = ((p, product), (s, source), (c, proc), (n, ndc), (t, strength))
+            if all(rule is None or rule == value for rule, value in pairs) and not (missing and ndc is not None):
+                if avoided is None or (generic is not None and generic != avoided):
+                    return label
+        return "-"
+
+    frame = spark.createDataFrame(claims, "claim_id int, product string, source string, proc_code string, ndc string, strength string, generic_name string")
+    schema = "priority int, product string, source string, proc_code string, ndc string, ndc_missing boolean, strength string, generic_not string, label string"
+    got = segment.route_by_table(frame, spark.createDataFrame(rules, schema))
+    assert {r.claim_id: r.route for r in got.collect()} == {c[0]: plain(c) for c in claims}
+    assert len({plain(c) for c in claims}) > 20
+    none = segment.route_by_table(frame, spark.createDataFrame([], schema))
+    assert {r.route for r in none.collect()} == {"-"}
+
+
+def test_route_table_of_a_hundred_thousand_rules(spark):
+    rules = spark.range(100_000).selectExpr(
+        "cast(id AS int) AS priority", "IF(id % 2 = 0, concat('p', id % 1000), NULL) AS product", "'M' AS source",
+        "concat('c', id) AS proc_code", "cast(NULL AS string) AS ndc", "false AS ndc_missing", "cast(NULL AS string) AS strength",
+        "IF(id % 4 = 1, 'g', NULL) AS generic_not", "concat('L', id) AS label",
+    )
+    claims = spark.range(20_000).selectExpr(
+        "id AS claim_id", "concat('p', (5 * id) % 1000) AS product", "'M' AS source", "concat('c', 5 * id) AS proc_code",
+        "'n' AS ndc", "'s' AS strength", "IF(id % 3 = 0, 'g', 'h') AS generic_name",
+    )
+    routes = {r.claim_id: r.route for r in segment.route_by_table(claims, rules).collect()}
+    assert len(routes) == 20_000
+    for i, route in routes.items():
+        assert route == ("-" if 5 * i % 4 == 1 and i % 3 == 0 else f"L{5 * i}")
