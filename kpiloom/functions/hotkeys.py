@@ -3,7 +3,8 @@
 A window over one entity runs in one task. For an entity with a third of the table that is a task
 that never ends. So all entities are split by calendar day, in one way at every size: rows are
 placed by key and day, the window runs inside each (key, day), and what has to cross from one day to
-the next is carried by a table with one row per key and day, made from the same exchange.
+the next is carried by a table with one row per key and day, made from the same exchange. Where one
+key's single day may be too large, :mod:`kpiloom.functions.ordered` cuts the order itself.
 """
 
 from __future__ import annotations
@@ -65,15 +66,21 @@ class DaySplit:
         return rows.join(carried, self.parts, "left").drop(*self.parts)
 
 
-def split_by_day(df: DataFrame, keys: Names, date: str) -> DaySplit:
+def stand_ins(df: DataFrame, keys: Names) -> tuple[DataFrame, list[str]]:
+    """The rows with NULL-free stand-ins for the keys, and the names of these."""
     keys = names(keys)
-    stand_ins = [f"__key{i}" for i in range(len(keys))]
+    values = [f"__key{i}" for i in range(len(keys))]
     nulls = [f"__null{i}" for i in range(len(keys))]
     tagged = df.select(
         "*",
-        *[_never_null(df, k).alias(s) for k, s in zip(keys, stand_ins)],
+        *[_never_null(df, k).alias(s) for k, s in zip(keys, values)],
         *[F.col(k).isNull().alias(n) for k, n in zip(keys, nulls)],
-        F.coalesce(day_of(date), F.lit(NO_DAY).cast("date")).alias(BUCKET),
     )
-    parts = [*stand_ins, *nulls, BUCKET]
+    return tagged, [*values, *nulls]
+
+
+def split_by_day(df: DataFrame, keys: Names, date: str) -> DaySplit:
+    tagged, parts = stand_ins(df, keys)
+    tagged = tagged.withColumn(BUCKET, F.coalesce(day_of(date), F.lit(NO_DAY).cast("date")))
+    parts = [*parts, BUCKET]
     return DaySplit(tagged.repartition(*parts), parts)

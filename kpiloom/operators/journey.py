@@ -22,7 +22,8 @@ from kpiloom.functions.exprs import (
     to_day,
     today_or,
 )
-from kpiloom.functions.hotkeys import split_by_day
+from kpiloom.functions.hotkeys import DaySplit, split_by_day
+from kpiloom.functions.ordered import split_in_order
 from kpiloom.functions.tiers import first_match
 
 # fixed values: names and limits in days of the gap classes
@@ -222,6 +223,18 @@ def classify_gaps(
     return gaps.withColumn("persistence_status", status)
 
 
+# how the rows of one key are split: by calendar day, or by quantiles of the whole order
+BY_DAY, BY_ORDER = "day", "order"
+
+
+def _split(rows: DataFrame, keys: Names, date: str, ties: Names, split: str) -> DaySplit:
+    if split == BY_DAY:
+        return split_by_day(rows, keys, date)
+    if split == BY_ORDER:
+        return split_in_order(rows, keys, [date, *names(ties)])
+    raise ValueError(f"split must be {BY_DAY!r} or {BY_ORDER!r}, not {split!r}")
+
+
 def fill_gaps(
     df: DataFrame,
     id: Names,
@@ -230,18 +243,20 @@ def fill_gaps(
     short: int = SHORT_DAYS,
     lapse: int = LAPSE_DAYS,
     keep: Names = (),
+    split: str = BY_DAY,
 ) -> DataFrame:
     """Every fill with the fill before, the days between, its number and its status.
 
     Fills of one day follow each other with a gap of 0. Rows are shuffled once, by key and day
-    (:mod:`kpiloom.functions.hotkeys`).
+    (:mod:`kpiloom.functions.hotkeys`). With ``split="order"`` one key's single day and its undated rows
+    are split too, for one more pass over the date and the tiebreak (:mod:`kpiloom.functions.ordered`).
     """
     keys, ties = names(id), names(tiebreak)
     require_columns(df, keys, date, ties, keep)
     fills = df.select(
         *dict.fromkeys([*keys, *ties, *names(keep)]), F.col(date).alias("fill_date")
     )
-    split = split_by_day(fills, keys, "fill_date")
+    split = _split(fills, keys, "fill_date", ties, split)
 
     in_order = split.window("fill_date", *ties)
     numbered = split.rows.withColumns(
@@ -254,7 +269,7 @@ def fill_gaps(
         F.max(split.whole("fill_date"))["fill_date"].alias("__last"),
         F.count(F.lit(1)).alias("__rows"),
     )
-    days = split.along_days()
+    days = split.along_days()  # or along the pieces of the order
     carried = daily.select(
         *split.parts,
         F.lag("__last").over(days).alias("__last_before"),
@@ -362,13 +377,15 @@ def fill_episodes(
     tiebreak: Names,
     floor: DateLike | None = None,
     where: Column | None = None,
+    split: str = BY_DAY,
 ) -> DataFrame:
     """Every fill with the next fill, its episode and the episode's first date.
 
     A new start opens an episode, so the episode number is the running sum of new starts and
     the episode's first date is the date of the latest new start so far (the first fill of all
     before any). Rows are shuffled once, by patient, product and day
-    (:mod:`kpiloom.functions.hotkeys`). Fills without a date are left out.
+    (:mod:`kpiloom.functions.hotkeys`), or by pieces of the order as in :func:`fill_gaps`. Fills without
+    a date are left out.
     """
     ties = names(tiebreak)
     keys = ["entity_id", "product"]
@@ -385,7 +402,7 @@ def fill_episodes(
         (F.year("service_date") - F.nullif(F.col("birth_year"), F.lit(0))).alias("patient_age"),
         or_zero("new_start").alias("new_start"),
     )
-    split = split_by_day(rows, keys, "fill_date")
+    split = _split(rows, keys, "fill_date", ties, split)
 
     in_order = split.window("fill_date", *ties)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)

@@ -320,6 +320,12 @@ def truncation_audit(
     """
     require_columns(df, date)
     monthly = df.groupBy(month_of(date).alias("month")).agg(F.count(F.lit(1)).alias("row_count"))
+    return truncation_of_counts(monthly, threshold, last)
+
+
+def truncation_of_counts(monthly: DataFrame, threshold: float = 0.8, last: int = 6) -> DataFrame:
+    """:func:`truncation_audit` of counts by month, as ``month`` and ``row_count``."""
+    require_columns(monthly, "month", "row_count")
     # windows over one row per calendar month
     everything = Window.partitionBy()
     in_order = Window.orderBy("month")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from kpiloom.functions.exprs import between_days
 from kpiloom.functions.tiers import AccountRule, DosingRule, RouteRule
 from kpiloom.operators import (
+    audits,
     discovery,
     entity,
     journey,
@@ -23,6 +24,7 @@ from kpiloom.operators import (
 )
 from kpiloom.plans import kpi
 from kpiloom.sources import bindings as b
+from kpiloom.sources import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -254,6 +256,24 @@ def fill_gap_hot_keys(spark: SparkSession, d: str) -> DataFrame:
     return journey.fill_gaps(rows, "entity_id", "service_date", b.FILL_TIES)
 
 
+def _one_day(rows: DataFrame) -> DataFrame:
+    """A third of the fills as those of one entity on one day, a seventh of all without a date."""
+    hot, undated = F.col("l_orderkey") % 3 == 0, F.col("l_orderkey") % 7 == 0
+    date = F.when(hot, F.lit("1997-01-01").cast("date")).otherwise(F.col("service_date"))
+    return rows.withColumns(
+        {
+            "entity_id": F.when(hot, 0).otherwise(F.col("entity_id")),
+            "service_date": F.when(~undated, date),
+        }
+    )
+
+
+@query
+def fill_gap_one_day(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one_day(b.fills(spark, d, "entity_id", "service_date", *b.FILL_TIES))
+    return journey.fill_gaps(rows, "entity_id", "service_date", b.FILL_TIES, split=journey.BY_ORDER)
+
+
 @query
 def fill_gap_by_day(spark: SparkSession, d: str) -> DataFrame:
     rows = b.fills(spark, d, "entity_id", "service_date")
@@ -265,6 +285,14 @@ def truncation_audit(spark: SparkSession, d: str) -> DataFrame:
     return series.truncation_audit(b.claims(spark, d), "service_date")
 
 
+@query
+def truncation_audit_files(spark: SparkSession, d: str) -> DataFrame:
+    """The audit from counts kept for each file: the second call finds nothing left to read."""
+    path, store = f"{d}/orders.parquet", stage.new_path(spark)
+    audits.update_counts(spark, path, store, "o_orderdate")
+    return audits.audit_files(spark, path, store, "o_orderdate")
+
+
 @query
 def actuals_vs_goals(spark: SparkSession, d: str) -> DataFrame:
     rows = b.fills(spark, d, "provider_id", "service_date", "l_orderkey")
@@ -554,7 +582,7 @@ def net_new_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _episodes(
-    spark: SparkSession, d: str, products: list[str], one_entity: bool = False
+    spark: SparkSession, d: str, products: list[str], one_entity: bool = False, one_day: bool = False
 ) -> DataFrame:
     columns = (
         "entity_id product claim_id provider_id strength quantity days_supply service_date "
@@ -563,8 +591,11 @@ def _episodes(
     rows = b.fills(spark, d, *columns, *b.FILL_TIES)
     if one_entity:  # a fifth of the entities as one
         rows = rows.withColumn("entity_id", F.when(F.col("entity_id") % 5 == 0, 0).otherwise(F.col("entity_id")))
+    if one_day:
+        rows = _one_day(rows)
+    split = journey.BY_ORDER if one_day else journey.BY_DAY
     return journey.fill_episodes(
-        rows, b.FILL_TIES, "1996-04-01", F.col("product").isin(*products)
+        rows, b.FILL_TIES, "1996-04-01", F.col("product").isin(*products), split
     )
 
 
@@ -578,6 +609,11 @@ def fill_episodes_hot_keys(spark: SparkSession, d: str) -> DataFrame:
     return _episodes(spark, d, ["Brand#7", "Brand#12"], one_entity=True)
 
 
+@query
+def fill_episodes_one_day(spark: SparkSession, d: str) -> DataFrame:
+    return _episodes(spark, d, ["Brand#7", "Brand#12"], one_day=True)
+
+
 @query
 def dosing_schedule(spark: SparkSession, d: str) -> DataFrame:
     return segment.dosing_schedule(_episodes(spark, d, ["Brand#7", "Brand#12"]), DOSING, 9)
@@ -833,6 +869,26 @@ def kpi_missing(spark: SparkSession, d: str) -> DataFrame:
     return kpi.kpi_missing(kpi_run(spark, d), SPECS)
 
 
+def _described(name: str, measure: str, grain: tuple[str, ...] = (), **rules) -> kpi.KpiSpec:
+    return kpi.KpiSpec(name, mode=kpi.RULES, grain=grain, table="claims", date="service_date", measure=measure, **rules)
+
+
+DESCRIBED_SPECS = [
+    _described("Paid", "sum(paid_amount)"),
+    _described("Paid in region", "sum(paid_amount)", ("region",), exclusions=("order_status = 'P'",)),
+    _described("Active entities", "count(DISTINCT entity_id)", ("region",), window=("2000-01-01", "2001-06-30")),
+    _described("Largest claim", "max(paid_amount)", ("region", "order_status"), filters=("paid_amount < 200000",)),
+    _described("Statuses in use", "count(DISTINCT order_status)", ("order_status",), window=12),
+    _described("Urgent claims", "count(*)", filters=("priority = '1-URGENT'",), columns=("priority",)),
+]
+
+
+@query
+def kpi_run_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Six KPIs of four grains over one table, which is read once."""
+    return kpi.run_kpis(spark, DESCRIBED_SPECS, {"claims": b.claims(spark, d, with_region=True)}, b.AS_OF)
+
+
 PATTERN_SPECS = [
     kpi.KpiSpec(
         "Change on last year",

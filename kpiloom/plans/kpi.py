@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (
     DateLike,
+    all_of,
     any_of,
     day_of,
     month_of,
@@ -24,6 +26,9 @@ from kpiloom.functions.exprs import (
 from kpiloom.plans.registry import PATTERNS
 
 PATTERN, SQL, RULES = "pattern", "sql", "rules"
+
+#: Aggregates that take a FILTER clause, so that KPIs with different conditions can share a pass.
+FUSED = ("sum", "count", "min", "max", "avg", "mean", "count_if", "approx_count_distinct", "stddev", "variance", "median")
 Tables = str | Sequence[str] | Sequence[tuple[str, str]]
 Span = tuple[DateLike, DateLike] | int | None
 
@@ -45,7 +50,9 @@ class KpiSpec:
         a query text that names the given tables in braces;
     ``rules``
         ``table``, ``date``, an aggregate ``measure``, ``filters`` that rows must meet and
-        ``exclusions`` they must not. ``columns`` lists the columns that these may use.
+        ``exclusions`` they must not. ``columns`` lists the columns that these may use. KPIs of
+        this mode over one table and date whose measure is the text of a single aggregate are
+        computed together, in one pass over the table.
     """
 
     name: str
@@ -115,14 +122,90 @@ def _by_rules(spec: KpiSpec, tables: Mapping[str, DataFrame]) -> DataFrame:
     if spec.columns:
         used = dict.fromkeys([spec.date, *spec.grain, *spec.columns])
         rows = rows.select(*used).alias("rows")  # the alias hides the other columns
-    for condition in spec.filters:
-        rows = rows.filter(F.expr(condition))
-    # an exclusion that is unknown for a row does not remove it
-    excluded = any_of(F.coalesce(F.expr(e), F.lit(False)) for e in spec.exclusions)
-    rows = rows.filter(~excluded)
     measure = F.expr(spec.measure) if isinstance(spec.measure, str) else spec.measure
     period = [month_of(spec.date).alias(spec.period)] if spec.period else []
-    return rows.groupBy(*period, *spec.grain).agg(measure.alias(spec.value))
+    return rows.filter(_counted(spec)).groupBy(*period, *spec.grain).agg(measure.alias(spec.value))
+
+
+def _counted(spec: KpiSpec) -> Column:
+    """Whether a row counts; an exclusion that is unknown for a row does not remove it."""
+    excluded = any_of(F.coalesce(F.expr(e), F.lit(False)) for e in spec.exclusions)
+    return F.coalesce(all_of(F.expr(c) for c in spec.filters), F.lit(False)) & ~excluded
+
+
+# -- one pass for several KPIs -------------------------------------------------------------
+
+
+def _single_aggregate(measure: Any) -> bool:
+    """Whether the text is one call of an aggregate that takes a FILTER clause."""
+    if not isinstance(measure, str):
+        return False
+    call = re.fullmatch(r"\s*(\w+)\s*\((.*)\)\s*", measure, re.DOTALL)
+    if not call or call[1].lower() not in FUSED or re.search(r"['\"`]|--|/\*", call[2]):
+        return False
+    depth = 0
+    for sign in call[2]:
+        depth += {"(": 1, ")": -1}.get(sign, 0)
+        if depth < 0:
+            return False
+    return True
+
+
+def _groups(specs: Sequence[KpiSpec]) -> list[list[KpiSpec]]:
+    """The specifications in sets that one pass can compute, in the order given."""
+    groups: dict[Any, list[KpiSpec]] = {}
+    for place, spec in enumerate(specs):
+        alike = spec.mode == RULES and spec.period is not None and _single_aggregate(spec.measure)
+        groups.setdefault((spec.table, spec.date) if alike else place, []).append(spec)
+    return list(groups.values())
+
+
+def _one_pass(specs: Sequence[KpiSpec], tables: Mapping[str, DataFrame], as_of: DateLike | None) -> DataFrame:
+    """KPIs over one table as one aggregate: grouping sets for the grains, a filter for each measure.
+
+    Rows that count for no KPI are dropped first. A KPI has a cell where a row counts for it.
+    """
+    table, date = specs[0].table, specs[0].date
+    keys = list(dict.fromkeys(c for s in specs for c in s.grain))
+    grains = list(dict.fromkeys(frozenset(s.grain) for s in specs))  # in whatever order a KPI names them
+    conditions = {}
+    for i, spec in enumerate(specs):
+        first, last = spec.days(as_of)
+        inside = F.lit(True) if first is None else month_of(date) >= F.lit(to_day(first))
+        inside &= F.lit(True) if last is None else month_of(date) <= F.lit(to_day(last))
+        conditions[f"__counts{i}"] = _counted(spec) & F.coalesce(inside, F.lit(False))
+    named = {f"__grain{i}": F.col(c) for i, c in enumerate(keys)}  # a measure may use a key as well
+    rows = tables[table].withColumns({**conditions, **named, "__month": month_of(date)})
+    rows = rows.filter(any_of(map(F.col, conditions)))
+    columns = [F.col(c) for c in ("__month", *named)]
+    sets = [[F.col("__month"), *(F.col(n) for n, c in zip(named, keys) if c in grain)] for grain in grains]
+    # the bit of a column is set where the set lacks it; the first column has the highest bit
+    ids = [sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in grain) for grain in grains]
+    aggregates = [F.grouping_id().alias("__set")]
+    for i, spec in enumerate(specs):
+        aggregates += [
+            F.expr(f"{spec.measure} FILTER (WHERE __counts{i})").cast("double").alias(f"__value{i}"),
+            F.count_if(f"__counts{i}").alias(f"__rows{i}"),
+        ]
+    cells = rows.groupingSets(sets, *columns).agg(*aggregates)
+    lines = []
+    for i, spec in enumerate(specs):
+        here = F.col("__set") == ids[grains.index(frozenset(spec.grain))]
+        line = _line(spec, [F.col(f"__grain{keys.index(c)}") for c in spec.grain], F.col("__month"), F.col(f"__value{i}"))
+        lines.append(F.when(here & (F.col(f"__rows{i}") > 0), F.struct(*line)))
+    return cells.select(F.inline(F.filter(F.array(*lines), lambda line: line.isNotNull())))
+
+
+def _line(spec: KpiSpec, key: Sequence[Column], period: Column, value: Column) -> list[Column]:
+    parts = [_key_part(k.cast("string")) for k in key]
+    return [
+        F.lit(spec.name).alias("kpi"),
+        slug(F.lit(spec.name)).alias("kpi_id"),
+        F.lit(spec.grain_text).alias("grain"),
+        (F.concat_ws("|", *parts) if parts else F.lit("")).alias("grain_key"),
+        period.alias("period"),
+        value.cast("double").alias("value"),
+    ]
 
 
 def kpi_frame(
@@ -152,16 +235,8 @@ def kpi_frame(
         result = result.filter(day_of(spec.period) >= F.lit(to_day(first)))
     if last is not None:
         result = result.filter(day_of(spec.period) <= F.lit(to_day(last)))
-    parts = [_key_part(F.col(c).cast("string")) for c in spec.grain]
     period = F.lit(None).cast("date") if spec.period is None else day_of(spec.period)
-    return result.select(
-        F.lit(spec.name).alias("kpi"),
-        slug(F.lit(spec.name)).alias("kpi_id"),
-        F.lit(spec.grain_text).alias("grain"),
-        (F.concat_ws("|", *parts) if parts else F.lit("")).alias("grain_key"),
-        period.alias("period"),
-        F.col(spec.value).cast("double").alias("value"),
-    )
+    return result.select(*_line(spec, [F.col(c) for c in spec.grain], period, F.col(spec.value)))
 
 
 def _key_part(text: Column) -> Column:
@@ -175,13 +250,18 @@ def run_kpis(
     tables: Mapping[str, DataFrame],
     as_of: DateLike | None = None,
 ) -> DataFrame:
-    """All KPIs in one long table."""
+    """All KPIs in one long table; those that can share a pass over their table do."""
     if not specs:
         raise ValueError("no KPI specifications given")
     repeated = {s.name for s in specs if sum(s.name == t.name for t in specs) > 1}
     if repeated:
         raise ValueError(f"KPI names must be unique, repeated: {sorted(repeated)}")
-    first, *rest = [kpi_frame(spark, spec, tables, as_of) for spec in specs]
+    frames = []
+    for group in _groups(specs):
+        # planned one by one in any case, which finds what is missing
+        alone = [kpi_frame(spark, spec, tables, as_of) for spec in group]
+        frames.append(alone[0] if len(group) == 1 else _one_pass(group, tables, as_of))
+    first, *rest = frames
     for frame in rest:
         first = first.unionByName(frame)
     return first

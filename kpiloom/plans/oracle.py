@@ -251,6 +251,15 @@ ORACLE_SQL["fill_gap_hot_keys"] = ORACLE_SQL["fill_gap"].replace(
     " AS entity_id) FROM fills) WINDOW",
 )
 
+_ONE_DAY = """(SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE entity_id END AS entity_id,
+                        CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN DATE '1997-01-01'
+                             ELSE service_date END AS service_date) FROM fills)"""
+ORACLE_SQL["fill_gap_one_day"] = (
+    ORACLE_SQL["fill_gap"]
+    .replace("FROM fills WINDOW", f"FROM {_ONE_DAY} WINDOW")
+    .replace("ORDER BY service_date,", "ORDER BY service_date NULLS FIRST,")
+)
+
 ORACLE_SQL["fill_gap_by_day"] = f"""WITH {FILLS}, days AS (
   SELECT entity_id, service_date AS fill_date, count(*) AS fills_on_day FROM fills GROUP BY 1, 2),
 gaps AS (
@@ -271,6 +280,8 @@ SELECT *, CASE WHEN month = (SELECT max(month) FROM monthly) AND pct_of_prior_mo
                THEN 1 ELSE 0 END AS is_truncated
 FROM shares ORDER BY month DESC LIMIT 6"""
 
+ORACLE_SQL["truncation_audit_files"] = ORACLE_SQL["truncation_audit"]
+
 ORACLE_SQL["actuals_vs_goals"] = f"""WITH {FILLS},
 actuals AS (
   SELECT CAST(date_trunc('month', service_date) AS DATE) AS month, CAST(provider_id AS VARCHAR) AS provider_id,
@@ -681,6 +692,10 @@ ORACLE_SQL["fill_episodes_hot_keys"] = ORACLE_SQL["fill_episodes"].replace(
     " FROM fills) WHERE product",
 )
 
+ORACLE_SQL["fill_episodes_one_day"] = ORACLE_SQL["fill_episodes"].replace(
+    "FROM fills WHERE product", f"FROM {_ONE_DAY} WHERE product"
+)
+
 
 def _schedule(days: str) -> str:
     def branches(applies: str, expected: str, tolerance: int, weeks: int) -> str:
@@ -1018,6 +1033,30 @@ SELECT k.kpi, c.grain, c.period, c.grain_key FROM cells c JOIN kpis k ON k.grain
 WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.kpi = k.kpi AND r.grain = c.grain
                   AND r.period = c.period AND r.grain_key = c.grain_key)"""
 
+ORACLE_SQL["kpi_run_one_pass"] = f"""WITH {CLAIMS}, {CUSTOMERS},
+placed AS (SELECT c.*, k.region, CAST(date_trunc('month', service_date) AS DATE) AS month
+           FROM claims c LEFT JOIN customers k ON c.entity_id = k.entity_id),
+results AS (
+  SELECT 'Paid' AS kpi, '' AS grain, '' AS grain_key, month AS period, CAST(sum(paid_amount) AS DOUBLE) AS value
+  FROM placed GROUP BY 4
+  UNION ALL
+  SELECT 'Paid in region', 'region', coalesce(region, '\\N'), month, CAST(sum(paid_amount) AS DOUBLE)
+  FROM placed WHERE order_status IS DISTINCT FROM 'P' GROUP BY 3, 4
+  UNION ALL
+  SELECT 'Active entities', 'region', coalesce(region, '\\N'), month, CAST(count(DISTINCT entity_id) AS DOUBLE)
+  FROM placed WHERE month BETWEEN DATE '2000-01-01' AND DATE '2001-06-30' GROUP BY 3, 4
+  UNION ALL
+  SELECT 'Largest claim', 'region, order_status', coalesce(region, '\\N') || '|' || coalesce(order_status, '\\N'),
+         month, CAST(max(paid_amount) AS DOUBLE)
+  FROM placed WHERE paid_amount < 200000 GROUP BY 3, 4
+  UNION ALL
+  SELECT 'Statuses in use', 'order_status', coalesce(order_status, '\\N'), month,
+         CAST(count(DISTINCT order_status) AS DOUBLE)
+  FROM placed WHERE month BETWEEN DATE '2000-08-01' AND DATE '2001-08-01' GROUP BY 3, 4
+  UNION ALL
+  SELECT 'Urgent claims', '', '', month, CAST(count(*) AS DOUBLE) FROM placed WHERE priority = '1-URGENT' GROUP BY 4)
+SELECT *, trim(regexp_replace(lower(kpi), '[^a-z0-9]+', '-', 'g'), '-') AS kpi_id FROM results"""
+
 ORACLE_SQL["kpi_run_patterns"] = f"""WITH results AS (
   SELECT 'Change on last year' AS kpi, 'entity_id' AS grain, CAST(entity_id AS VARCHAR) AS grain_key,
          CAST(NULL AS DATE) AS period, CAST(yoy_abs_change AS DOUBLE) AS value

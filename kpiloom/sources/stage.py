@@ -58,5 +58,9 @@ def reliable_copy(df: DataFrame) -> DataFrame:
     Cuts the lineage: a lost executor cannot make the rows, or the partition they were in,
     come out differently a second time.
     """
-    folder = checkpoint_folder(df.sparkSession).rstrip("/")
-    return stage_table(df, f"{folder}/kpiloom-{uuid.uuid4()}")
+    return stage_table(df, new_path(df.sparkSession))
+
+
+def new_path(spark: SparkSession) -> str:
+    """An unused path below the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/kpiloom-{uuid.uuid4()}"

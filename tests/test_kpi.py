@@ -112,3 +112,44 @@ def test_a_window_needs_a_period(spark, tables):
     spec = kpi.KpiSpec("x", mode="sql", sql="SELECT 1 AS value FROM {claims}", period=None, window=3)
     with pytest.raises(ValueError, match="needs a period"):
         kpi.run_kpis(spark, [spec], tables)
+
+
+def described(name, measure, grain=(), **rules):
+    return kpi.KpiSpec(name, mode="rules", table="claims", date="service_date", measure=measure, grain=grain, **rules)
+
+
+FUSED = [
+    described("Paid", "sum(paid_amount)"),
+    described("Regions", "count(DISTINCT region)", ("region",), exclusions=("kind = 'b'",)),
+    described("Both", "count(*)", ("kind", "region"), window=("2024-02-01", "2024-02-29")),
+    described("Turned", "max(paid_amount)", ("region", "kind"), filters=("kind = 'a'",), columns=("paid_amount", "kind")),
+    described("Named", "count(kind)", ("region",), window=("2024-02-01", None)),
+    described("Nothing", "count(*)", filters=("paid_amount > 1000",)),
+]
+
+
+def test_kpis_in_one_pass_equal_each_alone(spark, tables, frame):
+    undated = frame(
+        "entity_id long, service_date date, paid_amount double, region string, kind string",
+        (4, None, 5, "N", "a"), (4, None, None, None, None), (5, "2024-02-07", None, "S", None),
+    )
+    data = {"claims": tables["claims"].unionByName(undated)}
+    assert [len(g) for g in kpi._groups(FUSED)] == [6]
+    alone = [row for spec in FUSED for row in rows(kpi.kpi_frame(spark, spec, data))]
+    together = kpi.run_kpis(spark, FUSED, data)
+    assert rows(together) == sorted(alone, key=lambda r: [(v is None, str(v)) for v in r])
+    assert len(alone) > 15 and together.dtypes == kpi.kpi_frame(spark, FUSED[0], data).dtypes
+    assert rows(kpi.run_kpis(spark, FUSED, {"claims": data["claims"].limit(0)})) == []
+
+
+def test_only_single_aggregates_share_a_pass(spark, tables):
+    apart = ["sum(paid_amount) / count(*)", "round(sum(paid_amount))", "max(kind) = min('()')", "sum(paid_amount))", "count"]
+    assert not any(map(kpi._single_aggregate, apart))
+    assert all(map(kpi._single_aggregate, ["count(*)", " SUM( paid_amount * (1 + entity_id) )", "count(DISTINCT kind)"]))
+    mixed = [RULES, described("Mean", "sum(paid_amount) / count(*)"), described("Rows", "count(*)"), QUERY]
+    assert [[s.name for s in g] for g in kpi._groups(mixed)] == [["Described", "Rows"], ["Mean"], ["Entities"]]
+    got = rows(kpi.run_kpis(spark, mixed, tables, as_of="2024-03-31"), "kpi", "period", "value")
+    assert ("Mean", "2024-02-01", 35.0) in got and ("Rows", "2024-01-01", 2.0) in got
+    hidden = described("Hidden", "sum(paid_amount)", columns=("kind",))
+    with pytest.raises(Exception, match="paid_amount"):
+        kpi.run_kpis(spark, [hidden, FUSED[0]], tables)
