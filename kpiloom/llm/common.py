@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +67,18 @@ class WordCache:
     def texts(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts of so many words each, one after another, and how many each text has."""
         coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.slots) > self.limit:
             self.forget()
-        new = [w for w in different if w not in self.slots]
-        if new:
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+        slot = np.fromiter(map(self.slots.get, different, repeat(-1)), np.int64, count=len(different))
+        unknown = np.flatnonzero(slot < 0)
+        if len(unknown):
+            new = [different[i] for i in unknown]
+            slot[unknown] = np.arange(len(self.slots), len(self.slots) + len(new))
+            self.slots.update(zip(new, slot[unknown].tolist()))
             ids, sizes = self.encode(new)
             self.ids = np.concatenate((self.ids, ids))
             self.sizes = np.concatenate((self.sizes, sizes))
-        slot = np.fromiter(map(self.slots.__getitem__, different), np.int64, count=len(different))
         slot = slot[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
         starts = (np.cumsum(self.sizes) - self.sizes)[slot]

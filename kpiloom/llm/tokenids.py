@@ -110,7 +110,7 @@ class TokenCodec:
         some = list(compress(words, usual))
         texts = ["".join(some[at : at + JOINED_WORDS]) for at in range(0, len(some), JOINED_WORDS)]
         ids = self._each(texts)[0]
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, count=len(some)))
+        ends = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy().astype(np.int64))
         spans = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
         rest, rest_sizes = self._each(list(compress(words, ~usual)))
         sizes = np.empty(len(words), dtype=np.int64)
@@ -209,14 +209,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [*row, squeeze.compress(_planes(ids))]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
-    for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
-        if held and (row["part"] != part or size + row["n"] > BLOCK):
-            yield made()
-            block, first, held, size = block + 1, first + size, [], 0
-        if row["part"] != part:
-            part, block, first = row["part"], 0, 0
-        held.append((row["id"], row["n"], row["ids"]))
-        size += row["n"]
+    for batch in batches:
+        numbers = zip(*(batch.column(c).to_pylist() for c in ("part", "id", "n")))
+        for (of, id, n), ids in zip(numbers, batch.column("ids")):
+            if held and (of != part or size + n > BLOCK):
+                yield made()
+                block, first, held, size = block + 1, first + size, [], 0
+            if of != part:
+                part, block, first = of, 0, 0
+            held.append((id, n, ids.as_py()))  # the bytes of one document at a time
+            size += n
     if held:
         yield made()
 
