@@ -4,15 +4,18 @@ Strong spans are those of three fixed patterns: assigned secrets, access key ide
 strings. Besides, three kinds of weak candidates are noted: assigned user or client identifiers
 (``pair_id``), unnamed mixed-case strings with digits (``pair_secret``) and addresses of services
 (``endpoint``). A weak candidate says little alone. It is reported only where the parts that
-complement it are near, in the same scope (a paragraph) and at most ``REACH`` characters away: an
-identifier for a secret, a secret for an identifier, and both for an endpoint. Strong spans are parts
-too: access keys are identifiers, assigned and hex strings secrets.
+complement it are in the same scope: an identifier for a secret, a secret for an identifier, and both
+for an endpoint. Strong spans are parts too: access keys are identifiers, assigned and hex strings
+secrets. The value of an identifier is no secret of its own.
+
+A scope is a run of paragraphs (between blank lines) of which each holds a part, strong or weak; a
+paragraph without any ends it. So the entries of a configuration or key file link over blank lines
+and at any distance, and unrelated passages of prose don't.
 
 The texts are scanned once, and what was found is stored (it is small). The parts are linked by an
-interval join: each part lies in the bins of ``REACH`` characters that it touches, candidates also in
-the neighbouring ones, and candidates semi-join the complementary parts of their row, scope and bin.
-Parts don't overlap parts of their kind, so a bin holds a bounded number of them however long a text
-is, and no pairs leave the join.
+interval join: the scopes of a row are disjoint intervals, numbered as they come, each with the roles
+that are present in it, and a candidate meets the one interval it lies in. So there are no pairs, and
+the work is in proportion to the parts however many a scope has.
 
 Defined results: null texts count as empty; places are code points, ends exclusive; equal rows each
 have their spans; null ids stay null; very long texts are scanned whole; an empty table gives an
@@ -22,6 +25,7 @@ empty table. Only the key and text columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,6 @@ from kpiloom.sources.stage import reliable_copy
 #: Order of kinds among spans with one start.
 KINDS = ("assign", "access", "hex", "pair_id", "pair_secret", "endpoint")
 BASE_KINDS = KINDS[:3]
-REACH = 300
 #: Roles that parts of a kind have for others, and those that a weak kind needs.
 ROLES = {"assign": "secret", "hex": "secret", "pair_secret": "secret", "access": "id", "pair_id": "id"}
 NEEDS = {"pair_id": ("secret",), "pair_secret": ("id",), "endpoint": ("id", "secret")}
@@ -55,7 +58,7 @@ NAMED_WORDS = (b"user", b"login", b"account", b"id")
 MIXED = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 MIXED_HAS = (re.compile(rb"[a-z]"), re.compile(rb"[A-Z]"), re.compile(rb"[0-9]"))
 ENDPOINT = re.compile(rb"""[a-z][a-z0-9+.-]*://[^\s"'<>]+""")
-SCOPE = re.compile(rb"\n[\x20\t\r]*\n")
+SCOPE = re.compile(rb"\n(?:[\x20\t\r]*\n)+")
 
 
 def scan(text: str) -> list[tuple[str, int, int, int]]:
@@ -71,9 +74,12 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     weak = []
     if any(w in low for w in NAMED_WORDS):
         weak += [("pair_id", *m.span()) for m in NAMED.finditer(low)]
+    named = [s[1:] for s in weak]
     for m in MIXED.finditer(raw):
         if all(has.search(m[0]) for has in MIXED_HAS):
-            weak.append(("pair_secret", *m.span()))
+            after = bisect_left(named, m.end(), key=lambda s: s[0])
+            if not after or named[after - 1][1] <= m.start():  # else it is the identifier's value
+                weak.append(("pair_secret", *m.span()))
     if b"://" in raw:
         weak += [("endpoint", *m.span()) for m in ENDPOINT.finditer(low)]
     if not found and not weak:
@@ -91,9 +97,10 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     else:  # code points before each byte
         points = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
         points = np.append(points, len(text))
-    out = []
+    out, scope, last = [], 0, 0
     for kind, start, end in found:
-        scope = int(np.searchsorted(breaks, start))
+        paragraph = int(np.searchsorted(breaks, start))
+        scope, last = scope + (paragraph > last + 1), paragraph
         place = (start, end) if points is None else (int(points[start]), int(points[end]))
         out.append((kind, scope, *place))
     return out
@@ -122,36 +129,28 @@ def _scanned(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _linked(scanned: DataFrame) -> DataFrame:
-    """``row``, ``weak``: the weak candidates of each row that have their complements near."""
+    """``row``, ``weak``: the weak candidates of each row that have their complements in their scope."""
     parts = scanned.where("size(found) > 1").select("row", F.explode("found").alias("part")).select(
         "row", "part.*"
     )
     roles = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    own_bins = f"sequence(start div {REACH}, greatest(start, end - 1) div {REACH})"
-    others = parts.withColumn("role", F.try_element_at(roles, F.col("kind"))).where("role IS NOT NULL")
-    others = others.select(
-        "row", "scope", "role", F.explode(F.expr(own_bins)).alias("bin"),
-        F.col("start").alias("other_start"), F.col("end").alias("other_end"),
-    )
-    near_bins = f"sequence(start div {REACH} - 1, end div {REACH} + 1)"
-    weak = None
+    role = F.try_element_at(roles, F.col("kind"))
+    present = [F.coalesce(F.bool_or(role == r), F.lit(False)).alias(f"has_{r}") for r in ("id", "secret")]
+    scopes = parts.groupBy("row", "scope").agg(
+        F.min("start").alias("scope_start"), F.max("end").alias("scope_end"), *present
+    )
+    complete = F.lit(False)
     for kind, needs in NEEDS.items():
-        some = parts.where(F.col("kind") == kind)
-        for role in needs:
-            gap = F.greatest("start", "other_start") - F.least("end", "other_end")
-            some = _near(some, others.where(F.col("role") == role), near_bins, gap)
-        weak = some if weak is None else weak.unionByName(some)
+        met = F.col("kind") == kind
+        for r in needs:
+            met = met & F.col(f"has_{r}")
+        complete = complete | met
+    within = (F.col("start") >= F.col("scope_start")) & (F.col("end") <= F.col("scope_end"))
+    weak = parts.join(scopes, ["row", "scope"]).where(within & complete)
     spans = F.collect_list(F.struct("kind", "scope", "start", "end")).alias("weak")
     return weak.groupBy("row").agg(spans)
 
 
-def _near(some: DataFrame, others: DataFrame, bins: str, gap: Column) -> DataFrame:
-    binned = some.withColumn("bin", F.explode(F.expr(bins))).alias("a")
-    others = others.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("row", "scope", "bin")]
-    return binned.join(others, [*same, gap <= REACH], "left_semi").drop("bin").distinct()
-
-
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``hash`` (XXH64 of the text), ``base`` and ``spans``: strong spans, and all spans."""
     scanned = _scanned(df, key, text)

@@ -24,18 +24,37 @@ def base(text):
     return sorted(found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
 
 
+NAMED = re.compile(
+    r"""(user(?:name)?|login|account|(?:client|access_key|key)_?id)["']?\x20*[:=]\x20*["']?([a-z0-9_.@-]{3,})""", re.I | re.A
+)
+IDS, SECRETS = {"access", "pair_id"}, {"assign", "hex", "pair_secret"}
+
+
 def everything(text):
     """Strong spans, and weak candidates whose complements are near: each two parts are compared."""
-    parts = secrets.scan(text or "")
-    kept = []
-    for kind, scope, start, end in parts:
-        near = {
-            secrets.ROLES.get(k)
-            for k, s, a, b in parts
-            if s == scope and max(a, start) - min(b, end) <= secrets.REACH and (k, a, b) != (kind, start, end)
-        }
-        if kind in secrets.BASE_KINDS or all(role in near for role in secrets.NEEDS[kind]):
-            kept.append((kind, start, end))
+    text = text or ""
+    strong = base(text)
+    named = [m.span() for m in NAMED.finditer(text)]
+    weak = [("pair_id", *s) for s in named]
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        kinds = {("a" <= c <= "z", "A" <= c <= "Z", c.isdigit()) for c in m[0]}
+        if all(any(k[i] for k in kinds) for i in range(3)) and not any(a < m.end() and m.start() < b for a, b in named):
+            weak.append(("pair_secret", *m.span()))
+    weak += [("endpoint", *m.span()) for m in re.finditer(r"""[a-zA-Z][a-zA-Z0-9+.-]*://[^\x20\t-\r"'<>]+""", text)]
+    weak = [w for w in weak if not any(a < w[2] and w[1] < b for _, a, b in strong)]
+    parts = sorted(strong + weak, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+    gaps = [m.span() for m in re.finditer(r"\n(?:[ \t\r]*\n)+", text)]
+    edges = [0, *(b for _, b in gaps), len(text) + 1]
+    paragraphs = [[p for p in parts if a <= p[1] < b] for a, b in zip(edges, edges[1:])]
+    kept, run = [], []
+    for own in [*paragraphs, []]:
+        if own:
+            run += own
+            continue
+        ids, hidden = (any(k in roles for k, _, _ in run) for roles in (IDS, SECRETS))
+        need = {"pair_id": hidden, "pair_secret": ids, "endpoint": ids and hidden}
+        kept += [p for p in run if need.get(p[0], True)]
+        run = []
     return kept
 
 
@@ -71,6 +90,7 @@ def test_linked_parts(spark):
         lambda: "https://db.example.com/x",
         lambda: "é\u0130ſecret: abcdef ",
         lambda: "\n\n",
+        lambda: "\n\n lorem \n \n",
         lambda: "token: token=abcdef",
         lambda: " lorem ipsum" * rng.choice([1, 15, 40]),
     ]
@@ -86,6 +106,30 @@ def test_linked_parts(spark):
     assert weak > 50
 
 
+def test_scopes(spark):
+    secret, far = "aB3" * 8, " lorem" * 200
+    texts = [
+        f"user = bob\n\nkey {secret}",  # over a blank line
+        f"user = bob{far} {secret}",  # at any distance
+        f"user = bob\n\nlorem\n\n{secret}",  # a paragraph without a part between them
+        f"user={secret}==",  # an identifier's value is no secret
+        f"{secret} https://a.b/c",
+        f"{secret}\n\nhttps://a.b/c\n\nuser = bob",
+        "user = bob\n" * 3000 + secret,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(frame).collect()}
+    assert got == {
+        0: ["pair_id", "pair_secret"],
+        1: ["pair_id", "pair_secret"],
+        2: [],
+        3: [],
+        4: [],
+        5: ["pair_secret", "endpoint", "pair_id"],
+        6: ["pair_id"] * 3000 + ["pair_secret"],
+    }
+
+
 def test_redacted_texts_hold_no_span(spark):
     rows = [(1, "é user = bob password: 'hunter22' end", "n"), (1, "clean", None), (None, "token=abcdefgh x", "m"), (2, None, "k")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
