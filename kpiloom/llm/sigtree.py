@@ -22,7 +22,8 @@ with fewer words than a shingle has is one shingle.
    with ``MORE`` times as many, until every pair that is left has been given. So groups of near copies take
    about as many comparisons as they have members, and no link between components is lost.
 5. This is done first for the blocks that are the largest of one of their members, then for all others that
-   hold several components; there, sets that have the same largest block need no comparison any more.
+   hold several components and sets of several largest blocks; sets that have the same largest block need no
+   comparison any more.
 
 A block of more than ``LEAVES`` members is dealt out in parts; every two parts are a task's unit. Shingles are
 64-bit hashes and nodes 64-bit hashes of sets: a false match has a chance of 2^-64 for each two.
@@ -473,15 +474,15 @@ def links_of(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
         while True:
             left = own if cut is None else own.join(cut, "h")
             if heads is not None:
-                left = left.join(heads, "node", "left").select("h", "node", head)
-                left = reliable_copy(left)
-                mixed = left.groupBy("h").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x < y")
+                left = left.join(heads, "node", "left").join(compared, "node", "left")
+                left = reliable_copy(left.select("h", "node", head, top))
+                ends = [f(c).alias(f.__name__ + c) for c in ("head", "top") for f in (F.min, F.max)]
+                mixed = left.groupBy("h").agg(*ends).where("minhead < maxhead AND mintop < maxtop")
                 left = reliable_copy(left.join(mixed.select("h"), "h"))
                 if left.isEmpty():
                     break
             else:
-                left = left.withColumn("head", F.col("node"))
-            left = left.join(compared, "node", "left").select("h", "node", "head", top)
+                left = left.join(compared, "node", "left").select("h", "node", F.col("node").alias("head"), top)
             pairs = reliable_copy(_pairs(_dealt(left, sketches, blocks), percent, most))
             cut = pairs.where("more").select("h").distinct()
             pairs = pairs.select("a", "b").distinct()
