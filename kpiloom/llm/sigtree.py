@@ -4,7 +4,7 @@ Two texts link if their sets of word shingles have a Jaccard similarity of at le
 a component is what links reach. Words are what lies between ASCII white space, A-Z lower-cased; a text
 with fewer words than a shingle has is one shingle.
 
-1. Every set has a bitmap in which each shingle sets one bit (eight to sixteen bits a shingle), its size,
+1. Every set has a bitmap in which each shingle sets one bit (four to eight bits a shingle), its size,
    and how many shingles fell on a bit that was set (``excess``).
 2. Sets that are similar share one of the first n - ceil(percent * n / 100) + 1 shingles of each, in any
    fixed order of all shingles. So a block is made of every such shingle that two sets share; blocks of
@@ -83,8 +83,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """Eight to sixteen bits for each shingle, a power of two and 64 at least; each shingle sets one."""
-    size = max(64, 1 << (8 * len(own) - 1).bit_length())
+    """Four to eight bits for each shingle, a power of two and 64 at least; each shingle sets one."""
+    size = max(64, 1 << (4 * len(own) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
