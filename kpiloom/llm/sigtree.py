@@ -24,6 +24,8 @@ with fewer words than a shingle has is one shingle.
 5. This is done first for the blocks that are the largest of one of their members, then for all others that
    hold several components and sets of several largest blocks; sets that have the same largest block need no
    comparison any more.
+6. A caller may give another method's likely pairs, by SimHashes of the sets. They are verified first, and the
+   trees are walked only for what their links leave in different components.
 
 A block of more than ``LEAVES`` members is dealt out in parts; every two parts are a task's unit. Shingles are
 64-bit hashes and nodes 64-bit hashes of sets: a false match has a chance of 2^-64 for each two.
@@ -36,7 +38,7 @@ is its smallest key; an empty table gives an empty table. Only the key and text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import text_chunks
 from kpiloom.llm.components import components
 from kpiloom.llm.contamination import shingle_hashes, word_hashes
+from kpiloom.llm.simhash import majority
 from kpiloom.sources.stage import reliable_copy
 
 #: One of so many texts is counted to find common shingles; fewer than ``SEEN`` of them are not common.
@@ -117,15 +120,16 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], top.column("n").to_numpy()[order]
 
 
-def _rows(docs: DataFrame, width: int, percent: int, link_empty: bool) -> DataFrame:
-    """``key``, ``mark``, ``node`` and ``n`` of every row; ``prefix`` and ``bits`` once a task for each set."""
+def _rows(docs: DataFrame, width: int, percent: int, link_empty: bool, marked: bool) -> DataFrame:
+    """``key``, ``mark``, ``node`` and ``n`` of every row; ``prefix`` and ``bits`` once a task for each set,
+    and, if ``marked``, its SimHash ``fp``."""
     common, counts = _common(docs, width)
     kind = docs.schema["key"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for chunk in text_chunks(batches, "text"):
-            nodes, sizes, firsts, bits = [], [], [], []
+            nodes, sizes, firsts, bits, fps = [], [], [], [], []
             for own in shingle_sets(chunk.column("text").to_pylist(), width):
                 node = node_of(own) if len(own) or link_empty else None
                 new = len(own) and node not in met
@@ -134,6 +138,7 @@ def _rows(docs: DataFrame, width: int, percent: int, link_empty: bool) -> DataFr
                 sizes.append(len(own))
                 firsts.append(prefix(own, percent, common, counts).view(np.int64) if new else None)
                 bits.append(bitmap(own).tobytes() if new else None)
+                fps.append(majority(own) if new and marked else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.column("key"),
@@ -142,11 +147,12 @@ def _rows(docs: DataFrame, width: int, percent: int, link_empty: bool) -> DataFr
                     pa.array(sizes, pa.int64()),
                     pa.array(firsts, pa.list_(pa.int64())),
                     pa.array(bits, pa.binary()),
+                    pa.array(fps, pa.uint64()).view(pa.int64()),
                 ],
-                ["key", "mark", "node", "n", "prefix", "bits"],
+                ["key", "mark", "node", "n", "prefix", "bits", "fp"],
             )
 
-    schema = f"key {kind}, mark long, node long, n long, prefix array<long>, bits binary"
+    schema = f"key {kind}, mark long, node long, n long, prefix array<long>, bits binary, fp long"
     return reliable_copy(docs.mapInArrow(work, schema))
 
 
@@ -453,7 +459,13 @@ def _dealt(members: DataFrame, sketches: DataFrame, blocks: DataFrame) -> DataFr
     return own.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
 
-def links_of(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def links_of(
+    docs: DataFrame,
+    rows: DataFrame,
+    width: int,
+    percent: int,
+    likely: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``node``, ``head``: the component of every node that has a link, by the links that join components."""
     marks = reliable_copy(rows.where("prefix IS NOT NULL").groupBy("node").agg(F.min("mark").alias("mark")))
     members, blocks = _members(rows)
@@ -466,6 +478,11 @@ def links_of(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     head, top = F.coalesce("head", "node").alias("head"), F.coalesce("top", "node").alias("top")
     empty = members.selectExpr("node", "node AS head").limit(0)
     links = heads = done = None
+    if likely is not None:
+        fps = rows.where("fp IS NOT NULL").select("node", "fp").dropDuplicates(["node"])
+        done = reliable_copy(likely(fps))
+        links = _verified(docs, done, marks, width, percent)
+        heads = components(links)
     for own, compared in (
         (members.join(largest, "h"), members.selectExpr("node", "node AS top").limit(0)),
         (members.join(largest, "h", "left_anti"), tops),
@@ -501,12 +518,21 @@ def links_of(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
 
 
 def similar_groups(
-    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, link_empty: bool = False
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 4,
+    percent: int = 85,
+    link_empty: bool = False,
+    likely: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id``, the smallest key that links reach, of every row."""
+    """``key``, ``n_shingles`` and ``component_id``, the smallest key that links reach, of every row.
+
+    ``likely`` makes likely pairs (``a``, ``b``) from ``node`` and ``fp``; it decides the work, never the links.
+    """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    rows = _rows(docs, width, percent, link_empty)
-    heads = links_of(docs, rows, width, percent)
+    rows = _rows(docs, width, percent, link_empty, likely is not None)
+    heads = links_of(docs, rows, width, percent, likely)
     named = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
     named = named.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
     named = reliable_copy(named)

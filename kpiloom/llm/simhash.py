@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import text_chunks
+from kpiloom.llm.common import ragged, text_chunks
 from kpiloom.llm.components import components
 from kpiloom.llm.golay import codeword_keys
 from kpiloom.sources.stage import reliable_copy
@@ -54,6 +54,11 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     starts = (ends - sizes)[: 1 - words_per_shingle].tolist()
     digest, ends = xxhash.xxh64_intdigest, ends[words_per_shingle - 1 :].tolist()
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1)
@@ -124,6 +129,38 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(stars.select("a", F.col("fp").alias("b")).distinct())
 
 
+def likely_pairs(marked: DataFrame, radius: int) -> DataFrame:
+    """``a``, ``b``: nodes whose fingerprints differ in at most ``radius`` bits, of those that share a key.
+
+    ``marked`` has each ``node`` once, with its ``fp``. A key is a Golay codeword of each of two segments, about
+    thirty for a fingerprint: those that differ in three bits or fewer share one, others the more seldom the
+    further they are apart. Each node is paired with the smallest of its key, so that a key with many nodes
+    gives as many pairs as it has nodes. For pairs that are verified, and completed in another way.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, signed = (batch.column(c).to_numpy() for c in ("node", "fp"))
+            marks = signed.view(np.uint64)
+            near = [codeword_keys(marks >> np.uint64(low) & np.uint64((1 << width) - 1)) for low, width in SEGMENTS]
+            for i, (row, index) in enumerate(near):
+                others, other_index = near[(i + 1) % 3]
+                starts = np.searchsorted(others, row)
+                counts = np.searchsorted(others, row, side="right") - starts
+                key = i << 24 | np.repeat(index, counts) << 12 | other_index[ragged(starts, counts)]
+                of = np.repeat(row, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(nodes[of]), pa.array(signed[of])], ["key", "node", "fp"]
+                )
+
+    keys = marked.select("node", "fp").mapInArrow(work, "key long, node long, fp long")
+    heads = keys.groupBy("key").agg(
+        F.min("node").alias("a"), F.min_by("fp", "node").alias("head_fp"), F.count("*").alias("n")
+    )
+    pairs = keys.join(heads.where("n > 1"), "key").where(f"node > a AND bit_count(fp ^ head_fp) <= {radius}")
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3
 ) -> DataFrame:
