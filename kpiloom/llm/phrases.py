@@ -39,7 +39,7 @@ from kpiloom.llm.sigtree import WIDE_FILTER, _in_filter, _passes
 from kpiloom.sources.stage import reliable_copy
 
 #: Bytes of text that a task holds before it makes chunks.
-HELD = 8 << 20
+HELD = 4 << 20
 BUCKETS = 1 << 22
 #: Counters that are summed in one piece.
 PIECE = 1 << 16
@@ -116,7 +116,7 @@ def _phrase_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _possible(marks: np.ndarray, ids: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the phrases inside pieces whose two parts may be frequent."""
     marks = np.append(marks, np.uint64(0))[ids]
-    breaks = np.cumsum(ids < 0)
+    breaks = np.cumsum(ids < 0, dtype=np.int32)
     last = max(0, len(ids) - length + 1)
     whole = np.flatnonzero((ids[:last] >= 0) & (breaks[length - 1 : length - 1 + last] == breaks[:last]))
     some = _passes(parts, hashes_of(marks, length - 1).view(np.int64))
@@ -173,6 +173,12 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
     return _in_filter(pieces.repartition("piece").mapInArrow(add, "v long"), BUCKETS)
 
 
+def _phrases(words: list[bytes], flat: np.ndarray, length: int) -> pa.Array:
+    """Phrases of ``length`` words, given as numbers of the words."""
+    each = pa.array(words, pa.binary()).take(pa.array(flat)).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, length, dtype=np.int32)), each)
+
+
 def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int) -> DataFrame:
     """``lang``, ``words``: the phrases of this length in frequent buckets, both of whose parts are frequent."""
     marks = frequent.select("lang", "words").mapInArrow(_phrase_marks, "v long")
@@ -189,8 +195,8 @@ def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int)
             new = np.array([x not in met for x in found.tolist()], dtype=bool)
             met.update(found.tolist())
             at = places[fit][first[new]]
-            phrases = [[words[w].decode() for w in ids[i : i + length]] for i in at.tolist()]
-            columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.list_(pa.string()))]
+            flat = ids[at[:, None] + np.arange(length)].ravel()
+            columns = [pa.array([lang] * len(at), pa.string()), _phrases(words, flat, length)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "words"])
 
     made = chunks.drop("n").mapInArrow(work, "lang string, words array<string>").distinct()
@@ -228,6 +234,9 @@ class DoubleArray:
         #: The number of the sequence that a last state accepts.
         self.accepts = np.full(len(self.base), -1, dtype=np.int32)
         self.accepts[slots] = order
+        end = self.top + self.codes  # no base is above the top
+        self.base, self.check, self.accepts = (x[:end].copy() for x in (self.base, self.check, self.accepts))
+        del self.used  # only building needs it
 
     def _grow(self, size: int, fresh: bool = False) -> None:
         old = (np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)) if fresh else (self.used, self.base, self.check)
@@ -264,11 +273,16 @@ class DoubleArray:
             self._grow(2 * (self.top + self.codes + 1))
 
     def _fit(self, codes: np.ndarray) -> int:
-        """The first base found at which the slots of all codes are free."""
+        """The first base found at which the slots of all codes are free.
+
+        Where the lower slots are too dense, the last ones are tried before new ones are made.
+        """
         while self.used[self.low]:
             self.low += 1
-        at = max(self.low, int(codes[0]) + 1)
-        for width in (64, 512, 4096):
+        starts = [max(x, int(codes[0]) + 1) for x in (self.low, self.top - self.codes)]
+        at = starts[0]
+        for place, width in ((0, 64), (0, 512), (0, 4096), (1, 512), (1, 4096), (1, 4096)):
+            at = max(at, starts[place])
             free = at + np.flatnonzero(~self.used[at : at + 4 * width])[: max(1, min(width, (1 << 19) // len(codes)))]
             free = free[free - codes[0] + codes[-1] < len(self.used)]
             if len(free):
@@ -291,29 +305,28 @@ class DoubleArray:
 
 
 def _shard_counts(chunks: DataFrame, shard: pa.Table, length: int) -> DataFrame:
-    """``lang``, ``words``, ``f`` of the phrases of a shard."""
-    langs, phrases = shard.column("lang").to_pylist(), shard.column("words").to_pylist()
-    codes: dict[str, dict[bytes, int]] = {}
-    for lang, words in zip(langs, phrases):
-        own = codes.setdefault(lang, {})
-        for w in words:
-            own.setdefault(w.encode(), len(own) + 1)
-    size = max(map(len, codes.values()))
-    roots = {lang: size + 1 + i for i, lang in enumerate(codes)}
-    rows = [[roots[lang], *(codes[lang][w.encode()] for w in words)] for lang, words in zip(langs, phrases)]
-    trie = DoubleArray(np.array(rows, dtype=np.int32))
+    """``lang``, ``words``, ``f`` of the phrases of a shard. The driver holds them as arrays, never word by word."""
+    langs = shard.column("lang").combine_chunks().dictionary_encode()
+    words = shard.column("words").combine_chunks().flatten().cast(pa.binary()).dictionary_encode()
+    named, known = langs.dictionary.to_pylist(), b" ".join(words.dictionary.to_pylist())
+    codes = words.indices.to_numpy().reshape(-1, length).astype(np.int32) + 1
+    of = langs.indices.to_numpy().astype(np.int32)
+    first = len(words.dictionary) + 1  # the root of the first language
+    trie = DoubleArray(np.column_stack((of + first, codes)).astype(np.int32))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(phrases), dtype=np.int64)
+        roots = {lang: first + i for i, lang in enumerate(named)}
+        each = known.split(b" ")
+        own = {w: i for i, w in enumerate(each, 1)}
+        total = np.zeros(len(codes), dtype=np.int64)
         for lang, words, ids in _rows(batches, "words", "ids"):
-            if lang in codes:
-                own = codes[lang]
-                known = np.array([own.get(w, 0) for w in words] + [0], dtype=np.int64)
-                total += trie.count(known[ids], roots[lang], length, len(phrases))
+            if lang in roots:
+                at = np.array([own.get(w, 0) for w in words] + [0], dtype=np.int64)
+                total += trie.count(at[ids], roots[lang], length, len(codes))
         seen = np.flatnonzero(total)
         columns = [
-            pa.array([langs[i] for i in seen], pa.string()),
-            pa.array([phrases[i] for i in seen], pa.list_(pa.string())),
+            pa.array(named, pa.string()).take(pa.array(of[seen])),
+            _phrases(each, codes[seen].ravel() - 1, length),
             pa.array(total[seen]),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "n"])
@@ -338,11 +351,12 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
         for shard in range(shards):
             own = candidates.where(F.expr(f"pmod(xxhash64(lang, words), {shards}) = {shard}")).toArrow()
             if own.num_rows:
-                some = _shard_counts(chunks, own, length).where(F.col("f") >= least)
+                # stored at once, so that the driver holds one trie at a time
+                some = reliable_copy(_shard_counts(chunks, own, length).where(F.col("f") >= least))
                 counted = some if counted is None else counted.unionByName(some)
         if counted is None:
             break
-        level = reliable_copy(counted)
+        level = counted
         found = found.unionByName(level)
     return found, totals
 

@@ -88,6 +88,27 @@ def test_tries_count_as_a_dictionary_does():
         assert len(trie.base) < 8 * (codes + len(sequences)) + 20_000
 
 
+def test_a_shard_is_counted_with_little_on_the_driver(spark):
+    """What is sent to the tasks has a few bytes for each word of a phrase, not an object."""
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    words = [[f"word{i % 5000:040d}", f"word{i * 7 % 4999:040d}", f"word{i % 4998:040d}"] for i in range(60_000)]
+    shard = pa.table({"lang": pa.array(["en", "de"] * 30_000), "words": pa.array(words, pa.list_(pa.string()))})
+    sent = []
+
+    class Chunks:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            sent.append(len(cloudpickle.dumps(work)))
+            return spark.createDataFrame([], schema)
+
+    assert phrases._shard_counts(Chunks(), shard, 3).collect() == []
+    assert sent[0] < 8_000_000
+
+
 def test_edge_rows(spark, edge):  # noqa: F811
     got = {(r.phrase, r.a, r.n) for r in phrases.collocations(edge, least=3).collect()}
     words = 3 * 3 + 30_000 + 1
