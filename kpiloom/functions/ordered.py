@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import Names, names
 from kpiloom.functions.hotkeys import BUCKET, DaySplit, stand_ins
+from kpiloom.sources.stage import reliable_copy
 
 #: Pieces for each shuffle partition: so many that their sums in the partitions differ little.
 PIECES_A_PARTITION = 16
 #: Sampled places of the order for each piece.
 SAMPLE_A_PIECE = 8
+#: Children of a node of the search tree over the edges, of which a row carries those of one node at a time.
+WIDTH = 32
 
 
 def default_pieces(spark: SparkSession) -> int:
@@ -64,12 +67,36 @@ def piece_of(edges: Column, place: Column, pieces: int) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
 
+def with_piece(df: DataFrame, edges: DataFrame, place: Column, pieces: int) -> DataFrame:
+    """``BUCKET``: how many edges are not above the place.
+
+    The number is found digit by digit, in base ``WIDTH``: a broadcast table has the ``WIDTH`` - 1 edges that
+    tell the next digit. So a row never carries all edges, whose number grows with the table.
+    """
+    spans = [1]
+    while spans[0] * WIDTH < pieces:
+        spans.insert(0, spans[0] * WIDTH)
+    # stored, as it is read once for each digit and use of the rows
+    placed = reliable_copy(edges.select(F.posexplode("edges").alias("n", "edge")).withColumn("n", F.col("n") + 1))
+    df = df.withColumns({"__place": place, BUCKET: F.lit(0)})
+    for span in spans:
+        own = placed.where((F.col("n") % span == 0) & (F.col("n") % (span * WIDTH) != 0))
+        own = own.groupBy((F.col("n") - F.col("n") % (span * WIDTH)).alias("__from"))
+        own = own.agg(F.sort_array(F.collect_list("edge")).alias("__below"))
+        df = df.join(F.broadcast(own), F.col(BUCKET) == F.col("__from"), "left")
+        df = df.withColumn(BUCKET, F.col(BUCKET) + span * piece_of(F.col("__below"), F.col("__place"), WIDTH))
+        df = df.drop("__from", "__below")
+    return df.drop("__place")
+
+
 def split_in_order(df: DataFrame, keys: Names, order: Names, pieces: int | None = None) -> DaySplit:
-    """The rows placed by key and piece of the order; ``order`` is the order of the window, complete."""
+    """The rows placed by key and piece of the order; ``order`` is the order of the window, complete.
+
+    The edges are found when this is called.
+    """
     pieces = pieces or default_pieces(df.sparkSession)
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(names(order))])
     tagged, parts = stand_ins(df, keys)
-    tagged = tagged.withColumn("__edges", order_edges(df, order, pieces).scalar())
-    tagged = tagged.withColumn(BUCKET, piece_of(F.col("__edges"), place, pieces)).drop("__edges")
+    tagged = with_piece(tagged, order_edges(df, order, pieces), place, pieces)
     parts = [*parts, BUCKET]
     return DaySplit(tagged.repartition(*parts), parts)

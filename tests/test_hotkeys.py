@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import bisect
 import random
 
 import pytest
@@ -116,6 +117,20 @@ def test_pieces_follow_the_order_whatever_its_types(spark):
     assert pieces == sorted(pieces) and set(pieces) == set(range(16))
 
 
+def test_rows_carry_the_edges_of_one_node_at_a_time(spark):
+    df = spark.range(20_000).selectExpr("cast(1 AS int) AS k", "nullif(id * 7919 % 20011, 5) AS n")
+    pieces = 1500  # three digits
+    edges = ordered.order_edges(df, "n", pieces)
+    sorted_edges = [e.o0 for e in edges.first().edges]
+    place = F.struct(F.col("n").alias("o0"))
+    got = ordered.with_piece(df, edges, place, pieces).select("n", "__bucket")
+    known = [e for e in sorted_edges if e is not None]
+    for n, piece in got.collect():
+        assert piece == len(sorted_edges) - len(known) + (0 if n is None else bisect.bisect_right(known, n))
+    # no array of all edges beside the rows
+    assert "__edges" not in ordered.split_in_order(df, "k", "n", pieces).rows._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("pieces", [1, 2, 7, 64])
 def test_edges_of_few_rows(spark, pieces):
     df = spark.createDataFrame([(1, 5), (1, 6), (2, None)], "k int, n int")
