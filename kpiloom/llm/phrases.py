@@ -143,6 +143,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "f"])
 
 
+PIECES = "piece int, counts binary"
+
+
+def _squeezed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counters of a task, a row for each ``PIECE`` of them with a count."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for at in range(0, len(total), PIECE):
+        if (some := total[at : at + PIECE]).any():
+            # all lowest bytes first, then the second ones: most are zero
+            planes = np.ascontiguousarray(some.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+            columns = [pa.array([at // PIECE], pa.int32()), pa.array([squeeze.compress(planes.tobytes())])]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The sums of the counters of all tasks, for each piece."""
+    totals: dict[int, np.ndarray] = {}
+    unsqueeze = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts")):
+            planes = np.frombuffer(unsqueeze.decompress(counts.as_buffer()), np.uint8)
+            some = np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+            totals[piece] = totals.get(piece, 0) + some
+    yield from totals.items()
+
+
 def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> np.ndarray:
     """A bit for each bucket that holds ``least`` phrases."""
     shift = np.uint64(64 - (BUCKETS - 1).bit_length())
@@ -152,24 +178,13 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
         for _, marks, ids in _rows(batches, "marks", "ids"):
             _, found = _possible(marks, ids, parts, length)
             total += np.bincount((found >> shift).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for at, some in enumerate(total.reshape(-1, PIECE)):
-            if some.any():
-                columns = [pa.array([at], pa.int32()), pa.array([squeeze.compress(some.tobytes())])]
-                yield pa.RecordBatch.from_arrays(columns, ["piece", "counts"])
+        yield from _squeezed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        unsqueeze = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts")):
-                some = np.frombuffer(unsqueeze.decompress(counts.as_buffer()), np.uint32)
-                totals[piece] = totals.get(piece, 0) + some.astype(np.int64)
-        kept = [(p * PIECE + np.flatnonzero(t >= least)) for p, t in totals.items()]
-        found = np.concatenate([np.empty(0, np.int64), *kept])
-        yield pa.RecordBatch.from_arrays([pa.array(found)], ["v"])
-
-    pieces = chunks.select("lang", "marks", "ids").mapInArrow(count, "piece int, counts binary")
+        for piece, total in _summed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(piece * PIECE + np.flatnonzero(total >= least))], ["v"])
+
+    pieces = chunks.select("lang", "marks", "ids").mapInArrow(count, PIECES)
     return _in_filter(pieces.repartition("piece").mapInArrow(add, "v long"), BUCKETS)
 
 
@@ -323,16 +338,23 @@ def _shard_counts(chunks: DataFrame, shard: pa.Table, length: int) -> DataFrame:
             if lang in roots:
                 at = np.array([own.get(w, 0) for w in words] + [0], dtype=np.int64)
                 total += trie.count(at[ids], roots[lang], length, len(codes))
-        seen = np.flatnonzero(total)
-        columns = [
-            pa.array(named, pa.string()).take(pa.array(of[seen])),
-            _phrases(each, codes[seen].ravel() - 1, length),
-            pa.array(total[seen]),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "n"])
-
-    found = chunks.select("lang", "words", "ids").mapInArrow(work, "lang string, words array<string>, n long")
-    return found.groupBy("lang", "words").agg(F.sum("n").alias("f"))
+        yield from _squeezed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = known.split(b" ")
+        for piece, total in _summed(batches):
+            seen = np.flatnonzero(total)
+            at = piece * PIECE + seen
+            columns = [
+                pa.array(named, pa.string()).take(pa.array(of[at])),
+                _phrases(each, codes[at].ravel() - 1, length),
+                pa.array(total[seen]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "f"])
+
+    # the counts of a task are a few rows of numbers, so that a phrase is written out once and not by every task
+    pieces = chunks.select("lang", "words", "ids").mapInArrow(work, PIECES)
+    return pieces.repartition("piece").mapInArrow(add, "lang string, words array<string>, f long")
 
 
 def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: str) -> tuple[DataFrame, DataFrame]:

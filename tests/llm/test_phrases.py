@@ -109,6 +109,32 @@ def test_a_shard_is_counted_with_little_on_the_driver(spark):
     assert sent[0] < 8_000_000
 
 
+def test_a_task_writes_its_counts_as_a_few_rows(spark):
+    """Not a row for each phrase: every task meets most of them."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([("en", " ".join(words))] * 4, "lang string, text string").repartition(4)
+    shard = pa.table({"lang": ["en"] * 299, "words": [list(x) for x in zip(words, words[1:])]})
+    made = []
+
+    class Frame:
+        def __init__(self, df):
+            self.df = df
+
+        def select(self, *columns):
+            return Frame(self.df.select(*columns))
+
+        def mapInArrow(self, work, schema):
+            out = self.df.mapInArrow(work, schema)
+            made.append(out.count())
+            return out
+
+    counts = phrases._shard_counts(Frame(docs.mapInArrow(phrases._chunks, phrases.CHUNK)), shard, 2).collect()
+    assert {(*r.words, r.f) for r in counts} == {(*x, 4) for x in zip(words, words[1:])} and len(counts) == 299
+    assert made[0] <= 4
+
+
 def test_edge_rows(spark, edge):  # noqa: F811
     got = {(r.phrase, r.a, r.n) for r in phrases.collocations(edge, least=3).collect()}
     words = 3 * 3 + 30_000 + 1
