@@ -32,6 +32,20 @@ def text_chunks(
             start, used = stop, int(ends[stop - 1])
 
 
+def freeing(
+    work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which Arrow's pool gives its free memory back: a worker stays for other tasks."""
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return worked
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... for each (start, length), one after another."""
     ends = np.cumsum(lengths)

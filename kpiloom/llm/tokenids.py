@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm import rans
-from kpiloom.llm.common import WordCache, binary_rows, text_chunks, unused_character
+from kpiloom.llm.common import WordCache, binary_rows, freeing, text_chunks, unused_character
 from kpiloom.sources.stage import checkpoint_folder, stage_table
 
 CACHED_WORDS = 400_000
 #: Bytes of text that are tokenized at once.
 CHUNK = 2 << 20
-#: New words that the library encodes in one call.
-LIBRARY_WORDS = 8192
+#: New words, or joined texts of them, that the library encodes in one call; what it returns is large.
+LIBRARY_WORDS = 256
 #: New words of the usual form that are joined to one text.
 JOINED_WORDS = 256
 #: A Latin letter before ASCII punctuation other than the apostrophe.
@@ -181,7 +181,7 @@ def _coded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
             )
         own.cache.forget()  # the worker stays for other tasks
 
-    return docs.mapInArrow(work, "part int, id long, n int, ids binary")
+    return docs.mapInArrow(freeing(work), "part int, id long, n int, ids binary")
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -234,7 +234,7 @@ def _counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
-    rows = blocks.select("ids").mapInArrow(work, "token long, n long")
+    rows = blocks.select("ids").mapInArrow(freeing(work), "token long, n long")
     counts = np.zeros(vocabulary, dtype=np.int64)
     for row in rows.groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[row.token] = row.n
@@ -262,7 +262,7 @@ def write_ids(
     coded = _coded(docs.select("part", "id", "text"), tokenizer_file, end_id)
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "id", "n", "ids")
     folder = f"{checkpoint_folder(spark).rstrip('/')}/kpiloom-{uuid.uuid4()}"
-    raw = stage_table(ordered.mapInArrow(_blocks, RAW), folder)
+    raw = stage_table(ordered.mapInArrow(freeing(_blocks), RAW), folder)
     del coded, ordered
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle files, which nothing needs any more
@@ -292,7 +292,7 @@ def write_ids(
                     [*old[:2], new[0], *old[2:], *new[1:]], [x.split()[0] for x in CODED.split(", ")]
                 )
 
-    raw.mapInArrow(work, CODED).write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    raw.mapInArrow(freeing(work), CODED).write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
     rows = [(i, int(n)) for i, n in enumerate(share)]
     table = spark.createDataFrame(rows, "token int, frequency long").coalesce(1)
     table.write.mode("overwrite").parquet(f"{path}/table")
@@ -326,7 +326,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 )
 
     blocks = spark.read.schema(CODED).parquet(f"{path}/blocks")
-    found = blocks.mapInArrow(work, "id long, start long, n_tokens long, ids binary")
+    found = blocks.mapInArrow(freeing(work), "id long, start long, n_tokens long, ids binary")
     return found.withColumnRenamed("id", key)
 
 

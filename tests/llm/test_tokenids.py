@@ -92,3 +92,26 @@ def test_added_tokens_encode_as_the_library_as_loaded():
     for text, got in zip(cases, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
         assert got.tolist() == fresh.encode(text or "", add_special_tokens=False).ids
     assert fresh.encode(cases[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+
+
+def test_a_worker_gives_memory_back_after_its_task():
+    made = []
+
+    class Docs:
+        def mapInArrow(self, work, schema):
+            made.append(work)
+
+    tokenids._coded(Docs(), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(True)
+
+    batch = pa.RecordBatch.from_pydict({"part": [0], "id": [1], "text": ["one two"]})
+    real, pa.default_memory_pool = pa.default_memory_pool, Pool
+    try:
+        assert sum(out.num_rows for out in made[0](iter([batch]))) == 1
+    finally:
+        pa.default_memory_pool = real
+    assert freed == [True]
