@@ -50,7 +50,7 @@ from kpiloom.llm.common import text_chunks
 from kpiloom.llm.components import components
 from kpiloom.llm.contamination import shingle_hashes, word_hashes
 from kpiloom.llm.simhash import majority
-from kpiloom.sources.stage import reliable_copy
+from kpiloom.sources.stage import discard, reliable_copy
 
 #: One of so many texts is counted to find common shingles; fewer than ``SEEN`` of them are not common.
 SAMPLE = 16
@@ -418,7 +418,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame, width: int, p
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = (100 + percent) * F.size(F.array_intersect("x", "y"))
-    return reliable_copy(both.where(shared >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
+    links = reliable_copy(both.where(shared >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
+    discard(sets)
+    discard(wanted)
+    return links
 
 
 def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -446,7 +449,10 @@ def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     blocks = blocks.groupBy("members", "x", "y").agg(F.min("h").alias("h"))
     blocks = reliable_copy(blocks.select("h", "members", F.ceil(F.col("members") / LEAVES).alias("parts")))
-    return reliable_copy(members.join(blocks.select("h"), "h")), blocks
+    kept = reliable_copy(members.join(blocks.select("h"), "h"))
+    discard(members)
+    discard(shared)
+    return kept, blocks
 
 
 def _dealt(members: DataFrame, sketches: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -466,7 +472,10 @@ def links_of(
     percent: int,
     likely: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """``node``, ``head``: the component of every node that has a link, by the links that join components."""
+    """``node``, ``head``: the component of every node that has a link, by the links that join components.
+
+    ``rows``, a copy with all prefixes and bitmaps, is taken away as soon as the blocks are made.
+    """
     marks = reliable_copy(rows.where("prefix IS NOT NULL").groupBy("node").agg(F.min("mark").alias("mark")))
     members, blocks = _members(rows)
     needed = members.select("node").distinct()
@@ -481,6 +490,8 @@ def links_of(
     if likely is not None:
         fps = rows.where("fp IS NOT NULL").select("node", "fp").dropDuplicates(["node"])
         done = reliable_copy(likely(fps))
+    discard(rows)
+    if done is not None:
         links = _verified(docs, done, marks, width, percent)
         heads = components(links)
     for own, compared in (
@@ -492,15 +503,18 @@ def links_of(
             left = own if cut is None else own.join(cut, "h")
             if heads is not None:
                 left = left.join(heads, "node", "left").join(compared, "node", "left")
-                left = reliable_copy(left.select("h", "node", head, top))
+                every = reliable_copy(left.select("h", "node", head, top))
                 ends = [f(c).alias(f.__name__ + c) for c in ("head", "top") for f in (F.min, F.max)]
-                mixed = left.groupBy("h").agg(*ends).where("minhead < maxhead AND mintop < maxtop")
-                left = reliable_copy(left.join(mixed.select("h"), "h"))
+                mixed = every.groupBy("h").agg(*ends).where("minhead < maxhead AND mintop < maxtop")
+                left = reliable_copy(every.join(mixed.select("h"), "h"))
+                discard(every)
                 if left.isEmpty():
                     break
             else:
                 left = left.join(compared, "node", "left").select("h", "node", F.col("node").alias("head"), top)
             pairs = reliable_copy(_pairs(_dealt(left, sketches, blocks), percent, most))
+            if heads is not None:
+                discard(left)
             cut = pairs.where("more").select("h").distinct()
             pairs = pairs.select("a", "b").distinct()
             if done is not None:
@@ -532,14 +546,14 @@ def similar_groups(
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     rows = _rows(docs, width, percent, link_empty, likely is not None)
+    own = reliable_copy(rows.select("key", "node", "n"))
     heads = links_of(docs, rows, width, percent, likely)
-    named = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
+    named = own.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
     named = named.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
     named = reliable_copy(named)
     lowest = named.groupBy("head").agg(F.min("least").alias("component_id"))
     named = reliable_copy(named.join(lowest, "head").select("node", "component_id"))
-    own = rows.select("key", "node", "n").join(named, "node", "left")
-    return own.select(
+    return own.join(named, "node", "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),

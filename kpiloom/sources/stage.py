@@ -61,6 +61,13 @@ def reliable_copy(df: DataFrame) -> DataFrame:
     return stage_table(df, new_path(df.sparkSession))
 
 
+def discard(copy: DataFrame) -> None:
+    """Take a reliable copy away that nothing still to run reads, so that the copies of a long job don't add up."""
+    files = copy.inputFiles()
+    if files:
+        remove(copy.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def new_path(spark: SparkSession) -> str:
     """An unused path below the checkpoint folder."""
     return f"{checkpoint_folder(spark).rstrip('/')}/kpiloom-{uuid.uuid4()}"

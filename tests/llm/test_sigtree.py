@@ -170,3 +170,19 @@ def test_edge_rows(spark, edge):  # noqa: F811
     assert sigtree.similar_groups(edge.limit(0)).collect() == []
     only_null = edge.where(F.col("doc_id").isNull())
     assert {r.component_id for r in sigtree.similar_groups(only_null).collect()} == {None}
+
+
+def test_large_copies_go_when_the_blocks_are_made(spark, tmp_path, monkeypatch):
+    """Neither prefixes, bitmaps of all rows nor the sets of pairs stay beside the result."""
+    from kpiloom.sources import stage
+
+    made = []
+    monkeypatch.setattr(stage, "new_path", lambda _: made.append(str(tmp_path / str(len(made)))) or made[-1])
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words), "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = sigtree.similar_groups(df)
+    left = [spark.read.parquet(p).columns for p in made if (tmp_path / p).exists()]
+    assert sorted((r.doc_id, r.component_id) for r in groups.collect()) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+    assert len(left) < len(made)
+    assert not any({"prefix", "shingles"} & set(columns) for columns in left)
