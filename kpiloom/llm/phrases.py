@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.llm.common import freeing
 from kpiloom.llm.sigtree import WIDE_FILTER, _in_filter, _passes
 from kpiloom.sources.stage import reliable_copy
 
@@ -184,8 +185,8 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
         for piece, total in _summed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(piece * PIECE + np.flatnonzero(total >= least))], ["v"])
 
-    pieces = chunks.select("lang", "marks", "ids").mapInArrow(count, PIECES)
-    return _in_filter(pieces.repartition("piece").mapInArrow(add, "v long"), BUCKETS)
+    pieces = chunks.select("lang", "marks", "ids").mapInArrow(freeing(count), PIECES)
+    return _in_filter(pieces.repartition("piece").mapInArrow(freeing(add), "v long"), BUCKETS)
 
 
 def _phrases(words: list[bytes], flat: np.ndarray, length: int) -> pa.Array:
@@ -196,7 +197,7 @@ def _phrases(words: list[bytes], flat: np.ndarray, length: int) -> pa.Array:
 
 def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int) -> DataFrame:
     """``lang``, ``words``: the phrases of this length in frequent buckets, both of whose parts are frequent."""
-    marks = frequent.select("lang", "words").mapInArrow(_phrase_marks, "v long")
+    marks = frequent.select("lang", "words").mapInArrow(freeing(_phrase_marks), "v long")
     parts = _in_filter(marks, WIDE_FILTER)
     buckets = _buckets(chunks, parts, length, least)
     shift = np.uint64(64 - (BUCKETS - 1).bit_length())
@@ -214,7 +215,7 @@ def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int)
             columns = [pa.array([lang] * len(at), pa.string()), _phrases(words, flat, length)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "words"])
 
-    made = chunks.drop("n").mapInArrow(work, "lang string, words array<string>").distinct()
+    made = chunks.drop("n").mapInArrow(freeing(work), "lang string, words array<string>").distinct()
     for start in (1, 2):
         part = frequent.select("lang", F.col("words").alias("part"))
         made = made.withColumn("part", F.slice("words", start, length - 1)).join(part, ["lang", "part"], "left_semi")
@@ -353,15 +354,15 @@ def _shard_counts(chunks: DataFrame, shard: pa.Table, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "f"])
 
     # the counts of a task are a few rows of numbers, so that a phrase is written out once and not by every task
-    pieces = chunks.select("lang", "words", "ids").mapInArrow(work, PIECES)
-    return pieces.repartition("piece").mapInArrow(add, "lang string, words array<string>, f long")
+    pieces = chunks.select("lang", "words", "ids").mapInArrow(freeing(work), PIECES)
+    return pieces.repartition("piece").mapInArrow(freeing(add), "lang string, words array<string>, f long")
 
 
 def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``words``, ``f`` of all words and phrases of ``least`` occurrences; ``lang``, ``n`` of all words."""
     docs = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    chunks = reliable_copy(docs.mapInArrow(_chunks, CHUNK))
-    words = chunks.select("lang", "words", "n").mapInArrow(_counted, "lang string, word string, f long")
+    chunks = reliable_copy(docs.mapInArrow(freeing(_chunks), CHUNK))
+    words = chunks.select("lang", "words", "n").mapInArrow(freeing(_counted), "lang string, word string, f long")
     words = reliable_copy(words.groupBy("lang", "word").agg(F.sum("f").alias("f")))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = reliable_copy(words.where(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"))
