@@ -19,8 +19,8 @@ from kpiloom.functions.exprs import Names, all_of, names, ratio, require_columns
 TOGETHER = 64
 #: Logarithm of the size of the sketches of column sets: a relative standard deviation of 1.6 %.
 GRAIN_LOG = 12
-#: Repeats are looked for in one of so many hash slices of the values first.
-SLICES = 64
+#: Repeats are looked for in one of so many hash slices of the values first, more for so many rows that one has.
+SLICES, SLICE_ROWS = 64, 1 << 20
 #: Size of the sketches of join columns (its logarithm), and their relative standard deviation.
 SKETCH_LOG, SKETCH_DEVIATION = 14, 0.0082
 
@@ -34,28 +34,48 @@ def _mark(columns: Sequence[str], seed: int = 0) -> Column:
     return F.xxhash64(*values, *[v.isNull() for v in values], F.lit(seed))
 
 
+def _marks(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> tuple[DataFrame, list[Column]]:
+    """The rows with a hash of each column, and for each set a hash of those: every value is hashed once a row."""
+    place = {c: f"__h{i}" for i, c in enumerate(df.columns) if any(c in s for s in sets)}
+    hashed = df.select("*", *[_mark([c]).alias(h) for c, h in place.items()])
+    return hashed, [F.xxhash64(*[place[c] for c in s]) for s in sets]
+
+
 def _estimates(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[int]:
     """Estimated number of different values of each column set."""
     found: list[int] = []
     for start in range(0, len(sets), TOGETHER):
-        some = sets[start : start + TOGETHER]
-        sketches = [F.hll_sketch_agg(_mark(s), GRAIN_LOG) for s in some]
-        found += df.agg(*[F.hll_sketch_estimate(x).alias(f"n{i}") for i, x in enumerate(sketches)]).first()
+        hashed, marks = _marks(df, sets[start : start + TOGETHER])
+        marked = hashed.select(*[m.alias(f"m{i}") for i, m in enumerate(marks)])
+        sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(m, GRAIN_LOG)).alias(m) for m in marked.columns]
+        found += marked.agg(*sketches).first()
     return found
 
 
-def _not_refuted(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """The sets without a repeated value in one of ``SLICES`` hash slices of their values; one pass for all.
+def _sliced(df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int) -> DataFrame:
+    """The number of the set and 128 bits of hashes of each value in a hash slice of each set's values."""
+    hashed, marks = _marks(df, sets)
+    exploded = hashed.select(*df.columns, F.posexplode(F.array(*marks)).alias("__i", "__x"))
+    sliced = exploded.where(F.pmod("__x", F.lit(slices)) == 0)
+    # the second hash takes the columns of the row's own set only
+    own = {c: F.col("__i").isin([i for i, s in enumerate(sets) if c in s]) for c in df.columns}
+    values = sliced.select("__i", "__x", *[F.when(own[c], F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return values.select("__i", "__x", _mark(df.columns, 1).alias("__y"))
+
+
+def _not_refuted(df: DataFrame, sets: Sequence[tuple[str, ...]], total: int) -> list[tuple[str, ...]]:
+    """The sets without a repeated value in a hash slice of their values; one pass for ``TOGETHER`` sets.
 
-    Values are compared by 128 bits of hashes.
+    There are ``SLICES`` slices, more if one would have more than ``SLICE_ROWS`` of ``total`` rows.
     """
-    if not sets:
-        return []
-    marks = [F.struct(F.lit(i).alias("i"), _mark(s).alias("x"), _mark(s, 1).alias("y")) for i, s in enumerate(sets)]
-    sliced = df.select(F.inline(F.array(*marks))).where(F.pmod("x", F.lit(SLICES)) == 0)
-    repeats = sliced.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    refuted = {row.i for row in repeats.select("i").distinct().collect()}
-    return [s for i, s in enumerate(sets) if i not in refuted]
+    slices = max(SLICES, -(-total // SLICE_ROWS))
+    left: list[tuple[str, ...]] = []
+    for start in range(0, len(sets), TOGETHER):
+        some = sets[start : start + TOGETHER]
+        repeats = _sliced(df, some, slices).groupBy("__i", "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+        refuted = {row[0] for row in repeats.where("__n > 1").select("__i").distinct().collect()}
+        left += [s for i, s in enumerate(some) if i not in refuted]
+    return left
 
 
 def _unique(df: DataFrame, columns: tuple[str, ...]) -> bool:
@@ -69,9 +89,10 @@ def grain_discover(
     """The minimal sets of at most ``most`` columns whose values tell all rows apart.
 
     Level by level: sets that contain a key are not minimal, and sets whose columns have too few values
-    between them (by the product of the columns' estimates) cannot be one. For the others a sketch
-    estimates the different values; those within ``margin`` of the rows (six standard deviations of the
-    sketch) are checked exactly: a slice of the values of all sets in one pass, then each set that is left. An unknown value is a value. An empty table has no grain.
+    between them (by the product of the columns' estimates) cannot be one. Repeats in a slice of the values of all
+    sets, one pass, refute most of the others. For those that are left a sketch estimates the different values;
+    those within ``margin`` of the rows (six standard deviations of the sketch) are checked exactly, each by
+    itself. An unknown value is a value. An empty table has no grain.
 
     One row per key: ``grain`` (columns in table order), ``width``, ``total_rows``.
     """
@@ -85,11 +106,15 @@ def grain_discover(
     for width in range(1, most + 1 if total else 1):
         sets = [s for s in combinations(picked, width) if not any(set(k) <= set(s) for k in keys)]
         sets = [s for s in sets if _possible([single.get(c, total) for c in s], total, margin)]
+        if width > 1:
+            sets = _not_refuted(df, sets, total)
         estimates = _estimates(df, sets)
         if width == 1:
             single = {s[0]: n for s, n in zip(sets, estimates)}
         likely = [s for s, n in zip(sets, estimates) if n >= total * (1 - margin)]
-        keys += [s for s in _not_refuted(df, likely) if _unique(df, s)]
+        if width == 1:
+            likely = _not_refuted(df, likely, total)
+        keys += [s for s in likely if _unique(df, s)]
     rows = [(", ".join(k), len(k), total) for k in keys]
     return df.sparkSession.createDataFrame(rows, "grain string, width int, total_rows bigint")
 

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from kpiloom.operators import discovery
 
@@ -30,6 +31,34 @@ def test_grain_with_one_repeat_outside_the_slice_is_found(spark):
         assert discovery.grain_discover(df).collect() == []
 
 
+@pytest.mark.parametrize("slices, slice_rows, together", [(1, 1 << 20, 64), (64, 10, 3)])
+def test_grain_for_any_slices(spark, monkeypatch, slices, slice_rows, together):
+    monkeypatch.setattr(discovery, "SLICES", slices)
+    monkeypatch.setattr(discovery, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(discovery, "TOGETHER", together)
+    rng = random.Random(5)
+    data = [(i // 20, *(rng.choice([None, *range(19)]) for _ in range(2)), i % 20 or None, rng.choice("xy")) for i in range(400)]
+    df = spark.createDataFrame(data, "a int, b int, c int, d int, e string")
+    want = []
+    for width in (1, 2, 3):
+        for s in combinations(range(5), width):
+            if len({tuple(r[i] for i in s) for r in data}) == 400 and not any(set(k) < set(s) for k in want):
+                want.append(s)
+    found = {r.grain for r in discovery.grain_discover(df).collect()}
+    assert found == {", ".join("abcde"[i] for i in s) for s in want} and "a, d" in found
+
+
+def test_grain_sketches_no_set_that_a_slice_refutes(spark, monkeypatch):
+    """Sketches of all sets of three columns took most of the time."""
+    sketched = []
+    plain = discovery._estimates
+    monkeypatch.setattr(discovery, "_estimates", lambda df, sets: sketched.extend(sets) or plain(df, sets))
+    columns = [f"CAST(pmod(xxhash64(id, {i}), 500) AS int) AS {c}" for i, c in enumerate("abcd")]
+    df = spark.range(20_000).selectExpr("CAST(id AS int) AS k", *columns)
+    assert [r.grain for r in discovery.grain_discover(df.unionByName(df).withColumn("h", F.rand(1) < 0.5)).collect()] == []
+    assert [s for s in sketched if len(s) > 1] == []
+
+
 def test_grain_of_few_rows(frame):
     assert rows(discovery.grain_discover(frame("a long, b long", (1, None)))) == [("a", 1, 1), ("b", 1, 1)]
     assert rows(discovery.grain_discover(frame("a long, b long", (None, None), (None, 1)))) == [("b", 1, 2)]
