@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
@@ -35,13 +36,15 @@ def text_chunks(
 def freeing(
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work``, after which Arrow's pool gives its free memory back: a worker stays for other tasks."""
+    """``work``, after which Arrow's pool and the C library give free memory back: a worker stays for other tasks."""
 
     def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from work(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
 
     return worked
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import freeing
+from kpiloom.llm.common import freeing, text_chunks
 from kpiloom.llm.sigtree import WIDE_FILTER, _in_filter, _passes
 from kpiloom.sources.stage import reliable_copy
 
@@ -55,11 +55,14 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 CHUNK = "lang string, words binary, marks binary, n binary, ids binary"
+#: Columns of a chunk that are compressed: a task is sent the chunks of all its rows at once.
+SQUEEZED = ("words", "ids")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of ``CHUNK`` for each language: the different words (joined by spaces), their hashes and counts,
     and all words as numbers of them, -1 where a piece ends."""
+    squeeze = zstandard.ZstdCompressor(level=1)
     held: dict[str, list[bytes]] = {}
     size = 0
 
@@ -74,14 +77,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names.pop(end)
             counts = np.bincount(ids[ids >= 0], minlength=len(names))
             marks = word_marks(lang, names)
-            raw = [lang, b" ".join(names), marks.tobytes(), counts.astype("<i8").tobytes(), ids.tobytes()]
+            packed = [squeeze.compress(b" ".join(names)), squeeze.compress(ids.tobytes())]
+            raw = [lang, packed[0], marks.tobytes(), counts.astype("<i8").tobytes(), packed[1]]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in raw], ["lang", "words", "marks", "n", "ids"])
 
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+    for batch in text_chunks(batches, "text", HELD):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
             if text:
-                held.setdefault(lang, []).append(raw := text.encode())
-                size += len(raw)
+                held.setdefault(lang, []).append(text)
+                size += len(text)
             if size >= HELD:
                 yield from made()
                 held, size = {}, 0
@@ -128,12 +132,14 @@ def _possible(marks: np.ndarray, ids: np.ndarray, parts: np.ndarray, length: int
 def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list]:
     """The language and some columns of each chunk: the words as a list, others as arrays."""
     kinds = {"marks": "<u8", "n": "<i8", "ids": "<i4"}
+    unsqueeze = zstandard.ZstdDecompressor()
     for batch in batches:
         for i in range(batch.num_rows):
             row = [batch.column("lang")[i].as_py()]
             for c in columns:
                 raw = batch.column(c)[i].as_buffer()
-                row.append(np.frombuffer(raw, kinds[c]) if c in kinds else raw.to_pybytes().split())
+                raw = unsqueeze.decompress(raw) if c in SQUEEZED else raw
+                row.append(np.frombuffer(raw, kinds[c]) if c in kinds else raw.split())
             yield row
 
 
@@ -178,7 +184,7 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
         total = np.zeros(BUCKETS, dtype=np.uint32)
         for _, marks, ids in _rows(batches, "marks", "ids"):
             _, found = _possible(marks, ids, parts, length)
-            total += np.bincount((found >> shift).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            np.add.at(total, (found >> shift).astype(np.int64), np.uint32(1))
         yield from _squeezed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

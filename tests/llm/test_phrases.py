@@ -135,6 +135,19 @@ def test_a_task_writes_its_counts_as_a_few_rows(spark):
     assert made[0] <= 4
 
 
+def test_chunks_are_small():
+    """A task is sent all its chunks in one batch."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    text = " ".join(f"word{x}" for x in (3000 * rng.random(200_000) ** 3).astype(int))
+    batch = pa.record_batch({"lang": ["en"] * 2, "text": [text, None]})
+    (chunk,) = phrases._chunks(iter([batch]))
+    assert chunk.column("ids")[0].as_buffer().size < 3 * 200_000
+    ((lang, words, n, ids),) = phrases._rows(iter([chunk]), "words", "n", "ids")
+    assert " ".join(words[i].decode() for i in ids if i >= 0) == text and lang == "en" and n.sum() == 200_000
+
+
 def test_edge_rows(spark, edge):  # noqa: F811
     got = {(r.phrase, r.a, r.n) for r in phrases.collocations(edge, least=3).collect()}
     words = 3 * 3 + 30_000 + 1
