@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm import rans
 from kpiloom.llm.common import WordCache, binary_rows, freeing, text_chunks, unused_character
-from kpiloom.sources.stage import checkpoint_folder, stage_table
+from kpiloom.sources.stage import checkpoint_folder
 
 CACHED_WORDS = 400_000
 #: Bytes of text that are tokenized at once.
@@ -53,6 +53,9 @@ BLOCK = 1 << 18
 #: Bytes of text in a part, about.
 PART_BYTES = 64 << 20
 FEWEST_PARTS = 16
+#: Parquet's row groups and pages, in bytes, looked at after each row: a row is a block, and by default 100 of them
+#: come before the first look, which a writer and a reader then hold as one page.
+ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size": 1 << 20, "parquet.page.size.row.check.min": 1}
 
 
 class TokenCodec:
@@ -262,7 +265,8 @@ def write_ids(
     coded = _coded(docs.select("part", "id", "text"), tokenizer_file, end_id)
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "id", "n", "ids")
     folder = f"{checkpoint_folder(spark).rstrip('/')}/kpiloom-{uuid.uuid4()}"
-    raw = stage_table(ordered.mapInArrow(freeing(_blocks), RAW), folder)
+    ordered.mapInArrow(freeing(_blocks), RAW).write.options(**ROW_GROUPS).parquet(folder)
+    raw = spark.read.schema(RAW).parquet(folder)
     del coded, ordered
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle files, which nothing needs any more
@@ -292,7 +296,8 @@ def write_ids(
                     [*old[:2], new[0], *old[2:], *new[1:]], [x.split()[0] for x in CODED.split(", ")]
                 )
 
-    raw.mapInArrow(freeing(work), CODED).write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    made = raw.mapInArrow(freeing(work), CODED).write.mode("overwrite").options(**ROW_GROUPS)
+    made.partitionBy("part").parquet(f"{path}/blocks")
     rows = [(i, int(n)) for i, n in enumerate(share)]
     table = spark.createDataFrame(rows, "token int, frequency long").coalesce(1)
     table.write.mode("overwrite").parquet(f"{path}/table")

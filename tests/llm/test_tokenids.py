@@ -115,3 +115,18 @@ def test_a_worker_gives_memory_back_after_its_task():
     finally:
         pa.default_memory_pool = real
     assert freed == [True]
+
+
+def test_pages_and_row_groups_hold_few_blocks(spark, tmp_path):
+    """A block is one large row; a writer and a reader hold a page and a row group whole."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=500_000))
+    docs = spark.createDataFrame([(None, text[i:] + text[:i]) for i in range(40)], "doc_id long, text string")
+    tokenids.write_ids(docs, f"{tmp_path}/ids", FILE, 2)
+    assert tokenids.read_ids(spark, f"{tmp_path}/ids").count() == 40
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "ids/blocks").rglob("*.parquet")]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 10 << 20
+    assert max(g.total_byte_size for g in groups) < 6 << 20
