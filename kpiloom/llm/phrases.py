@@ -7,9 +7,11 @@ into words. Everything is counted for each language by itself (null: ``und``). A
 1. Each task writes its texts as chunks: the different words of a chunk, their counts, and all words as
    numbers of them. Counts of the words are summed.
 2. For each length, a first pass counts hashes of all phrases whose parts without the first and without the
-   last word may be frequent, in ``BUCKETS`` counters; a second pass gives each different phrase of a bucket
-   that reached ``least``. Those whose two parts are frequent are the candidates (Apriori-safe: no frequent
-   phrase is missed, as its parts and its bucket are frequent too).
+   last word may be frequent, in ``BUCKETS`` counters; a second pass counts the phrases of the buckets that reached
+   ``least`` one by one, each as the hashes of its two parts. The counts of all tasks are summed in pieces, so that a
+   phrase of ``least`` occurrences is written out once and not by every task that meets it, and the hashes are joined
+   with the frequent phrases, whose words make the candidates (Apriori-safe: no frequent phrase is missed, as its
+   parts and its bucket are frequent too; equal hashes of other phrases only add candidates).
 3. The candidates are dealt out in shards of about ``SHARD`` phrases at most. For each shard a double-array
    trie over the shard's words is built and sent to the tasks. A task advances the states of all positions of a
    chunk together, word by word, and counts the accepting states with ``bincount``; the counts are summed.
@@ -44,6 +46,11 @@ HELD = 4 << 20
 BUCKETS = 1 << 22
 #: Counters that are summed in one piece.
 PIECE = 1 << 16
+#: Places of phrases that a task gathers before it counts them.
+PLACES = 1 << 19
+#: Words of all texts to a piece of the counted phrases, and the fewest pieces.
+PIECE_WORDS = 1 << 21
+FEWEST_PIECES = 64
 #: Phrases of a trie.
 SHARD = 1 << 18
 #: The ends of pieces.
@@ -110,23 +117,32 @@ def word_marks(lang: str, words: list[bytes | str]) -> np.ndarray:
 
 
 def _phrase_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of whole phrases, as ``hashes_of`` gives them."""
+    """``lang``, ``words`` and ``v``, the hash of the whole phrase as ``hashes_of`` gives it; all have one length."""
     for batch in batches:
-        found = []
-        for lang, words in zip(batch.column("lang").to_pylist(), batch.column("words").to_pylist()):
-            found.append(hashes_of(word_marks(lang, words), len(words))[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["v"])
-
-
-def _possible(marks: np.ndarray, ids: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the phrases inside pieces whose two parts may be frequent."""
+        if not batch.num_rows:
+            continue
+        langs = batch.column("lang").to_pylist()
+        flat = batch.column("words").flatten().to_pylist()
+        length = len(flat) // len(langs)
+        marks = np.empty(len(flat), np.uint64)
+        of = np.repeat(np.array(langs, dtype=object), length)
+        for lang in set(langs):
+            own = np.flatnonzero(of == lang)
+            marks[own] = word_marks(lang, [flat[i] for i in own])
+        v = pa.array(hashes_of(marks, length)[::length].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("words"), v], ["lang", "words", "v"])
+
+
+def _possible(marks: np.ndarray, ids: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Hashes of the phrases inside pieces whose two parts may be frequent, and of their first and second parts."""
     marks = np.append(marks, np.uint64(0))[ids]
     breaks = np.cumsum(ids < 0, dtype=np.int32)
     last = max(0, len(ids) - length + 1)
     whole = np.flatnonzero((ids[:last] >= 0) & (breaks[length - 1 : length - 1 + last] == breaks[:last]))
-    some = _passes(parts, hashes_of(marks, length - 1).view(np.int64))
+    shorter = hashes_of(marks, length - 1)
+    some = _passes(parts, shorter.view(np.int64))
     whole = whole[some[whole] & some[whole + 1]]
-    return whole, hashes_of(marks, length)[whole]
+    return hashes_of(marks, length)[whole], shorter[whole], shorter[whole + 1]
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list]:
@@ -183,7 +199,7 @@ def _buckets(chunks: DataFrame, parts: np.ndarray, length: int, least: int) -> n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.uint32)
         for _, marks, ids in _rows(batches, "marks", "ids"):
-            _, found = _possible(marks, ids, parts, length)
+            found, _, _ = _possible(marks, ids, parts, length)
             np.add.at(total, (found >> shift).astype(np.int64), np.uint32(1))
         yield from _squeezed(total)
 
@@ -201,31 +217,97 @@ def _phrases(words: list[bytes], flat: np.ndarray, length: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, length, dtype=np.int32)), each)
 
 
-def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int) -> DataFrame:
-    """``lang``, ``words``: the phrases of this length in frequent buckets, both of whose parts are frequent."""
-    marks = frequent.select("lang", "words").mapInArrow(freeing(_phrase_marks), "v long")
-    parts = _in_filter(marks, WIDE_FILTER)
+PAIRS = "piece int, pairs binary"
+
+
+def _pair_counts(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A hash of each pair, ascending, the pairs and their sums of ``n``.
+
+    A pair may come twice where another one has the same hash.
+    """
+    h = hashes_of(np.column_stack((a, b)).ravel(), 2)[::2]
+    order = np.argsort(h, kind="stable")
+    h, a, b = h[order], a[order], b[order]
+    first = np.flatnonzero(np.append(len(h) > 0, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(h)])
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    return h[first], a[first], b[first], n
+
+
+def _pairs_out(held: tuple[np.ndarray, ...], pieces: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that ``_pair_counts`` gave, a row for each piece of their hashes."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    h, a, b, n = held
+    of = (h >> np.uint64(64 - (pieces - 1).bit_length())).astype(np.int32)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    for start, stop in zip(starts, np.append(starts[1:], len(of))):
+        own = slice(start, stop)
+        raw = a[own].astype("<u8").tobytes() + b[own].astype("<u8").tobytes() + n[own].astype("<u4").tobytes()
+        columns = [pa.array([of[start]], pa.int32()), pa.array([squeeze.compress(raw)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["piece", "pairs"])
+
+
+def _frequent_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``a``, ``b`` of the pairs that all tasks together met ``least`` times; rows come in order of the pieces."""
+    unsqueeze = zstandard.ZstdDecompressor()
+    held: list[tuple[np.ndarray, ...]] = []
+    of = None
+
+    def made() -> pa.RecordBatch:
+        a, b, n = map(np.concatenate, zip(*held))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        some = first[np.add.reduceat(n[order].astype(np.int64), first) >= least]
+        return pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (a, b)], ["a", "b"])
+
+    for batch in batches:
+        for piece, pairs in zip(batch.column("piece").to_pylist(), batch.column("pairs")):
+            if held and piece != of:
+                yield made()
+                held.clear()
+            of, raw = piece, unsqueeze.decompress(pairs.as_buffer())
+            count = len(raw) // 20
+            kinds = (("<u8", 0), ("<u8", 8 * count), ("<u4", 16 * count))
+            held.append(tuple(np.frombuffer(raw, kind, count, at) for kind, at in kinds))
+    if held:
+        yield made()
+
+
+def _candidates(chunks: DataFrame, frequent: DataFrame, length: int, least: int, pieces: int) -> DataFrame:
+    """``lang``, ``words``: the phrases of this length that may be frequent, both of whose parts are."""
+    marked = frequent.select("lang", "words").mapInArrow(freeing(_phrase_marks), "lang string, words array<string>, v long")
+    marked = reliable_copy(marked)
+    parts = _in_filter(marked.select("v"), WIDE_FILTER)
     buckets = _buckets(chunks, parts, length, least)
     shift = np.uint64(64 - (BUCKETS - 1).bit_length())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for lang, words, marks, ids in _rows(batches, "words", "marks", "ids"):
-            places, found = _possible(marks, ids, parts, length)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for _, marks, ids in _rows(batches, "marks", "ids"):
+            found, a, b = _possible(marks, ids, parts, length)
             fit = _passes(buckets, (found >> shift).astype(np.int64))
-            found, first = np.unique(found[fit], return_index=True)
-            new = np.array([x not in met for x in found.tolist()], dtype=bool)
-            met.update(found.tolist())
-            at = places[fit][first[new]]
-            flat = ids[at[:, None] + np.arange(length)].ravel()
-            columns = [pa.array([lang] * len(at), pa.string()), _phrases(words, flat, length)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "words"])
+            held.append((a[fit], b[fit], np.ones(np.count_nonzero(fit), np.int64)))
+            size += len(held[-1][0])
+            if size >= PLACES:
+                counted = _pair_counts(*map(np.concatenate, zip(*held)))
+                held, size = [counted[1:]], len(counted[0])
+                if size > PLACES // 2:
+                    yield from _pairs_out(counted, pieces)
+                    held, size = [], 0
+        if held:
+            yield from _pairs_out(_pair_counts(*map(np.concatenate, zip(*held))), pieces)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _frequent_pairs(batches, least)
 
-    made = chunks.drop("n").mapInArrow(freeing(work), "lang string, words array<string>").distinct()
-    for start in (1, 2):
-        part = frequent.select("lang", F.col("words").alias("part"))
-        made = made.withColumn("part", F.slice("words", start, length - 1)).join(part, ["lang", "part"], "left_semi")
-    return reliable_copy(made.select("lang", "words"))
+    pairs = chunks.select("lang", "marks", "ids").mapInArrow(freeing(work), PAIRS)
+    pairs = pairs.repartition("piece").sortWithinPartitions("piece").mapInArrow(freeing(add), "a long, b long")
+    heads = marked.select(F.col("v").alias("a"), "lang", F.col("words").alias("head"))
+    tails = marked.select(F.col("v").alias("b"), F.col("lang").alias("own"), F.col("words").alias("tail"))
+    made = pairs.join(heads, "a").join(tails, "b").where("lang = own")
+    made = made.where(F.slice("head", 2, length - 2) == F.slice("tail", 1, length - 2))
+    return reliable_copy(made.select("lang", F.concat("head", F.slice("tail", length - 1, 1)).alias("words")))
 
 
 class DoubleArray:
@@ -371,10 +453,12 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
     words = chunks.select("lang", "words", "n").mapInArrow(freeing(_counted), "lang string, word string, f long")
     words = reliable_copy(words.groupBy("lang", "word").agg(F.sum("f").alias("f")))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    amount = words.agg(F.sum("f")).first()[0] or 0
+    pieces = 1 << max(FEWEST_PIECES - 1, amount // PIECE_WORDS).bit_length()
     level = reliable_copy(words.where(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"))
     found = level
     for length in range(2, longest + 1):
-        candidates = _candidates(chunks, level, length, least)
+        candidates = _candidates(chunks, level, length, least, pieces)
         shards = -(-2 * candidates.count() // SHARD)
         counted = None
         for shard in range(shards):

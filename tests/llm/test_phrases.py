@@ -156,3 +156,45 @@ def test_edge_rows(spark, edge):  # noqa: F811
     )}
     assert phrases.collocations(edge.limit(0)).collect() == []
     assert phrases.collocations(edge).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_candidates_leave_a_task_as_a_few_rows(spark, monkeypatch):
+    """Not a row for each phrase and task: those would grow with the square of the input."""
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([("en", " ".join(words))] * 8, "lang string, text string").repartition(8)
+    monkeypatch.setattr(phrases, "FEWEST_PIECES", 4)
+    chunks = docs.mapInArrow(phrases._chunks, phrases.CHUNK).localCheckpoint()
+    level = spark.createDataFrame([("en", [w]) for w in words], "lang string, words array<string>")
+    made = []
+    real = type(docs).mapInArrow
+
+    def counted(self, work, schema):
+        out = real(self, work, schema)
+        if "marks" in self.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    found = phrases._candidates(chunks, level, 2, 8, 4).collect()
+    assert sorted(tuple(r.words) for r in found) == sorted(zip(words, words[1:]))
+    assert len(made) == 2 and made[1] <= 8 * 4
+
+
+def test_pairs_of_equal_hash_are_told_apart():
+    import pyarrow as pa
+
+    a, b = np.array([5, 7, 5, 9], np.uint64), np.array([1, 2, 1, 2], np.uint64)
+    made = list(phrases._pairs_out(phrases._pair_counts(a, b, np.array([1, 1, 1, 2])), 64))
+    assert sum(len(x) for x in made) == len({int(h) >> 58 for h in phrases._pair_counts(a, b, np.ones(4, np.int64))[0]})
+    one = [x.set_column(0, "piece", pa.array([0], pa.int32())) for x in made * 2]
+    (out,) = phrases._frequent_pairs(iter(one), 4)
+    assert sorted(zip(*out.to_pydict().values())) == [(5, 1), (9, 2)]
+
+
+def test_candidates_by_brute_force_with_few_held(spark, monkeypatch):
+    """Places are counted and written out many times in a task."""
+    monkeypatch.setattr(phrases, "PLACES", 50)
+    rng = np.random.default_rng(8)
+    rows = [("en" if i % 3 else None, " ".join(f"v{x}" for x in (30 * rng.random(200) ** 2).astype(int))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(map(tuple, phrases.collocations(docs, 3, 5, 300).collect())) == plain(rows, 3, 5, 300)
