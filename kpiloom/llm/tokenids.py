@@ -266,7 +266,7 @@ def write_ids(
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "id", "n", "ids")
     folder = f"{checkpoint_folder(spark).rstrip('/')}/kpiloom-{uuid.uuid4()}"
     ordered.mapInArrow(freeing(_blocks), RAW).write.options(**ROW_GROUPS).parquet(folder)
-    raw = spark.read.schema(RAW).parquet(folder)
+    raw = spark.read.parquet(folder)
     del coded, ordered
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle files, which nothing needs any more
